@@ -1,0 +1,6 @@
+"""Streaming: intentionally empty.
+
+The workload is a finite pool scored and re-scored round by round; it has no unbounded
+source, watermark, window or stateful stream operator. Its "batches" are Arrow batches of
+a finite table, which the operators get from ``mapInPandas``. Nothing here to build.
+"""
