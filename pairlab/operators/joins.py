@@ -55,3 +55,16 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     hot = hot_left.join(hot_right, hot_left[left_key] == hot_right[right_key], how).drop(hot_right[right_key])
     cold = cold_left.join(right, cold_left[left_key] == right[right_key], how).drop(right[right_key])
     return hot.unionByName(cold)
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a narrow input over the cores when it arrives in fewer splits than cores.
+
+    A large input already has thousands of splits and is returned untouched (no shuffle);
+    a tiny file with one row group would otherwise run all per-row vector work in one task.
+    """
+    spark = df.sparkSession
+    want = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= want:
+        return df
+    return df.repartition(int(want))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairlab.config import DEFAULT, EngineConfig
 from pairlab.functions.vectors import zeros
-from pairlab.operators.joins import lookup_join
+from pairlab.operators.joins import lookup_join, spread
 
 CHAINS = ("heavy", "light", "antigen")
 
@@ -34,7 +34,7 @@ def lookup_strict(pairs: DataFrame, emb: DataFrame, key: str = "seq", vec: str =
     row with a NULL vector and ``light_status='missing'``.
     """
     rb = _row_bytes(dim)
-    out = pairs
+    out = spread(pairs)
     for chain, how in (("heavy", "inner"), ("antigen", "inner")):
         out = lookup_join(out, _side(emb, chain, key, vec), f"{chain}_seq", f"_{chain}_k", how, rb, cfg)
     out = out.withColumn("_light_probe", F.when(_no_chain("light_seq"), F.lit(None)).otherwise(F.col("light_seq")))
@@ -53,7 +53,7 @@ def lookup_lenient(pairs: DataFrame, emb: DataFrame, dim: int, key: str = "seq",
     ``h``, ``l``, ``ag`` vectors. ``keep_any=False`` returns every row (for coverage).
     """
     rb = _row_bytes(dim)
-    out = pairs
+    out = spread(pairs)
     for chain in CHAINS:
         out = out.withColumn(f"_{chain}_probe",
                              F.when(_no_chain(f"{chain}_seq"), F.lit(None)).otherwise(F.col(f"{chain}_seq")))

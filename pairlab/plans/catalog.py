@@ -233,3 +233,242 @@ def q_acquire_random(spark, sf_dir):
 def q_initial_batch(spark, sf_dir):
     """First 1000 of the shuffled pool (seed 42, round 0)."""
     return A.acquire_random(T.pairs(spark, sf_dir).select("row_id", "label"), 1000, seed=42, round_=0)
+
+
+# ---------------------------------------------------------------- sampling and splits
+from pairlab.operators import sampling as SM  # noqa: E402
+
+
+@register("stratified_split")
+def q_stratified_split(spark, sf_dir):
+    return SM.stratified_split(T.pairs(spark, sf_dir).select("row_id", "label"), "label", 0.2, seed=42)
+
+
+@register("shuffle_split")
+def q_shuffle_split(spark, sf_dir):
+    return SM.shuffle_split(T.pairs(spark, sf_dir).select("row_id"), 0.2, seed=42)
+
+
+@register("balanced_seed")
+def q_balanced_seed(spark, sf_dir):
+    s = SM.balanced_seed(T.pairs(spark, sf_dir).select("row_id", "label"), 100, seed=0)
+    return s.where("selected").select("row_id", "label")
+
+
+@register("subsample")
+def q_subsample(spark, sf_dir):
+    return SM.subsample(T.pairs(spark, sf_dir).select("row_id", "label"), 5000, seed=42)
+
+
+# ---------------------------------------------------------------- metrics
+from pairlab.operators import metrics as MT  # noqa: E402
+from pairlab.operators import results as RS  # noqa: E402
+
+
+@register("metric_accuracy")
+def q_metric_accuracy(spark, sf_dir):
+    return finish(MT.accuracy(T.scores(spark, sf_dir)))
+
+
+@register("metric_f1")
+def q_metric_f1(spark, sf_dir):
+    return finish(MT.f1(T.scores(spark, sf_dir)))
+
+
+@register("metric_average_precision")
+def q_metric_ap(spark, sf_dir):
+    return finish(MT.average_precision(T.scores(spark, sf_dir)))
+
+
+@register("metric_auroc")
+def q_metric_auroc(spark, sf_dir):
+    return finish(MT.auroc(T.scores(spark, sf_dir)))
+
+
+@register("evaluate_scores")
+def q_evaluate_scores(spark, sf_dir):
+    return finish(MT.evaluate_scores(T.scores(spark, sf_dir)))
+
+
+@register("evaluate_scores_grouped")
+def q_evaluate_scores_grouped(spark, sf_dir):
+    """The same metric row per event type (one evaluation per group, all in one job)."""
+    ev = T.table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("row_id"), "event_type",
+        F.when(F.col("value") > 50, 1).otherwise(0).alias("y"),
+        F.round(F.col("value") / (F.col("value") + F.lit(50.0)), 2).alias("p"))
+    return finish(MT.evaluate_scores(ev, by=["event_type"]))
+
+
+@register("classification_report")
+def q_classification_report(spark, sf_dir):
+    return finish(MT.classification_report(T.scores(spark, sf_dir)))
+
+
+@register("probability_histogram")
+def q_probability_histogram(spark, sf_dir):
+    return finish(MT.probability_histogram(T.passes(spark, sf_dir).join(
+        T.scores(spark, sf_dir).select(F.col("row_id").alias("pass"), "y"), "pass"), "p", "y", 80))
+
+
+@register("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    return finish(RS.learning_curve(T.results(spark, sf_dir)))
+
+
+@register("learning_curve_band")
+def q_learning_curve_band(spark, sf_dir):
+    r = RS.filter_results(T.results(spark, sf_dir), model="mlp_mcdropout")
+    return finish(RS.learning_curve_band(r, "accuracy"))
+
+
+@register("final_round")
+def q_final_round(spark, sf_dir):
+    return finish(RS.final_round(T.results(spark, sf_dir)))
+
+
+@register("epoch_metrics")
+def q_epoch_metrics(spark, sf_dir):
+    return finish(MT.epoch_metrics(T.epochs(spark, sf_dir)))
+
+
+@register("best_epoch")
+def q_best_epoch(spark, sf_dir):
+    return finish(MT.best_epoch(MT.epoch_metrics(T.epochs(spark, sf_dir))))
+
+
+# ---------------------------------------------------------------- MC passes, ensembles
+from pairlab.operators import mc as MC  # noqa: E402
+
+
+@register("mc_mean")
+def q_mc_mean(spark, sf_dir):
+    return finish(MC.mc_summary(T.passes(spark, sf_dir)).select("row_id", "mean_p", "n_passes", "entropy"))
+
+
+@register("mc_variance")
+def q_mc_variance(spark, sf_dir):
+    return finish(MC.mc_summary(T.passes(spark, sf_dir)).select("row_id", "var_p"))
+
+
+@register("mc_std")
+def q_mc_std(spark, sf_dir):
+    return finish(MC.mc_summary(T.passes(spark, sf_dir)).select("row_id", "std_p"))
+
+
+@register("acquire_mc_variance")
+def q_acquire_mc_variance(spark, sf_dir):
+    s = MC.mc_summary(T.passes(spark, sf_dir))
+    return finish(A.top_by_score(s, "var_p", 96).select("row_id", "var_p"))
+
+
+@register("ensemble_variance")
+def q_ensemble_variance(spark, sf_dir):
+    p = T.passes(spark, sf_dir).withColumn("model", F.col("pass") % 3)
+    return finish(MC.ensemble_variance(p))
+
+
+# ---------------------------------------------------------------- weights, scaling, losses
+from pairlab.operators import scaling as SC  # noqa: E402
+
+
+@register("class_weights")
+def q_class_weights(spark, sf_dir):
+    return finish(SC.class_weights(T.pairs(spark, sf_dir)))
+
+
+@register("pos_weight")
+def q_pos_weight(spark, sf_dir):
+    return finish(SC.pos_weight(T.pairs(spark, sf_dir)))
+
+
+@register("standard_scale_fit")
+def q_standard_scale_fit(spark, sf_dir):
+    x = FT.concat_features(lenient(spark, sf_dir))
+    return finish(SC.scaler_long(SC.standard_scale_fit(x, "x")))
+
+
+@register("standard_scale_apply")
+def q_standard_scale_apply(spark, sf_dir):
+    x = FT.concat_features(lenient(spark, sf_dir))
+    st = SC.standard_scale_fit(x, "x")
+    return finish(SC.standard_scale_apply(x, st, "x").select("row_id", *vec_stats("x_scaled", "xs")))
+
+
+@register("bce_loss")
+def q_bce_loss(spark, sf_dir):
+    s = cosine_scores(T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
+    pw = SC.pos_weight(s).select("pos_weight").scalar()
+    return finish(s.select("row_id", S.bce_with_logits(F.lit(4.0) * F.col("cosine"), "label", pw).alias("loss")))
+
+
+@register("entropy_classes")
+def q_entropy_classes(spark, sf_dir):
+    sc = T.scores(spark, sf_dir)
+    return finish(sc.select("row_id", S.class_entropy(F.array(F.lit(1.0) - F.col("p"), F.col("p"))).alias("entropy")))
+
+
+# ---------------------------------------------------------------- salience-weighted acquisition
+def candidates(spark, sf_dir) -> DataFrame:
+    """Strict-lookup candidates: entropy of the fixed scorer and hadamard salience."""
+    looked = LK.lookup_strict(T.pairs(spark, sf_dir).select("row_id", "heavy_seq", "light_seq", "antigen_seq"),
+                              T.emb(spark, sf_dir))
+    ab = looked.select("row_id", V.antibody("heavy_emb", "light_emb").alias("ab"), "antigen_emb")
+    f = ab.select("row_id", V.cosine("ab", "antigen_emb").alias("cosine"),
+                  V.l2norm(V.vmul("ab", "antigen_emb")).alias("salience"))
+    return f.withColumn("entropy", S.binary_entropy((F.lit(1.0) + F.col("cosine")) / 2.0))
+
+
+@register("salience_zscore")
+def q_salience_zscore(spark, sf_dir):
+    return finish(A.salience_zscore(candidates(spark, sf_dir)).select("row_id", "salience", "z"))
+
+
+@register("weighted_score")
+def q_weighted_score(spark, sf_dir):
+    z = A.salience_zscore(candidates(spark, sf_dir))
+    return finish(z.select("row_id", S.weighted_score("entropy", "z", 0.12).alias("wscore")))
+
+
+@register("acquire_weighted")
+def q_acquire_weighted(spark, sf_dir):
+    return finish(A.acquire_weighted(candidates(spark, sf_dir), 96).select("row_id", "wscore"))
+
+
+@register("acquire_hybrid")
+def q_acquire_hybrid(spark, sf_dir):
+    return A.acquire_hybrid(candidates(spark, sf_dir), 96, seed=1, round_=2)
+
+
+# ---------------------------------------------------------------- state moves and set operators
+@register("state_step")
+def q_state_step(spark, sf_dir):
+    """One round: labelled = balanced seed (round 0) + 96 random picks from the rest (round 1)."""
+    pool = T.pairs(spark, sf_dir).select("row_id", "label")
+    seeded = SM.balanced_seed(pool, 100, seed=0)
+    labelled = seeded.where("selected").select("row_id", F.lit(0).alias("round"))
+    unlabelled = pool.join(labelled, "row_id", "left_anti")
+    pick = A.acquire_random(unlabelled, 96, seed=0, round_=1).select("row_id", F.lit(1).alias("round"))
+    return labelled.unionByName(pick)
+
+
+@register("pool_minus_selected")
+def q_pool_minus_selected(spark, sf_dir):
+    pool = T.pairs(spark, sf_dir)
+    picked = A.acquire_random(pool, 1000, seed=42, round_=0)
+    return LK.pool_minus_selected(pool, picked).select("row_id")
+
+
+@register("gather_selected")
+def q_gather_selected(spark, sf_dir):
+    pool = T.pairs(spark, sf_dir)
+    ids = A.acquire_random(pool.select("row_id"), 96, seed=7, round_=0)
+    return LK.gather_selected(pool, ids).select("row_id", "heavy_seq", "light_seq", "antigen_seq", "label")
+
+
+@register("distinct_keys")
+def q_distinct_keys(spark, sf_dir):
+    pool = T.pairs(spark, sf_dir)
+    a = A.acquire_random(pool, 1000, seed=42, round_=0)
+    b = A.acquire_random(pool, 1000, seed=42, round_=1)
+    return LK.distinct_keys(a, b)

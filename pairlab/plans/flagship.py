@@ -25,8 +25,8 @@ def cosine_scores(pairs: DataFrame, emb: DataFrame, dim: int | None = None,
     """(row_id, label, cosine, p, entropy) for every pair that passes the strict lookup."""
     looked = lookup_strict(pairs.select("row_id", "heavy_seq", "light_seq", "antigen_seq", "label"),
                            emb, dim=dim, cfg=cfg)
-    ab = V.antibody("heavy_emb", "light_emb")
-    return (looked.select("row_id", "label", V.cosine(ab, F.col("antigen_emb")).alias("cosine"))
+    ab = looked.select("row_id", "label", V.antibody("heavy_emb", "light_emb").alias("ab"), "antigen_emb")
+    return (ab.select("row_id", "label", V.cosine("ab", "antigen_emb").alias("cosine"))
                   .withColumn("p", (F.lit(1.0) + F.col("cosine")) / F.lit(2.0))
                   .withColumn("entropy", S.binary_entropy("p")))
 

@@ -123,6 +123,8 @@ def _fmt(s: str) -> str:
 
 
 def with_(*names: str) -> str:
+    if not names:
+        return ""
     order: list[str] = []
 
     def visit(n):
@@ -283,3 +285,312 @@ def _():
 @sql("initial_batch", "pairs")
 def _():
     return "SELECT row_id, label FROM pairs ORDER BY md5(concat('42:0:', row_id)), row_id LIMIT 1000"
+
+
+# ---------------------------------------------------------------- sampling and splits
+@sql("stratified_split", "pairs")
+def _():
+    return """SELECT row_id, label, rn <= round(n * 0.2) AS is_test FROM (
+  SELECT row_id, label, count(*) OVER (PARTITION BY label) AS n,
+         row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', row_id)), row_id) AS rn FROM pairs)"""
+
+
+@sql("shuffle_split", "pairs")
+def _():
+    return """SELECT row_id, NOT (rn <= floor(n * 0.8)) AS is_test FROM (
+  SELECT row_id, count(*) OVER () AS n,
+         row_number() OVER (ORDER BY md5(concat('42:', row_id)), row_id) AS rn FROM pairs)"""
+
+
+@sql("balanced_seed", "pairs")
+def _():
+    return """SELECT row_id, label FROM (
+  SELECT row_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(concat('0:seed:', row_id)), row_id) AS rn
+  FROM pairs) WHERE rn <= 50"""
+
+
+@sql("subsample", "pairs")
+def _():
+    return "SELECT row_id, label FROM pairs ORDER BY md5(concat('42:sub:', row_id)), row_id LIMIT 5000"
+
+
+# ---------------------------------------------------------------- metrics
+CONF = """conf AS (SELECT count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+                     count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn
+              FROM scores)"""
+RUN = """d AS (SELECT p AS s, sum(y) AS pos, sum(1 - y) AS neg FROM scores GROUP BY p),
+run AS (SELECT s, pos, neg, sum(pos) OVER (ORDER BY s DESC) AS ctp, sum(neg) OVER (ORDER BY s DESC) AS cfp,
+               sum(pos) OVER () AS P, sum(neg) OVER () AS N FROM d)"""
+AP = "sum(pos * ctp / (ctp + cfp)) / P"
+AUC = "sum(pos * (N - cfp + 0.5 * neg)) / (P * N)"
+
+
+@sql("metric_accuracy", "scores")
+def _():
+    return f", {CONF} SELECT {r6('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy FROM conf"
+
+
+@sql("metric_f1", "scores")
+def _():
+    return (f", {CONF} SELECT {r6('CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END')}"
+            " AS f1 FROM conf")
+
+
+@sql("metric_average_precision", "scores")
+def _():
+    return f", {RUN} SELECT {r6(f'{AP}')} AS average_precision FROM run GROUP BY P"
+
+
+@sql("metric_auroc", "scores")
+def _():
+    return f", {RUN} SELECT {r6(f'{AUC}')} AS auroc FROM run GROUP BY P, N"
+
+
+@sql("evaluate_scores", "scores")
+def _():
+    return (f", {CONF}, {RUN}, rk AS (SELECT {AP} AS auprc, {AUC} AS auroc FROM run GROUP BY P, N) "
+            f"SELECT tp + fp + fn + tn AS n, {r6('(tp + tn) / (tp + fp + fn + tn)')} AS accuracy, "
+            f"{r6('CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END')} AS f1, "
+            f"{r6('auprc')} AS auprc, {r6('auroc')} AS auroc FROM conf, rk")
+
+
+@sql("evaluate_scores_grouped")
+def _():
+    return """ev AS (SELECT event_type, CASE WHEN value > 50 THEN 1 ELSE 0 END AS y,
+                round(value / (value + 50.0), 2) AS p FROM events),
+conf AS (SELECT event_type, count(*) FILTER (WHERE y = 1 AND p >= 0.5) AS tp, count(*) FILTER (WHERE y = 0 AND p >= 0.5) AS fp,
+                count(*) FILTER (WHERE y = 1 AND p < 0.5) AS fn, count(*) FILTER (WHERE y = 0 AND p < 0.5) AS tn
+         FROM ev GROUP BY event_type),
+d AS (SELECT event_type, p AS s, sum(y) AS pos, sum(1 - y) AS neg FROM ev GROUP BY event_type, p),
+run AS (SELECT event_type, s, pos, neg,
+               sum(pos) OVER (PARTITION BY event_type ORDER BY s DESC) AS ctp,
+               sum(neg) OVER (PARTITION BY event_type ORDER BY s DESC) AS cfp,
+               sum(pos) OVER (PARTITION BY event_type) AS P, sum(neg) OVER (PARTITION BY event_type) AS N FROM d),
+rk AS (SELECT event_type, CASE WHEN P = 0 THEN NULL ELSE sum(pos * ctp / (ctp + cfp)) / P END AS auprc,
+              CASE WHEN P * N = 0 THEN NULL ELSE sum(pos * (N - cfp + 0.5 * neg)) / (P * N) END AS auroc
+       FROM run GROUP BY event_type, P, N)
+SELECT c.event_type, tp + fp + fn + tn AS n, round((tp + tn) / (tp + fp + fn + tn), 6) + 0.0 AS accuracy,
+       round(CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END, 6) + 0.0 AS f1,
+       round(auprc, 6) + 0.0 AS auprc, round(auroc, 6) + 0.0 AS auroc
+FROM conf c JOIN rk USING (event_type)""".replace("ev AS", "WITH ev AS", 1)
+
+
+@sql("classification_report", "scores")
+def _():
+    return f""", {CONF}, c AS (
+  SELECT CASE WHEN tn + fn = 0 THEN 0.0 ELSE tn / (tn + fn) END AS p0, CASE WHEN tn + fp = 0 THEN 0.0 ELSE tn / (tn + fp) END AS r0,
+         CASE WHEN 2 * tn + fn + fp = 0 THEN 0.0 ELSE 2.0 * tn / (2 * tn + fn + fp) END AS f0, tn + fp AS s0,
+         CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END AS p1, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END AS r1,
+         CASE WHEN 2 * tp + fp + fn = 0 THEN 0.0 ELSE 2.0 * tp / (2 * tp + fp + fn) END AS f1, tp + fn AS s1,
+         tp + fp + fn + tn AS n, (tp + tn) / (tp + fp + fn + tn) AS acc FROM conf)
+SELECT class, {r6('pr')} AS precision, {r6('rc')} AS recall, {r6('f')} AS f1_score, support FROM (
+  SELECT '0' AS class, p0 AS pr, r0 AS rc, f0 AS f, s0 AS support FROM c UNION ALL
+  SELECT '1', p1, r1, f1, s1 FROM c UNION ALL
+  SELECT 'accuracy', NULL, NULL, acc, n FROM c UNION ALL
+  SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n FROM c UNION ALL
+  SELECT 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n FROM c)"""
+
+
+@sql("probability_histogram", "passes", "scores")
+def _():
+    return f""", hp AS (SELECT a.p, b.y FROM passes a JOIN scores b ON a.pass = b.row_id),
+r AS (SELECT y, count(*) AS n, CASE WHEN min(p) = max(p) THEN min(p) - 0.5 ELSE min(p) END AS lo,
+             CASE WHEN min(p) = max(p) THEN max(p) + 0.5 ELSE max(p) END AS hi FROM hp GROUP BY y),
+b AS (SELECT hp.y, CAST(least(floor((hp.p - r.lo) / ((r.hi - r.lo) / 80)), 79) AS INTEGER) AS bin, r.lo, r.hi, r.n
+      FROM hp JOIN r USING (y))
+SELECT y, bin, {r6('lo + bin * ((hi - lo) / 80)')} AS bin_lo, {r6('lo + (bin + 1) * ((hi - lo) / 80)')} AS bin_hi,
+       count(*) AS count, {r6('count(*) / (n * ((hi - lo) / 80))')} AS density
+FROM b GROUP BY y, bin, lo, hi, n"""
+
+
+@sql("learning_curve", "results")
+def _():
+    return (f"SELECT model, strategy, n_labeled, count(*) AS n_seeds, "
+            f"{r6('avg(accuracy)')} AS accuracy_mean, {r6('stddev_samp(accuracy)')} AS accuracy_std, "
+            f"{r6('avg(f1)')} AS f1_mean, {r6('stddev_samp(f1)')} AS f1_std, "
+            f"{r6('avg(auprc)')} AS auprc_mean, {r6('stddev_samp(auprc)')} AS auprc_std "
+            "FROM results GROUP BY model, strategy, n_labeled")
+
+
+@sql("learning_curve_band", "results")
+def _():
+    return (f"SELECT model, strategy, n_labeled, {r6('avg(accuracy)')} AS mean, {r6('stddev_samp(accuracy)')} AS std, "
+            f"{r6('avg(accuracy) - stddev_samp(accuracy)')} AS lower, {r6('avg(accuracy) + stddev_samp(accuracy)')} AS upper "
+            "FROM results WHERE model = 'mlp_mcdropout' GROUP BY model, strategy, n_labeled")
+
+
+@sql("final_round", "results")
+def _():
+    return (f"SELECT model, strategy, seed, max(round) AS last_round, {r6('max_by(accuracy, round)')} AS final_accuracy, "
+            f"{r6('max_by(f1, round)')} AS final_f1, {r6('max_by(auprc, round)')} AS final_auprc "
+            "FROM results GROUP BY model, strategy, seed")
+
+
+EPOCH_SQL = """em AS (SELECT epoch, CASE WHEN sum(n) > 0 THEN sum(loss_sum) / sum(n) ELSE 0.0 END AS val_loss,
+       CASE WHEN sum(n) > 0 THEN sum(correct) / sum(n) ELSE 0.0 END AS val_acc, CAST(sum(n) AS BIGINT) AS n
+       FROM epochs GROUP BY epoch)"""
+
+
+@sql("epoch_metrics", "epochs")
+def _():
+    return f", {EPOCH_SQL} SELECT epoch, {r6('val_loss')} AS val_loss, {r6('val_acc')} AS val_acc, n FROM em"
+
+
+@sql("best_epoch", "epochs")
+def _():
+    return (f", {EPOCH_SQL} SELECT epoch, {r6('val_loss')} AS val_loss, {r6('val_acc')} AS val_acc, n FROM em "
+            "ORDER BY val_acc DESC, epoch LIMIT 1")
+
+
+# ---------------------------------------------------------------- MC passes, ensembles
+MC_SQL = """mc AS (SELECT row_id, avg(p) AS mean_p, var_pop(p) AS var_p, stddev_pop(p) AS std_p, count(*) AS n_passes
+       FROM passes GROUP BY row_id)"""
+
+
+@sql("mc_mean", "passes")
+def _():
+    return (f", {MC_SQL} SELECT row_id, {r6('mean_p')} AS mean_p, n_passes, {r6(ent('mean_p'))} AS entropy FROM mc")
+
+
+@sql("mc_variance", "passes")
+def _():
+    return f", {MC_SQL} SELECT row_id, {r6('var_p')} AS var_p FROM mc"
+
+
+@sql("mc_std", "passes")
+def _():
+    return f", {MC_SQL} SELECT row_id, {r6('std_p')} AS std_p FROM mc"
+
+
+@sql("acquire_mc_variance", "passes")
+def _():
+    return f", {MC_SQL} SELECT row_id, {r6('var_p')} AS var_p FROM mc ORDER BY round(var_p, 12) DESC, row_id LIMIT 96"
+
+
+@sql("ensemble_variance", "passes")
+def _():
+    return (f", pm AS (SELECT row_id, pass % 3 AS model, avg(p) AS model_p FROM passes GROUP BY ALL) "
+            f"SELECT row_id, count(*) AS n_models, {r6('avg(model_p)')} AS mean_p, {r6('var_pop(model_p)')} AS var_p "
+            "FROM pm GROUP BY row_id")
+
+
+# ---------------------------------------------------------------- weights, scaling, losses
+@sql("class_weights", "pairs")
+def _():
+    return (f", c AS (SELECT label, count(*) AS n_c FROM pairs GROUP BY label) "
+            f"SELECT label, n_c, {r6('(SELECT sum(n_c) FROM c) / ((SELECT count(*) FROM c) * n_c)')} AS weight FROM c")
+
+
+@sql("pos_weight", "pairs")
+def _():
+    return (f"SELECT n_neg, n_pos, {r6('n_neg / greatest(n_pos, 1)')} AS pos_weight FROM ("
+            "SELECT count(*) FILTER (WHERE label = 0) AS n_neg, count(*) FILTER (WHERE label = 1) AS n_pos FROM pairs)")
+
+
+SCALE_SQL = """xs AS (SELECT row_id, list_concat(h, l, ag) AS x FROM lenient),
+st AS (SELECT i - 1 AS i, avg(v) AS mean, stddev_pop(v) AS std FROM (
+         SELECT unnest(x) AS v, unnest(range(1, len(x) + 1)) AS i FROM xs) GROUP BY i)"""
+
+
+@sql("standard_scale_fit", "lenient")
+def _():
+    return f", {SCALE_SQL} SELECT CAST(i AS INTEGER) AS i, {r6('mean')} AS mean, {r6('std')} AS std FROM st"
+
+
+@sql("standard_scale_apply", "lenient")
+def _():
+    return f""", {SCALE_SQL},
+arr AS (SELECT list(mean ORDER BY i) AS m, list(CASE WHEN std = 0 THEN 1.0 ELSE std END ORDER BY i) AS s FROM st),
+sc AS (SELECT row_id, list_transform(range(1, len(x) + 1), lambda k: (x[k] - arr.m[k]) / arr.s[k]) AS y FROM xs, arr)
+SELECT row_id, {stats('y', 'xs')} FROM sc"""
+
+
+@sql("bce_loss", "cosine_scores")
+def _():
+    z = "(4.0 * cosine)"
+    sp = lambda t: f"(greatest({t}, 0.0) + ln(1 + exp(-abs({t}))))"
+    return (", pw AS (SELECT count(*) FILTER (WHERE label = 0) / greatest(count(*) FILTER (WHERE label = 1), 1) AS w "
+            "FROM cosine_scores) "
+            f"SELECT row_id, {r6(f'pw.w * label * {sp(f"(-{z})")} + (1 - label) * {sp(z)}')} AS loss FROM cosine_scores, pw")
+
+
+@sql("entropy_classes", "scores")
+def _():
+    return (f"SELECT row_id, {r6('-((1 - p) * ln((1 - p) + 1e-10) + p * ln(p + 1e-10))')} AS entropy FROM scores")
+
+
+# ---------------------------------------------------------------- salience-weighted acquisition
+CAND = """cand AS (SELECT row_id, {cos} AS cosine, sqrt(list_sum(list_transform(list_zip(ab, ag), lambda z: (z[1] * z[2]) * (z[1] * z[2])))) AS salience
+  FROM (SELECT row_id, antigen_emb AS ag,
+               CASE WHEN coalesce(len(list_filter(light_emb, lambda x: x <> 0)) > 0, false)
+                    THEN list_transform(list_zip(heavy_emb, light_emb), lambda z: (z[1] + z[2]) / 2.0)
+                    ELSE heavy_emb END AS ab FROM strict)),
+cand2 AS (SELECT *, {ent} AS entropy FROM (SELECT *, (1.0 + cosine) / 2.0 AS p FROM cand)),
+zc AS (SELECT *, (salience - (SELECT avg(salience) FROM cand2)) / ((SELECT stddev_pop(salience) FROM cand2) + 1e-8) AS z
+       FROM cand2),
+ws AS (SELECT *, entropy * (1.0 + 0.12 * tanh(z)) AS wscore FROM zc)"""
+
+
+def _cand():
+    return ", " + CAND.format(cos=cos("ab", "ag"), ent=ent("p")) + " "
+
+
+@sql("salience_zscore", "strict")
+def _():
+    return _cand() + f"SELECT row_id, {r6('salience')} AS salience, {r6('z')} AS z FROM ws"
+
+
+@sql("weighted_score", "strict")
+def _():
+    return _cand() + f"SELECT row_id, {r6('wscore')} AS wscore FROM ws"
+
+
+@sql("acquire_weighted", "strict")
+def _():
+    return _cand() + f"SELECT row_id, {r6('wscore')} AS wscore FROM ws ORDER BY round(wscore, 12) DESC, row_id LIMIT 96"
+
+
+@sql("acquire_hybrid", "strict")
+def _():
+    return _cand() + """, rnd AS (SELECT row_id FROM cand2 ORDER BY md5(concat('1:2:', row_id)), row_id LIMIT 48),
+rest AS (SELECT * FROM cand2 WHERE row_id NOT IN (SELECT row_id FROM rnd)),
+rz AS (SELECT *, entropy * (1.0 + 0.12 * tanh((salience - (SELECT avg(salience) FROM rest))
+                 / ((SELECT stddev_pop(salience) FROM rest) + 1e-8))) AS wscore FROM rest)
+SELECT row_id, 'random' AS part FROM rnd
+UNION ALL
+SELECT row_id, 'weighted' AS part FROM (SELECT row_id FROM rz ORDER BY round(wscore, 12) DESC, row_id LIMIT 48)"""
+
+
+# ---------------------------------------------------------------- state moves and set operators
+@sql("state_step", "pairs")
+def _():
+    return """, seeded AS (SELECT row_id FROM (
+  SELECT row_id, row_number() OVER (PARTITION BY label ORDER BY md5(concat('0:seed:', row_id)), row_id) AS rn FROM pairs)
+  WHERE rn <= 50),
+pick AS (SELECT row_id FROM pairs WHERE row_id NOT IN (SELECT row_id FROM seeded)
+         ORDER BY md5(concat('0:1:', row_id)), row_id LIMIT 96)
+SELECT row_id, 0 AS round FROM seeded UNION ALL SELECT row_id, 1 AS round FROM pick"""
+
+
+KEY3_SQL = "heavy_seq, coalesce(light_seq, '') AS light_key, antigen_seq"
+
+
+@sql("pool_minus_selected", "pairs")
+def _():
+    return f""", picked AS (SELECT {KEY3_SQL} FROM pairs ORDER BY md5(concat('42:0:', row_id)), row_id LIMIT 1000)
+SELECT p.row_id FROM pairs p ANTI JOIN picked s
+  ON p.heavy_seq = s.heavy_seq AND coalesce(p.light_seq, '') = s.light_key AND p.antigen_seq = s.antigen_seq"""
+
+
+@sql("gather_selected", "pairs")
+def _():
+    return """, ids AS (SELECT row_id FROM pairs ORDER BY md5(concat('7:0:', row_id)), row_id LIMIT 96)
+SELECT row_id, heavy_seq, light_seq, antigen_seq, label FROM pairs WHERE row_id IN (SELECT row_id FROM ids)"""
+
+
+@sql("distinct_keys", "pairs")
+def _():
+    return f"""SELECT DISTINCT * FROM (
+  (SELECT {KEY3_SQL} FROM pairs ORDER BY md5(concat('42:0:', row_id)), row_id LIMIT 1000)
+  UNION ALL
+  (SELECT {KEY3_SQL} FROM pairs ORDER BY md5(concat('42:1:', row_id)), row_id LIMIT 1000))"""
