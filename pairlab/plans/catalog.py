@@ -472,3 +472,182 @@ def q_distinct_keys(spark, sf_dir):
     a = A.acquire_random(pool, 1000, seed=42, round_=0)
     b = A.acquire_random(pool, 1000, seed=42, round_=1)
     return LK.distinct_keys(a, b)
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+import uuid  # noqa: E402
+
+from pairlab.config import state_path  # noqa: E402
+from pairlab.operators import encode as EN  # noqa: E402
+from pairlab.operators import geometry as GE  # noqa: E402
+from pairlab.operators import tokens as TK  # noqa: E402
+from pairlab.sources import readers as RD  # noqa: E402
+from pairlab.sources import writers as WR  # noqa: E402
+
+
+def scratch(spark, name: str) -> str:
+    """A fresh folder under the session's shared checkpoint folder."""
+    return state_path(spark, "io", f"{name}-{uuid.uuid4().hex}")
+
+
+@register("src_csv_pairs")
+def q_src_csv_pairs(spark, sf_dir):
+    path = scratch(spark, "pairs_csv")
+    T.pairs(spark, sf_dir).write.option("header", True).csv(path)
+    return RD.read_pairs_csv(spark, path)
+
+
+@register("src_text_sequences")
+def q_src_text_sequences(spark, sf_dir):
+    path = scratch(spark, "seq_text")
+    T.seqs(spark, sf_dir).select("seq").write.text(path)
+    return RD.read_sequences(spark, path)
+
+
+@register("src_embeddings")
+def q_src_embeddings(spark, sf_dir):
+    """Tensor-layout embedding parquet -> (seq, data, shape), pruned to those columns."""
+    path = scratch(spark, "emb_struct")
+    T.tokens(spark, sf_dir).write.parquet(path)
+    e = RD.read_embeddings(spark, path)
+    return finish(e.select("seq", F.col("shape"), *vec_stats("data", "data")))
+
+
+@register("sink_embeddings")
+def q_sink_embeddings(spark, sf_dir):
+    path = scratch(spark, "emb_flat")
+    WR.write_embeddings(T.emb(spark, sf_dir), path)
+    e = RD.read_embeddings(spark, path)
+    return finish(e.select("seq", *vec_stats("data", "data")))
+
+
+@register("feature_cache_roundtrip")
+def q_feature_cache_roundtrip(spark, sf_dir):
+    path = scratch(spark, "features")
+    WR.write_feature_cache(FT.concat_features(lenient(spark, sf_dir)), path)
+    back = spark.read.parquet(path)
+    return finish(back.select("row_id", "label", *vec_stats("x", "x")))
+
+
+RESULTS_SCHEMA = ("model STRING, strategy STRING, seed BIGINT, round INT, n_labeled INT, accuracy DOUBLE, "
+                  "f1 DOUBLE, auprc DOUBLE")
+
+
+@register("results_csv_roundtrip")
+def q_results_csv_roundtrip(spark, sf_dir):
+    path = scratch(spark, "results_csv")
+    WR.write_results_csv(T.results(spark, sf_dir), path)
+    return finish(WR.read_results_csv(spark, path, RESULTS_SCHEMA))
+
+
+@register("report_json")
+def q_report_json(spark, sf_dir):
+    path = scratch(spark, "report")
+    rep = MT.epoch_metrics(T.epochs(spark, sf_dir)).select(F.col("epoch").alias("batch"),
+                                                           F.lit("passive").alias("strategy"),
+                                                           "val_loss", "val_acc")
+    WR.write_report(rep, path)
+    return finish(spark.read.schema("batch INT, strategy STRING, val_loss DOUBLE, val_acc DOUBLE").json(path))
+
+
+@register("dedupe_last_wins")
+def q_dedupe_last_wins(spark, sf_dir):
+    """Repeated document texts: the row with the highest doc_id wins."""
+    d = T.table(spark, sf_dir, "documents").select("text", "doc_id", "lang")
+    r = RD.dedupe_last(d, "text", ["doc_id"])
+    return r.select(F.md5("text").alias("text_md5"), "doc_id", "lang")
+
+
+# ---------------------------------------------------------------- token matrices
+def decoded(spark, sf_dir) -> DataFrame:
+    t = T.tokens(spark, sf_dir)
+    return TK.decode_tokens(t.select("text", F.col("embedding.data").cast("array<double>").alias("data"),
+                                     F.col("embedding.shape").alias("shape")))
+
+
+@register("decode_tokens")
+def q_decode_tokens(spark, sf_dir):
+    d = decoded(spark, sf_dir)
+    return finish(d.select("text", F.size("tokens").alias("n_tok"),
+                           V.vsum(F.element_at("tokens", 1)).alias("first_sum"),
+                           V.vsum(F.element_at("tokens", -1)).alias("last_sum")))
+
+
+@register("mean_pool")
+def q_mean_pool(spark, sf_dir):
+    d = TK.mean_pool(decoded(spark, sf_dir))
+    return finish(d.select("text", *vec_stats("pooled", "pooled")))
+
+
+@register("first_token_pool")
+def q_first_token_pool(spark, sf_dir):
+    d = TK.first_token_pool(decoded(spark, sf_dir))
+    return finish(d.select("text", *vec_stats("cls", "cls")))
+
+
+@register("pad_and_mask")
+def q_pad_and_mask(spark, sf_dir):
+    d = TK.pad_and_mask(decoded(spark, sf_dir))
+    return finish(d.select("text", F.size("padded").alias("n_padded"),
+                           F.size(F.filter("mask", lambda m: m)).alias("n_valid"),
+                           F.aggregate("padded", F.lit(0.0), lambda acc, t: acc + V.vsum(t)).alias("padded_sum")))
+
+
+@register("antibody_tokens")
+def q_antibody_tokens(spark, sf_dir):
+    d = decoded(spark, sf_dir)
+    d = d.select("text", F.col("tokens").alias("heavy_tokens"),
+                 F.when(F.size("tokens") % 2 == 0, F.reverse("tokens")).alias("light_tokens"))
+    a = TK.antibody_tokens(d)
+    return finish(a.select("text", F.size("ab_tokens").alias("n_tok"),
+                           F.aggregate("ab_tokens", F.lit(0.0), lambda acc, t: acc + V.vsum(t)).alias("ab_sum")))
+
+
+def attention_weights(dim: int) -> list[float]:
+    """Fixed scoring weights for the attention-pool check: ((j mod 7) - 3) / 10."""
+    return [((j % 7) - 3) / 10.0 for j in range(dim)]
+
+
+@register("attention_pool")
+def q_attention_pool(spark, sf_dir):
+    d = TK.pad_and_mask(decoded(spark, sf_dir))
+    a = TK.attention_pool(d, "padded", "mask", attention_weights(_dim_int(spark, sf_dir)), 0.1)
+    return finish(a.select("text", *vec_stats("attn_pooled", "attn")))
+
+
+# ---------------------------------------------------------------- encoder job
+@register("extract_embeddings")
+def q_extract_embeddings(spark, sf_dir):
+    s = T.seqs(spark, sf_dir)
+    e = EN.extract_embeddings(s, "seq", EN.get_encoder("composition", dim=64), "embedding")
+    return finish(e.select("row_id", F.length("seq").alias("n_chars"), *vec_stats("embedding", "emb")))
+
+
+# ---------------------------------------------------------------- geometry
+@register("leaf_proximity")
+def q_leaf_proximity(spark, sf_dir):
+    return finish(GE.leaf_proximity(T.leaves(spark, sf_dir)))
+
+
+@register("proximity_totals")
+def q_proximity_totals(spark, sf_dir):
+    return GE.proximity_totals(T.leaves(spark, sf_dir))
+
+
+@register("neighbour_label_agreement")
+def q_neighbour_label_agreement(spark, sf_dir):
+    return finish(GE.neighbour_label_agreement(T.leaves(spark, sf_dir), T.pairs(spark, sf_dir)))
+
+
+@register("nearest_to_center")
+def q_nearest_to_center(spark, sf_dir):
+    """Per label, the embedding closest to the label centroid."""
+    e = T.emb(spark, sf_dir).withColumn("row_id", F.expr("CAST(substring(seq, 2) AS BIGINT)"))
+    c = GE.class_centroids(e, "embedding", "emb_label")
+    return finish(A.nearest_to_center(e, c, "embedding", "emb_label"))
+
+
+@register("centroid_distance")
+def q_centroid_distance(spark, sf_dir):
+    e = T.emb(spark, sf_dir)
+    return finish(GE.centroid_distance(e, "embedding", "emb_label").select("seq", "emb_label", "dist"))

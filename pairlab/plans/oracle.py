@@ -41,7 +41,7 @@ CTE = {
     "seqs": """seqs AS (SELECT doc_id AS row_id, text AS seq FROM documents)""",
     "tokens": """tokens AS (
   SELECT concat('t', CAST(floor(vec_id / 40) AS BIGINT), '_', CAST(label AS VARCHAR)) AS text,
-         flatten(list(embedding ORDER BY vec_id)) AS data,
+         flatten(list(CAST(embedding AS DOUBLE[]) ORDER BY vec_id)) AS data,
          [count(*), max(len(embedding))]::BIGINT[] AS shape
   FROM embeddings GROUP BY 1)""",
 }
@@ -594,3 +594,161 @@ def _():
   (SELECT {KEY3_SQL} FROM pairs ORDER BY md5(concat('42:0:', row_id)), row_id LIMIT 1000)
   UNION ALL
   (SELECT {KEY3_SQL} FROM pairs ORDER BY md5(concat('42:1:', row_id)), row_id LIMIT 1000))"""
+
+
+# ---------------------------------------------------------------- sources and sinks (round trips)
+@sql("src_csv_pairs", "pairs")
+def _():
+    return "SELECT * FROM pairs"
+
+
+@sql("src_text_sequences", "seqs")
+def _():
+    return "SELECT seq FROM (SELECT unnest(string_split(seq, chr(10))) AS seq FROM seqs) WHERE length(trim(seq)) > 0"
+
+
+TOK_STATS = lambda a, p: stats(a, p)
+
+
+@sql("src_embeddings", "tokens")
+def _():
+    return f"SELECT text AS seq, shape, {stats('data', 'data')} FROM tokens"
+
+
+@sql("sink_embeddings", "emb")
+def _():
+    return f"SELECT seq, {stats('embedding', 'data')} FROM emb"
+
+
+@sql("feature_cache_roundtrip", "lenient")
+def _():
+    return f"SELECT row_id, label, {stats('list_concat(h, l, ag)', 'x')} FROM lenient"
+
+
+@sql("results_csv_roundtrip", "results")
+def _():
+    return (f"SELECT model, strategy, seed, round, n_labeled, {r6('accuracy')} AS accuracy, {r6('f1')} AS f1, "
+            f"{r6('auprc')} AS auprc FROM results")
+
+
+@sql("report_json", "epochs")
+def _():
+    return (f", {EPOCH_SQL} SELECT CAST(epoch AS INTEGER) AS batch, 'passive' AS strategy, {r6('val_loss')} AS val_loss, "
+            f"{r6('val_acc')} AS val_acc FROM em")
+
+
+@sql("dedupe_last_wins")
+def _():
+    return ("SELECT md5(text) AS text_md5, max(doc_id) AS doc_id, arg_max(lang, doc_id) AS lang "
+            "FROM documents GROUP BY text")
+
+
+# ---------------------------------------------------------------- token matrices
+TOKLONG = """tl AS (SELECT concat('t', CAST(floor(vec_id / 40) AS BIGINT), '_', CAST(label AS VARCHAR)) AS text,
+                  vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)"""
+
+
+@sql("decode_tokens")
+def _():
+    return f"""WITH {TOKLONG}
+SELECT text, CAST(count(*) AS INTEGER) AS n_tok, {r6('arg_min(list_sum(e), vec_id)')} AS first_sum,
+       {r6('arg_max(list_sum(e), vec_id)')} AS last_sum FROM tl GROUP BY text"""
+
+
+@sql("mean_pool")
+def _():
+    return f"""WITH {TOKLONG},
+pd AS (SELECT text, j, avg(v) AS v FROM (SELECT text, unnest(e) AS v, unnest(range(len(e))) AS j FROM tl) GROUP BY text, j),
+pl AS (SELECT text, list(v ORDER BY j) AS pooled FROM pd GROUP BY text)
+SELECT text, {stats('pooled', 'pooled')} FROM pl"""
+
+
+@sql("first_token_pool")
+def _():
+    return f"""WITH {TOKLONG}, f AS (SELECT text, arg_min(e, vec_id) AS cls FROM tl GROUP BY text)
+SELECT text, {stats('cls', 'cls')} FROM f"""
+
+
+@sql("pad_and_mask")
+def _():
+    return f"""WITH {TOKLONG}, g AS (SELECT text, count(*) AS n, sum(list_sum(e)) AS s FROM tl GROUP BY text)
+SELECT text, CAST((SELECT max(n) FROM g) AS INTEGER) AS n_padded, CAST(n AS INTEGER) AS n_valid, {r6('s')} AS padded_sum FROM g"""
+
+
+@sql("antibody_tokens")
+def _():
+    return f"""WITH {TOKLONG}, g AS (SELECT text, count(*) AS n, sum(list_sum(e)) AS s FROM tl GROUP BY text)
+SELECT text, CAST(CASE WHEN n % 2 = 0 THEN 2 * n ELSE n END AS INTEGER) AS n_tok,
+       {r6('CASE WHEN n % 2 = 0 THEN 2 * s ELSE s END')} AS ab_sum FROM g"""
+
+
+@sql("attention_pool")
+def _():
+    return f"""WITH {TOKLONG},
+sc AS (SELECT text, vec_id, e, list_sum(list_transform(range(1, len(e) + 1),
+          lambda j: e[j] * ((((j - 1) % 7) - 3) / 10.0))) + 0.1 AS s FROM tl),
+wt AS (SELECT text, vec_id, e, exp(s - max(s) OVER (PARTITION BY text)) AS ex FROM sc),
+wn AS (SELECT text, vec_id, e, ex / sum(ex) OVER (PARTITION BY text) AS w FROM wt),
+pd AS (SELECT text, j, sum(w * v) AS v FROM (SELECT text, w, unnest(e) AS v, unnest(range(len(e))) AS j FROM wn) GROUP BY text, j),
+pl AS (SELECT text, list(v ORDER BY j) AS attn FROM pd GROUP BY text)
+SELECT text, {stats('attn', 'attn')} FROM pl"""
+
+
+# ---------------------------------------------------------------- encoder job
+@sql("extract_embeddings", "seqs")
+def _():
+    return f"""WITH ch AS (SELECT row_id, unicode(c) % 64 AS j FROM (SELECT row_id, unnest(string_split(seq, '')) AS c FROM seqs)),
+cnt AS (SELECT row_id, j, count(*) AS k FROM ch GROUP BY row_id, j),
+tot AS (SELECT row_id, length(seq) AS n FROM seqs)
+SELECT t.row_id, t.n AS n_chars, 64 AS emb_n,
+       {r6('coalesce(sum(c.k) / t.n, 0.0)')} AS emb_sum, {r6('coalesce(sqrt(sum((c.k / t.n) * (c.k / t.n))), 0.0)')} AS emb_norm
+FROM tot t LEFT JOIN cnt c USING (row_id) GROUP BY t.row_id, t.n""".replace("WITH ch AS", ", ch AS", 1)
+
+
+# ---------------------------------------------------------------- geometry
+@sql("leaf_proximity", "leaves")
+def _():
+    return f""", occ AS (SELECT tree, leaf, count(*) AS n FROM leaves GROUP BY tree, leaf),
+g AS (SELECT l.row_id, CAST(sum(o.n - 1) AS BIGINT) AS shared_leaves FROM leaves l JOIN occ o USING (tree, leaf) GROUP BY l.row_id)
+SELECT row_id, shared_leaves,
+       {r6('shared_leaves / ((SELECT count(DISTINCT tree) FROM leaves) * ((SELECT count(DISTINCT row_id) FROM leaves) - 1))')} AS mean_proximity
+FROM g"""
+
+
+@sql("proximity_totals", "leaves")
+def _():
+    return """, occ AS (SELECT tree, leaf, count(*) AS n FROM leaves GROUP BY tree, leaf)
+SELECT tree, CAST(sum(n * (n - 1)) / 2 AS BIGINT) AS pairs_sharing, count(*) AS leaves_used, max(n) AS largest_leaf
+FROM occ GROUP BY tree"""
+
+
+@sql("neighbour_label_agreement", "leaves", "pairs")
+def _():
+    return f""", lv AS (SELECT l.row_id, l.tree, l.leaf, p.label FROM leaves l JOIN pairs p USING (row_id)),
+occ AS (SELECT tree, leaf, count(*) AS n FROM lv GROUP BY tree, leaf),
+occl AS (SELECT tree, leaf, label, count(*) AS n_same FROM lv GROUP BY tree, leaf, label),
+g AS (SELECT lv.row_id, lv.label, CAST(sum(o.n - 1) AS BIGINT) AS neighbours, CAST(sum(ol.n_same - 1) AS BIGINT) AS same_label
+      FROM lv JOIN occ o USING (tree, leaf) JOIN occl ol USING (tree, leaf, label) GROUP BY lv.row_id, lv.label)
+SELECT row_id, label, neighbours, same_label,
+       {r6('CASE WHEN neighbours = 0 THEN NULL ELSE same_label / neighbours END')} AS agreement FROM g"""
+
+
+CENTROIDS = """e AS (SELECT CAST(vec_id AS BIGINT) AS row_id, concat('v', CAST(vec_id AS VARCHAR)) AS seq, label AS emb_label,
+                CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cd AS (SELECT emb_label, j, avg(x) AS m FROM (SELECT emb_label, unnest(v) AS x, unnest(range(len(v))) AS j FROM e)
+       GROUP BY emb_label, j),
+c AS (SELECT emb_label, list(m ORDER BY j) AS center FROM cd GROUP BY emb_label),
+dist AS (SELECT e.row_id, e.seq, e.emb_label,
+                sqrt(list_sum(list_transform(list_zip(e.v, c.center), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS dist
+         FROM e JOIN c USING (emb_label))"""
+
+
+@sql("nearest_to_center")
+def _():
+    return f"""WITH {CENTROIDS}
+SELECT emb_label, arg_min(row_id, (dist, row_id)) AS row_id, {r6('min(dist)')} AS dist FROM dist GROUP BY emb_label"""
+
+
+@sql("centroid_distance")
+def _():
+    return f"WITH {CENTROIDS} SELECT seq, emb_label, {r6('dist')} AS dist FROM dist"
