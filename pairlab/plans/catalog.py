@@ -651,3 +651,106 @@ def q_nearest_to_center(spark, sf_dir):
 def q_centroid_distance(spark, sf_dir):
     e = T.emb(spark, sf_dir)
     return finish(GE.centroid_distance(e, "embedding", "emb_label").select("seq", "emb_label", "dist"))
+
+
+# ---------------------------------------------------------------- models
+from pairlab.operators import models as M  # noqa: E402
+from pairlab.plans import loop as LP  # noqa: E402
+
+
+@register("mlp_forward")
+def q_mlp_forward(spark, sf_dir):
+    """Pair MLP (concat heavy, antigen -> 16 ReLU -> logit) with rule-defined weights."""
+    d = _dim_int(spark, sf_dir)
+    s = strict(spark, sf_dir).select("row_id", F.concat("heavy_emb", "antigen_emb").alias("x"))
+    return finish(M.mlp_score(s, M.rule_weights([2 * d, 16, 1]), "x"))
+
+
+def features(spark, sf_dir) -> DataFrame:
+    return LP.interaction_table(spark, T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
+
+
+@register("train_mlp")
+def q_train_mlp(spark, sf_dir):
+    """Data-parallel full-batch training: the mean loss of every epoch."""
+    data = features(spark, sf_dir)
+    _, hist = M.train_mlp(data, "x", "label", hidden=(32, 16), epochs=8, lr=1e-2, dropout=0.3, seed=0)
+    return spark.createDataFrame(hist, "epoch INT, loss DOUBLE")
+
+
+@register("mc_dropout_score")
+def q_mc_dropout_score(spark, sf_dir):
+    data = features(spark, sf_dir)
+    w, _ = M.train_mlp(data, "x", "label", hidden=(32, 16), epochs=3, lr=1e-2, seed=0)
+    return M.mc_dropout_score(data, w, "x", passes=20, rate=0.3, seed=0)
+
+
+@register("train_forest")
+def q_train_forest(spark, sf_dir):
+    data = features(spark, sf_dir)
+    split = SM.stratified_split(data, "label", 0.2, seed=42)
+    model = M.train_forest(split.where(~F.col("is_test")), "x", "label", num_trees=50, seed=42)
+    pred = M.forest_predict(model, split.where("is_test").select("row_id", "label", "x"), "x")
+    return MT.evaluate_scores(pred, "label", "p")
+
+
+@register("forest_leaf_proximity")
+def q_forest_leaf_proximity(spark, sf_dir):
+    """Leaf ids of a trained forest (one per tree) -> per-row proximity aggregates."""
+    data = features(spark, sf_dir)
+    model = M.train_forest(data, "x", "label", num_trees=30, seed=42)
+    pred = M.forest_predict(model, data.select("row_id", "x"), "x", leaves=True)
+    return GE.leaf_proximity(M.forest_leaves_long(pred))
+
+
+@register("kmeans_slice")
+def q_kmeans_slice(spark, sf_dir):
+    """KMeans(96) on the 480 most uncertain rows of the fixed scorer (cluster per row)."""
+    data = features(spark, sf_dir)
+    c = candidates(spark, sf_dir).select("row_id", "entropy")
+    top = A.top_by_score(data.join(c, "row_id"), "entropy", 480)
+    km = M.kmeans_best(top, "x", 96, seed=42)
+    from pyspark.ml.functions import array_to_vector
+    return km.transform(top.withColumn("_v", array_to_vector("x"))).select("row_id", "cluster")
+
+
+@register("acquire_badge")
+def q_acquire_badge(spark, sf_dir):
+    data = features(spark, sf_dir)
+    c = candidates(spark, sf_dir).select("row_id", "entropy")
+    return LP.acquire_badge(data.join(c, "row_id"), "x", 96, seed=42)
+
+
+@register("project_2d")
+def q_project_2d(spark, sf_dir):
+    data = features(spark, sf_dir)
+    st = SC.standard_scale_fit(data, "x")
+    scaled = SC.standard_scale_apply(data, st, "x", "xs")
+    return GE.project_2d(scaled.select("row_id", "label", "xs"), "xs").select("row_id", "label", "xy")
+
+
+# ---------------------------------------------------------------- loops
+@register("al_loop_fixed")
+def q_al_loop_fixed(spark, sf_dir):
+    """Fixed horizon: rounds 0..3 of forest + entropy acquisition, batch 96."""
+    return LP.run_al(spark, features(spark, sf_dir), "uncertainty", seed=0, batch=96, rounds=3,
+                     model="forest", forest_trees=20)
+
+
+@register("al_loop_exhaust")
+def q_al_loop_exhaust(spark, sf_dir):
+    """Exhaust the pool with random acquisition, batch 2000."""
+    return LP.run_al(spark, features(spark, sf_dir), "random", seed=0, batch=2000, rounds=None,
+                     model="forest", forest_trees=20)
+
+
+@register("al_campaign")
+def q_al_campaign(spark, sf_dir):
+    """Warm campaign: 1000 initial, 21 iterations of 96 passive picks, forest retrained each time."""
+    return LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21, "forest", forest_trees=20)
+
+
+@register("experiment_grid")
+def q_experiment_grid(spark, sf_dir):
+    return LP.experiment_grid(spark, features(spark, sf_dir), seeds=(0, 1), strategies=("random", "weighted"),
+                              rounds=2, forest_trees=20)

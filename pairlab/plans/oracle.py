@@ -752,3 +752,14 @@ SELECT emb_label, arg_min(row_id, (dist, row_id)) AS row_id, {r6('min(dist)')} A
 @sql("centroid_distance")
 def _():
     return f"WITH {CENTROIDS} SELECT seq, emb_label, {r6('dist')} AS dist FROM dist"
+
+
+# ---------------------------------------------------------------- models
+@sql("mlp_forward", "strict")
+def _():
+    h = ("greatest(0.0, list_sum(list_transform(range(len(x)), lambda k: x[k + 1] * 0.1 * sin(0.37 * k + 0.11 * j)))"
+         " + 0.01 * j - 0.05)")
+    logit = f"list_sum(list_transform(range(16), lambda j: {h} * 0.1 * sin(0.37 * j + 0.5))) - 0.05"
+    return (f", mx AS (SELECT row_id, list_concat(heavy_emb, antigen_emb) AS x FROM strict), "
+            f"lg AS (SELECT row_id, {logit} AS logit FROM mx) "
+            f"SELECT row_id, {r6('logit')} AS logit, {r6('1.0 / (1.0 + exp(-logit))')} AS p FROM lg")
