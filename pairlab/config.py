@@ -24,6 +24,7 @@ class EngineConfig:
     lr: float = 1e-3
     salience_weight: float = 0.12
     max_rounds: int = 500
+    forest_depth: int = 10           # Spark caps depth at 30; the reference grows trees fully
     # joins: a lookup side is broadcast only when rows * row_bytes stays under this bound
     broadcast_limit_bytes: int = 64 * 1024 * 1024
     # a key holding at least this share of the probe side is treated as hot and split off

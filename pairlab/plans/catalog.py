@@ -730,27 +730,31 @@ def q_project_2d(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- loops
+from pairlab.config import EngineConfig  # noqa: E402
+
+LOOP_CFG = EngineConfig(forest_depth=5)
 @register("al_loop_fixed")
 def q_al_loop_fixed(spark, sf_dir):
     """Fixed horizon: rounds 0..3 of forest + entropy acquisition, batch 96."""
     return LP.run_al(spark, features(spark, sf_dir), "uncertainty", seed=0, batch=96, rounds=3,
-                     model="forest", forest_trees=20)
+                     model="forest", forest_trees=20, cfg=LOOP_CFG)
 
 
 @register("al_loop_exhaust")
 def q_al_loop_exhaust(spark, sf_dir):
     """Exhaust the pool with random acquisition, batch 2000."""
     return LP.run_al(spark, features(spark, sf_dir), "random", seed=0, batch=2000, rounds=None,
-                     model="forest", forest_trees=20)
+                     model="forest", forest_trees=20, cfg=LOOP_CFG)
 
 
 @register("al_campaign")
 def q_al_campaign(spark, sf_dir):
     """Warm campaign: 1000 initial, 21 iterations of 96 passive picks, forest retrained each time."""
-    return LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21, "forest", forest_trees=20)
+    return LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21, "forest", cfg=LOOP_CFG,
+                           forest_trees=20)
 
 
 @register("experiment_grid")
 def q_experiment_grid(spark, sf_dir):
     return LP.experiment_grid(spark, features(spark, sf_dir), seeds=(0, 1), strategies=("random", "weighted"),
-                              rounds=2, forest_trees=20)
+                              rounds=2, forest_trees=20, cfg=LOOP_CFG)

@@ -52,7 +52,8 @@ class Learner:
                  forest_trees: int, epochs: int | None):
         self.kind, self.x, self.cfg, self.seed, self.round = kind, x, cfg, seed, round_
         if kind == "forest":
-            self.model = M.train_forest(train, x, "label", num_trees=forest_trees, seed=seed)
+            self.model = M.train_forest(train, x, "label", num_trees=forest_trees, seed=seed,
+                                        max_depth=cfg.forest_depth)
         elif kind == "mlp":
             self.model, _ = M.train_mlp(train, x, "label", hidden=(cfg.hidden, cfg.hidden // 2),
                                         epochs=epochs or cfg.epochs, lr=cfg.lr, dropout=cfg.dropout,
