@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from pairlab.config import DEFAULT, EngineConfig
 
 
-def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int) -> bool:
-    """True when ``count(df) * row_bytes`` is within ``limit_bytes`` (one counting job)."""
+def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int, rows: int | None = None) -> bool:
+    """True when ``count(df) * row_bytes`` is within ``limit_bytes`` (one counting job,
+    skipped when the caller already knows ``rows``)."""
     if limit_bytes <= 0:
         return False
-    return df.count() * max(int(row_bytes), 1) <= limit_bytes
+    n = df.count() if rows is None else rows
+    return n * max(int(row_bytes), 1) <= limit_bytes
 
 
 def hot_keys(df: DataFrame, key: str, share: float) -> list:
@@ -35,7 +37,7 @@ def hot_keys(df: DataFrame, key: str, share: float) -> list:
 
 def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
                 how: str = "left", row_bytes: int = 1024,
-                cfg: EngineConfig = DEFAULT) -> DataFrame:
+                cfg: EngineConfig = DEFAULT, right_rows: int | None = None) -> DataFrame:
     """``left JOIN right ON left_key = right_key`` for a right side with unique keys.
 
     The right key column is dropped from the result. ``how`` is 'inner' or 'left'.
@@ -43,7 +45,7 @@ def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left joins")
     cond = left[left_key] == right[right_key]
-    if fits_broadcast(right, row_bytes, cfg.broadcast_limit_bytes):
+    if fits_broadcast(right, row_bytes, cfg.broadcast_limit_bytes, right_rows):
         return left.join(F.broadcast(right), cond, how).drop(right[right_key])
     keys = hot_keys(left.select(left_key), left_key, cfg.hot_key_share)
     if not keys:

@@ -34,11 +34,12 @@ def lookup_strict(pairs: DataFrame, emb: DataFrame, key: str = "seq", vec: str =
     row with a NULL vector and ``light_status='missing'``.
     """
     rb = _row_bytes(dim)
+    n_emb = emb.count() if cfg.broadcast_limit_bytes > 0 else None
     out = spread(pairs)
     for chain, how in (("heavy", "inner"), ("antigen", "inner")):
-        out = lookup_join(out, _side(emb, chain, key, vec), f"{chain}_seq", f"_{chain}_k", how, rb, cfg)
+        out = lookup_join(out, _side(emb, chain, key, vec), f"{chain}_seq", f"_{chain}_k", how, rb, cfg, n_emb)
     out = out.withColumn("_light_probe", F.when(_no_chain("light_seq"), F.lit(None)).otherwise(F.col("light_seq")))
-    out = lookup_join(out, _side(emb, "light", key, vec), "_light_probe", "_light_k", "left", rb, cfg)
+    out = lookup_join(out, _side(emb, "light", key, vec), "_light_probe", "_light_k", "left", rb, cfg, n_emb)
     status = (F.when(_no_chain("light_seq"), "empty")
               .when(F.col("light_emb").isNull(), "missing").otherwise("hit"))
     return out.drop("_light_probe").withColumn("light_status", status)
@@ -53,11 +54,12 @@ def lookup_lenient(pairs: DataFrame, emb: DataFrame, dim: int, key: str = "seq",
     ``h``, ``l``, ``ag`` vectors. ``keep_any=False`` returns every row (for coverage).
     """
     rb = _row_bytes(dim)
+    n_emb = emb.count() if cfg.broadcast_limit_bytes > 0 else None
     out = spread(pairs)
     for chain in CHAINS:
         out = out.withColumn(f"_{chain}_probe",
                              F.when(_no_chain(f"{chain}_seq"), F.lit(None)).otherwise(F.col(f"{chain}_seq")))
-        out = lookup_join(out, _side(emb, chain, key, vec), f"_{chain}_probe", f"_{chain}_k", "left", rb, cfg)
+        out = lookup_join(out, _side(emb, chain, key, vec), f"_{chain}_probe", f"_{chain}_k", "left", rb, cfg, n_emb)
         out = out.withColumn(f"{chain}_hit", F.col(f"{chain}_emb").isNotNull()).drop(f"_{chain}_probe")
     z = zeros(dim)
     out = (out.withColumn("h", F.coalesce("heavy_emb", z))

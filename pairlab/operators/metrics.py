@@ -27,31 +27,29 @@ def running_counts(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | tu
                    buckets: int = BUCKETS) -> DataFrame:
     """One row per (group, distinct score): pos, neg, and cumulative counts of scores >= it.
 
-    Output columns: by..., _s, _pos, _neg, _ctp, _cfp, _P, _N.
+    Output columns: by..., _s, _pos, _neg, _ctp, _cfp, _P, _N. Without groups a constant
+    key stands in, so the per-group bounds are one small aggregate joined back (a
+    broadcast of one row), computed once.
     """
-    by = list(by)
-    d = _distinct_scores(df, y, p, by)
+    keys = list(by) or ["_g"]
+    src = df if by else df.withColumn("_g", F.lit(0))
+    d = _distinct_scores(src, y, p, keys)
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = d.groupBy(*by).agg(F.percentile_approx("_s", probs, 10 * buckets).alias("_bounds"),
-                                F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
-    if by:
-        d = d.join(bounds, by)
-    else:
-        d = (d.withColumn("_bounds", bounds.select("_bounds").scalar())
-              .withColumn("_P", bounds.select("_P").scalar())
-              .withColumn("_N", bounds.select("_N").scalar()))
+    bounds = d.groupBy(*keys).agg(F.percentile_approx("_s", probs, 10 * buckets).alias("_bounds"),
+                                  F.sum("_pos").alias("_P"), F.sum("_neg").alias("_N"))
+    d = d.join(bounds, keys)
     # bucket 0 holds the highest scores: count of bounds strictly above the score
     d = d.withColumn("_bk", F.size(F.filter("_bounds", lambda b: b > F.col("_s")))).drop("_bounds")
-    tot = d.groupBy(*by, "_bk").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
-    wg = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("_bk") \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.select(*by, "_bk", F.coalesce(F.sum("_bp").over(wg), F.lit(0)).alias("_op"),
+    tot = d.groupBy(*keys, "_bk").agg(F.sum("_pos").alias("_bp"), F.sum("_neg").alias("_bn"))
+    wg = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    tot = tot.select(*keys, "_bk", F.coalesce(F.sum("_bp").over(wg), F.lit(0)).alias("_op"),
                      F.coalesce(F.sum("_bn").over(wg), F.lit(0)).alias("_on"))
-    d = d.join(tot, [*by, "_bk"])
-    wb = Window.partitionBy(*by, "_bk").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    return (d.withColumn("_ctp", F.col("_op") + F.sum("_pos").over(wb))
-             .withColumn("_cfp", F.col("_on") + F.sum("_neg").over(wb))
-             .drop("_op", "_on", "_bk"))
+    d = d.join(tot, [*keys, "_bk"])
+    wb = Window.partitionBy(*keys, "_bk").orderBy(F.col("_s").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    out = (d.withColumn("_ctp", F.col("_op") + F.sum("_pos").over(wb))
+            .withColumn("_cfp", F.col("_on") + F.sum("_neg").over(wb))
+            .drop("_op", "_on", "_bk"))
+    return out if by else out.drop("_g")
 
 
 def average_precision(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
@@ -95,23 +93,26 @@ def f1(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
     return c.select(*by, _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
 
 
-def evaluate_scores(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
-    """accuracy, f1 (zero_division=0), average precision, AUROC and n, one row per group."""
+def evaluate_scores(df: DataFrame, y: str = "y", p: str = "p", by=(), threshold: float = 0.5) -> DataFrame:
+    """accuracy, f1 (zero_division=0), average precision, AUROC and n, one row per group.
+
+    One pass: the confusion counts at the threshold are read off the same per-score
+    running-count table that gives the ranking metrics.
+    """
     by = list(by)
-    c = confusion(df, y, p, by)
-    c = c.select(*by, (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("n"),
-                 ((F.col("tp") + F.col("tn")) / (F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")))
-                 .alias("accuracy"), _f1(F.col("tp"), F.col("fp"), F.col("fn")).alias("f1"))
     r = running_counts(df, y, p, by)
-    rank = r.groupBy(*by).agg(
-        F.try_divide(F.sum(F.col("_pos") * F.col("_ctp") / (F.col("_ctp") + F.col("_cfp"))),
-                     F.first("_P").cast("double")).alias("auprc"),
-        F.try_divide(F.sum(F.col("_pos") * (F.col("_N") - F.col("_cfp") + F.lit(0.5) * F.col("_neg"))),
-                     (F.first("_P") * F.first("_N")).cast("double")).alias("auroc"))
-    if by:
-        return c.join(rank, by)
-    return c.select("n", "accuracy", "f1", rank.select("auprc").scalar().alias("auprc"),
-                    rank.select("auroc").scalar().alias("auroc"))
+    at = F.col("_s") >= F.lit(threshold)
+    g = r.groupBy(*by).agg(
+        F.sum(F.when(at, F.col("_pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(at, F.col("_neg")).otherwise(0)).alias("fp"),
+        F.first("_P").alias("P"), F.first("_N").alias("N"),
+        F.sum(F.col("_pos") * F.col("_ctp") / (F.col("_ctp") + F.col("_cfp"))).alias("_ap"),
+        F.sum(F.col("_pos") * (F.col("_N") - F.col("_cfp") + F.lit(0.5) * F.col("_neg"))).alias("_auc"))
+    tp, fp, P, N = F.col("tp"), F.col("fp"), F.col("P"), F.col("N")
+    fn, tn = P - tp, N - fp
+    return g.select(*by, (P + N).alias("n"), ((tp + tn) / (P + N)).alias("accuracy"), _f1(tp, fp, fn).alias("f1"),
+                    F.try_divide(F.col("_ap"), P.cast("double")).alias("auprc"),
+                    F.try_divide(F.col("_auc"), (P * N).cast("double")).alias("auroc"))
 
 
 def classification_report(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
