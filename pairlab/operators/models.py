@@ -297,3 +297,91 @@ def kmeans_best(df: DataFrame, x: str, k: int, seed: int = 42, restarts: int = 3
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     return best
+
+
+# ---------------------------------------------------------------- cross-attention binder (forward only)
+def init_cross_attention(dim: int, heads: int = 8, hidden: int = 256, seed: int = 0) -> dict:
+    """Weights of the bidirectional cross-attention binder (eval mode: dropout off)."""
+    rng = np.random.default_rng(seed)
+
+    def lin(i, o):
+        k = 1.0 / np.sqrt(i)
+        return rng.uniform(-k, k, (o, i)), rng.uniform(-k, k, (o,))
+
+    def mha():
+        return {n: lin(dim, dim) for n in ("q", "k", "v", "o")}
+
+    ln = lambda: (np.ones(dim), np.zeros(dim))
+    return {"heads": heads, "ab_to_ag": mha(), "ag_to_ab": mha(), "norm_ab": ln(), "norm_ag": ln(),
+            "ag_pool": lin(dim, 1), "merge": lin(2 * dim, dim), "merge_norm": ln(), "pool": lin(dim, 1),
+            "head1": lin(dim, hidden), "head2": lin(hidden, 1)}
+
+
+def _linear(x, wb):
+    return x @ wb[0].T + wb[1]
+
+
+def _layer_norm(x, gb, eps=1e-5):
+    mu = x.mean(axis=-1, keepdims=True)
+    var = x.var(axis=-1, keepdims=True)
+    return (x - mu) / np.sqrt(var + eps) * gb[0] + gb[1]
+
+
+def _softmax(s):
+    s = s - s.max(axis=-1, keepdims=True)
+    e = np.exp(s)
+    return e / e.sum(axis=-1, keepdims=True)
+
+
+def _mha(q_in, kv_in, w, heads):
+    q, k, v = _linear(q_in, w["q"]), _linear(kv_in, w["k"]), _linear(kv_in, w["v"])
+    lq, lk, d = q.shape[0], k.shape[0], q.shape[1]
+    dh = d // heads
+    qh = q.reshape(lq, heads, dh).transpose(1, 0, 2)
+    kh = k.reshape(lk, heads, dh).transpose(1, 0, 2)
+    vh = v.reshape(lk, heads, dh).transpose(1, 0, 2)
+    a = _softmax(qh @ kh.transpose(0, 2, 1) / np.sqrt(dh))
+    return _linear((a @ vh).transpose(1, 0, 2).reshape(lq, d), w["o"])
+
+
+def _attn_pool(x, wb):
+    return (_softmax(_linear(x, wb)[:, 0])[:, None] * x).sum(axis=0)
+
+
+def cross_attention_forward(w: dict, ab: np.ndarray, ag: np.ndarray) -> float:
+    """Logit for one pair of token matrices (L_ab x D, L_ag x D), valid tokens only.
+
+    Ab attends Ag and Ag attends Ab (residual + LayerNorm each), the attention-pooled antigen
+    summary is concatenated to every antibody token, merged back to D (Linear + LayerNorm),
+    attention-pooled over the antibody, and sent through the 256-unit head.
+    """
+    if len(ab) == 0 or len(ag) == 0:
+        return float("nan")
+    h = w["heads"]
+    ab_out = _layer_norm(ab + _mha(ab, ag, w["ab_to_ag"], h), w["norm_ab"])
+    ag_out = _layer_norm(ag + _mha(ag, ab, w["ag_to_ab"], h), w["norm_ag"])
+    summary = np.broadcast_to(_attn_pool(ag_out, w["ag_pool"]), ab_out.shape)
+    merged = _layer_norm(_linear(np.concatenate([ab_out, summary], axis=1), w["merge"]), w["merge_norm"])
+    pooled = _attn_pool(merged, w["pool"])
+    return float(_linear(np.maximum(_linear(pooled, w["head1"]), 0.0), w["head2"])[0])
+
+
+def cross_attention_score(df: DataFrame, weights: dict, ab_tokens: str, ag_tokens: str,
+                          id_col: str = "row_id") -> DataFrame:
+    """(id, logit, p) per pair; a pair without antibody or antigen tokens scores NULL."""
+    bw = df.sparkSession.sparkContext.broadcast(weights)
+    schema = StructType([StructField(id_col, LongType()), StructField("logit", DoubleType()),
+                         StructField("p", DoubleType())])
+
+    def run(batches):
+        w = bw.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            z = np.array([cross_attention_forward(w, _matrix(a) if a is not None and len(a) else np.zeros((0, 1)),
+                                                  _matrix(g) if g is not None and len(g) else np.zeros((0, 1)))
+                          for a, g in zip(pdf[ab_tokens], pdf[ag_tokens])])
+            p = 1.0 / (1.0 + np.exp(-z))
+            yield pdf[[id_col]].assign(logit=np.where(np.isnan(z), None, z), p=np.where(np.isnan(p), None, p))
+
+    return df.select(id_col, ab_tokens, ag_tokens).mapInPandas(run, schema)

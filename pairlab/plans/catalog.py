@@ -758,3 +758,20 @@ def q_al_campaign(spark, sf_dir):
 def q_experiment_grid(spark, sf_dir):
     return LP.experiment_grid(spark, features(spark, sf_dir), seeds=(0, 1), strategies=("random", "weighted"),
                               rounds=2, forest_trees=20, cfg=LOOP_CFG)
+
+
+@register("cross_attention_score")
+def q_cross_attention_score(spark, sf_dir):
+    """Token-level binder forward pass: each token group (antibody) against the group of the
+    next label in the same id block (antigen); 8 heads, D = embedding width."""
+    e = T.table(spark, sf_dir, "embeddings").select(
+        F.floor(F.col("vec_id") / 40).alias("grp"), F.col("label").alias("lab"), "vec_id",
+        F.col("embedding").cast("array<double>").alias("embedding"))
+    tok = e.groupBy("grp", "lab").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
+    tok = tok.select("grp", "lab", F.transform("t", lambda s: s["embedding"]).alias("tokens"),
+                     (F.col("grp") * 10 + F.col("lab")).alias("row_id"))
+    ag = tok.select("grp", F.col("lab").alias("ag_lab"), F.col("tokens").alias("ag_tokens"))
+    pairs_ = tok.join(ag, (tok.grp == ag.grp) & (ag.ag_lab == (tok.lab + 1) % 10)).select(
+        "row_id", F.col("tokens").alias("ab_tokens"), "ag_tokens")
+    w = M.init_cross_attention(_dim_int(spark, sf_dir), heads=8, hidden=256, seed=0)
+    return M.cross_attention_score(pairs_, w, "ab_tokens", "ag_tokens")

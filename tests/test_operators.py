@@ -215,3 +215,15 @@ def test_flagship_plan_shape(spark):
     plan = E.entry(spark)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
     assert "BroadcastHashJoin" in plan
+
+
+def test_cross_attention_is_token_order_invariant_and_null_on_empty(spark):
+    w = M.init_cross_attention(8, heads=2, hidden=16, seed=3)
+    rng = np.random.default_rng(5)
+    ab, ag = rng.normal(size=(5, 8)), rng.normal(size=(4, 8))
+    z = M.cross_attention_forward(w, ab, ag)
+    assert z == pytest.approx(M.cross_attention_forward(w, ab[::-1], ag[[2, 0, 3, 1]]), rel=1e-9)
+    df = spark.createDataFrame([(1, ab.tolist(), ag.tolist()), (2, ab.tolist(), [])],
+                               "row_id long, a array<array<double>>, g array<array<double>>")
+    r = {x.row_id: x for x in M.cross_attention_score(df, w, "a", "g").collect()}
+    assert r[1]["logit"] == pytest.approx(z) and r[2]["logit"] is None
