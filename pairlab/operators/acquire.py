@@ -37,10 +37,8 @@ def salience_zscore(cands: DataFrame, mag: str = "salience", out: str = "z") ->
     Mean and population std are scalar subqueries (one aggregate job, one value each),
     not a global window, so no single task ever holds the candidate set.
     """
-    stats = cands.select(F.avg(mag).alias("mu"), F.stddev_pop(mag).alias("sd"))
-    mu = stats.select("mu").scalar()
-    sd = stats.select("sd").scalar()
-    return cands.withColumn(out, (F.col(mag) - mu) / (sd + F.lit(1e-8)))
+    st = cands.select(F.struct(F.avg(mag).alias("mu"), F.stddev_pop(mag).alias("sd"))).scalar()
+    return cands.withColumn(out, (F.col(mag) - st["mu"]) / (st["sd"] + F.lit(1e-8)))
 
 
 def acquire_weighted(cands: DataFrame, b: int, ent: str = "entropy", mag: str = "salience",
