@@ -775,3 +775,13 @@ def q_cross_attention_score(spark, sf_dir):
         "row_id", F.col("tokens").alias("ab_tokens"), "ag_tokens")
     w = M.init_cross_attention(_dim_int(spark, sf_dir), heads=8, hidden=256, seed=0)
     return M.cross_attention_score(pairs_, w, "ab_tokens", "ag_tokens")
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf_dir):
+    """Save the pair-MLP weights, reload them, score with the reloaded copy."""
+    d = _dim_int(spark, sf_dir)
+    path = scratch(spark, "model")
+    WR.save_weights(spark, M.rule_weights([2 * d, 16, 1]), path)
+    s = strict(spark, sf_dir).select("row_id", F.concat("heavy_emb", "antigen_emb").alias("x"))
+    return finish(M.mlp_score(s, RD.load_weights(spark, path), "x"))

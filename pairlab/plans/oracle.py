@@ -763,3 +763,6 @@ def _():
     return (f", mx AS (SELECT row_id, list_concat(heavy_emb, antigen_emb) AS x FROM strict), "
             f"lg AS (SELECT row_id, {logit} AS logit FROM mx) "
             f"SELECT row_id, {r6('logit')} AS logit, {r6('1.0 / (1.0 + exp(-logit))')} AS p FROM lg")
+
+# a reloaded model scores exactly like the one that was saved
+ORACLE["model_roundtrip"] = ORACLE["mlp_forward"]
