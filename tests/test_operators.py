@@ -227,3 +227,14 @@ def test_cross_attention_is_token_order_invariant_and_null_on_empty(spark):
                                "row_id long, a array<array<double>>, g array<array<double>>")
     r = {x.row_id: x for x in M.cross_attention_score(df, w, "a", "g").collect()}
     assert r[1]["logit"] == pytest.approx(z) and r[2]["logit"] is None
+
+
+def test_split_windows_are_partitioned(spark):
+    """Every window in the exact split is partitioned (class, hash bucket): no single-task window."""
+    import re
+    df = spark.createDataFrame([(i, i % 2) for i in range(500)], "row_id long, label int")
+    plan = SM.stratified_split(df, "label", 0.2, seed=1)._jdf.queryExecution().executedPlan().toString()
+    windows = re.findall(r"Window \[.*", plan)
+    assert windows
+    for w in windows:
+        assert "label" in w.split("],")[-2] or "_bk" in w
