@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import near_dedup, quality
+from pairlab.llm import context_mixing, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, url_trees
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,3 +33,43 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_prob_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents")).drop("digest")
+
+
+@register("op2_trigram_secret_scan")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+@register("op3_block_tree_extract")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
+@register("op4_context_mixing")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(table(spark, sf_dir, "documents"))
+
+
+@register("op5_pii_boosting")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(pii.detect(table(spark, sf_dir, "documents")))
+
+
+@register("op6_orc_tokens")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.encode_and_read(table(spark, sf_dir, "documents"))
+
+
+@register("op7_golden_schedule")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(table(spark, sf_dir, "documents"))
+
+
+@register("op8_qgram_decontamination")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op10_url_trees")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_trees.judge(table(spark, sf_dir, "pages"))
