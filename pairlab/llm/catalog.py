@@ -32,7 +32,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op9_prob_minhash")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("digest")
+    return near_dedup.classes(table(spark, sf_dir, "documents")).drop("digest", "label")
 
 
 @register("op2_trigram_secret_scan")

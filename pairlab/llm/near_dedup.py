@@ -7,18 +7,20 @@ agree in a register with their probability Jaccard similarity. Shingles are
 advanced one arrival at a time, all rows of a chunk together, and a shingle drops out as soon as its
 arrival is later than every register of its row (early termination).
 
-``BANDS`` bands of ``ROWS`` registers make buckets. In a bucket not all pairs are formed:
+``BANDS`` bands of ``ROWS`` registers make buckets. No pairs of a bucket are formed as rows but those with its centre:
 
 1. every member is compared with one centre, the least of the bucket;
 2. verified links are joined to components;
-3. a bucket whose members lie in several components stays open. All members outside its largest
-   component are, some at a time, compared with every member of another component, until none is left.
+3. a bucket whose members lie in several components is open. Its members outside the largest component
+   are compared with all members of other components, a block of ``BLOCK`` bytes against a block, inside a
+   task. Only links that join two components leave it. A pair that shares several buckets is
+   compared in the first of them.
 
 Two members of one component need no comparison, so each bucket ends with the components that all its
-pairs would give, whatever its size. Pairs pass an estimate from the signatures (``ESTIMATE``, over
-five standard deviations below the threshold), then the exact measure on whole texts:
-probability Jaccard, or plain Jaccard of the shingle sets, of at least ``THRESHOLD``. Pairs at the
-threshold share a bucket with probability 0.9999.
+pairs would give, whatever its size. Pairs with a centre pass an estimate from the signatures (``ESTIMATE``,
+over five standard deviations below the threshold); all links hold by the exact measure on whole
+texts: probability Jaccard, or plain Jaccard of the shingle sets, of at least ``THRESHOLD``. Texts at
+the threshold share a bucket with probability 0.9999.
 
 Defined cases. Equal texts are one class whatever their length; a text under five words has one shingle
 of all its words; an empty text, or one of white space only, is alike only to equal texts; a null text
@@ -45,8 +47,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 24, 5
 REGISTERS = BANDS * ROWS
 ESTIMATE = 0.6
-#: Members of an open bucket that are compared with all others in the first such round; grows fourfold.
-CENTRES = 32
+#: Bytes of texts, with as many for each text besides as OVERHEAD, that one side of a block comparison holds.
+BLOCK, OVERHEAD = 1 << 20, 1 << 10
+#: Words of 64 bits in the filter that keeps texts which no comparison needs out of the shuffle.
+FILTER = 1 << 18
 
 
 def weighted_shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +103,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the text, band keys (none for empty texts), 16 bits of every register."""
-    own = docs.select("doc_id", digest("text").alias("digest"), "text")
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, bands array<long>, sig binary"
+    """doc_id, digest and bytes of the text, band keys (none for empty texts), 16 bits of every register."""
+    own = docs.select("doc_id", digest("text").alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "text")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, bytes int, bands array<long>, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -113,8 +117,8 @@ def sketch(docs: DataFrame) -> DataFrame:
                 size = np.arange(hi - lo + 1, dtype=np.int32) * (2 * REGISTERS)
                 bits = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(size), pa.py_buffer(low)])
                 part = b.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest").cast(pa.binary()), bands, bits],
-                                                 ["doc_id", "digest", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest").cast(pa.binary()), part.column("bytes"),
+                                                  bands, bits], ["doc_id", "digest", "bytes", "bands", "sig"])
 
     return own.mapInArrow(run, schema)
 
@@ -183,98 +187,148 @@ def _sides(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     return pairs
 
 
-def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, run: Run, name: str) -> DataFrame:
+def texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
+    """digest and text of the digests in ``need``, once each.
+
+    A bitmap of FILTER words, broadcast, first keeps nearly all other texts out of the shuffle.
+    """
+    bit = lambda: F.xxhash64("digest")
+    word = lambda: F.pmod(F.shiftright(bit(), 6), F.lit(FILTER)).alias("_word")
+    mask = lambda: F.expr("shiftleft(1L, cast(xxhash64(digest) & 63 as int))")
+    bits = need.select(word(), mask().alias("m")).groupBy("_word").agg(F.bit_or("m").alias("_bits"))
+    own = docs.select(digest("text").alias("digest"), "text").withColumn("_word", word())
+    own = own.join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(mask()) != 0)
+    return own.select("digest", "text").join(need, "digest", "left_semi").dropDuplicates(["digest"])
+
+
+def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, run: Run) -> DataFrame:
     """The pairs (a, b) of digests whose texts are near duplicates."""
-    likely = run.save(_sides(pairs, texts.select("digest", "sig"), "sig").mapInArrow(_alike, "a binary, b binary"), f"likely-{name}")
-    need = likely.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
-    whole = docs.select(digest("text").alias("digest"), "text").join(need, "digest", "left_semi")
-    whole = run.save(whole.dropDuplicates(["digest"]), f"whole-{name}")
-    links = run.save(_sides(likely, whole, "text").mapInArrow(_verify, "a binary, b binary"), f"links-{name}")
-    run.drop(f"whole-{name}", f"likely-{name}")
-    return links
+    likely = run.save(_sides(pairs, texts.select("digest", "sig"), "sig").mapInArrow(_alike, "a binary, b binary"), "likely")
+    whole = texts_of(docs, likely.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+    return run.save(_sides(likely, whole, "text").mapInArrow(_verify, "a binary, b binary"), "links")
 
 
-def components(links: DataFrame, run: Run, name: str) -> DataFrame:
-    """(digest, label) of every linked text: label is the least digest of its component.
+def merge(label: DataFrame, links: DataFrame, run: Run, name: str) -> DataFrame:
+    """(digest, label) after joining the components that the links connect; the least label stays.
 
-    Every round takes the least label around each node and then follows labels one step.
+    Works on the graph of labels. Every round takes the least label around each node and then follows labels
+    one step, until both ends of every link agree.
     """
-    both = run.save(links.union(links.select("b", "a")).distinct(), f"graph-{name}")
-    label = run.save(both.groupBy("a").agg(F.min("b").alias("m"))
-                     .select(F.col("a").alias("digest"), F.least("a", "m").alias("label")), f"label-{name}-0")
+    ends = links.join(label.select(F.col("digest").alias("a"), F.col("label").alias("x")), "a")
+    ends = ends.join(label.select(F.col("digest").alias("b"), F.col("label").alias("y")), "b").filter("x != y").select("x", "y")
+    graph = run.save(ends.union(ends.select("y", "x")).distinct(), f"graph-{name}")
+    new = graph.groupBy("x").agg(F.min("y").alias("m")).select("x", F.least("x", "m").alias("l"))
     k = 0
     while True:
         k += 1
-        around = both.join(label.select(F.col("digest").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        near = label.join(around.withColumnRenamed("a", "digest"), "digest").select(
-            "digest", "label", F.least("label", "m").alias("next"))
-        jump = label.select(F.col("digest").alias("next"), F.col("label").alias("over"))
-        new = near.join(jump, "next", "left").select("digest", F.least("next", F.coalesce("over", "next")).alias("label"),
-                                                     (F.least("next", F.coalesce("over", "next")) != F.col("label")).alias("moved"))
-        new = run.save(new, f"label-{name}-{k}")
-        done = new.filter("moved").isEmpty()
-        label = new.drop("moved")
-        if done:
-            return label
-
-
-def _open(members: DataFrame, label: DataFrame, done: DataFrame) -> DataFrame:
-    """Members of the buckets that lie in several components: key, digest, label, whether outside the
-    main component, whether compared with the whole bucket already."""
-    m = members.join(label, "digest", "left").join(done.withColumn("done", F.lit(True)), ["key", "digest"], "left")
-    m = m.select("key", "digest", F.coalesce("label", "digest").alias("label"), F.coalesce("done", F.lit(False)).alias("done"))
+        around = graph.join(new.select(F.col("x").alias("y"), F.col("l").alias("m")), "y").groupBy("x").agg(F.min("m").alias("m"))
+        near = new.join(around, "x").select("x", F.least("l", "m").alias("l"))
+        over = new.select(F.col("x").alias("l"), F.col("l").alias("o"))
+        new = run.save(near.join(over, "l", "left").select("x", F.least("l", F.coalesce("o", "l")).alias("l")), f"merge-{name}-{k}")
+        apart = graph.join(new, "x").join(new.select(F.col("x").alias("y"), F.col("l").alias("o")), "y").filter("l != o")
+        if apart.isEmpty():
+            break
+    label = label.join(new.select(F.col("x").alias("label"), "l"), "label", "left").select("digest", F.coalesce("l", "label").alias("label"))
+    return run.save(label, f"label-{name}")
+
+
+def open_members(members: DataFrame, label: DataFrame) -> DataFrame:
+    """Members of the buckets that lie in several components: key, digest, label, whether outside the largest component.
+
+    The centre has been compared with all others, so buckets of two are closed and a centre is never outside.
+    """
+    m = members.filter("members > 2").select("key", "digest", "bytes", (F.col("digest") == F.col("centre")).alias("done")).join(label, "digest")
     parts = m.groupBy("key", "label").agg(F.count("*").alias("n"), F.count_if(~F.col("done")).alias("fresh"))
     main = parts.groupBy("key").agg(F.max_by("label", F.struct("fresh", "n", "label")).alias("main"), F.count("*").alias("parts"))
-    m = m.join(main.filter("parts > 1"), "key")
-    return m.select("key", "digest", "label", "done", (F.col("label") != F.col("main")).alias("outside"))
+    m = m.filter("NOT done").drop("done").join(main.filter("parts > 1").drop("parts"), "key")
+    m = m.withColumn("outside", F.col("label") != F.col("main")).drop("main")
+    return m.join(m.filter("outside").select("key").distinct(), "key", "left_semi")
+
+
+def _block_links(group: pa.Table) -> pa.Table:
+    """Links that join components, between the texts of side a and those of side b."""
+    n = group.num_rows
+    side, label = group["side"].to_numpy(), np.unique(group["label"].to_pylist(), return_inverse=True)[1].copy()
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
+    band = int(np.flatnonzero(bands[0] == group["key"][0].as_py())[0])
+    parts = []
+    for lo, _, buf, offsets in flat.chunks(group["text"]):
+        row, gram, weight = weighted_shingles(buf, offsets)
+        parts.append((row + lo, gram, weight))
+    row, gram, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+    size = np.bincount(row, minlength=n)
+    heavy = np.bincount(row, weight > 1, n) > 0
+    # one bit for each shingle that two texts or more hold
+    _, which, held = np.unique(gram, return_inverse=True, return_counts=True)
+    shared = held > 1
+    place = (np.cumsum(shared) - 1)[which]
+    row, place = row[shared[which]], place[shared[which]]
+    bits = np.zeros((n, int(shared.sum()) // 64 + 1), np.uint64)
+    np.add.at(bits, (row, place >> 6), np.uint64(1) << (place & 63).astype(np.uint64))
+
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    links = []
+    for i in left:
+        j = right[label[right] != label[i]]
+        j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+        if not len(j):
+            continue
+        both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64)
+        alike = both >= THRESHOLD * (size[i] + size[j] - both)
+        unsure = np.flatnonzero(~alike & (heavy[i] | heavy[j]) & (both > 0))
+        for lo in range(0, len(unsure), 64):
+            some = unsure[lo:lo + 64]
+            text = group["text"].combine_chunks()
+            alike[some] = similarities(text.take(pa.array([i] * len(some))), text.take(pa.array(j[some])))[0] >= THRESHOLD
+        for k in j[alike]:
+            if label[k] != label[i]:
+                links.append((i, k))
+                label[label == label[k]] = label[i]
+    a, b = (pa.array([x[k] for x in links], pa.int64()) for k in (0, 1))
+    return pa.table({"a": group["digest"].take(a).cast(pa.binary()), "b": group["digest"].take(b).cast(pa.binary())})
+
+
+def open_links(left: DataFrame, texts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links between components, from all pairs of the open buckets with an outside member."""
+    order = Window.partitionBy("key").orderBy("digest")
+    block = F.floor((F.sum(F.col("bytes") + OVERHEAD).over(order) - 1) / BLOCK)
+    a = left.filter("outside").select("key", "digest", "label", F.lit(0).alias("side"), block.alias("block"))
+    b = left.select("key", "digest", "label", F.lit(1).alias("side"), block.alias("block"))
+    last = lambda x, name: x.groupBy("key").agg(F.max("block").alias(name))
+    a, b = (a.join(last(b, "others"), "key"), b.join(last(a, "others"), "key"))
+    rows = a.unionByName(b).join(texts_of(docs, left.select("digest").distinct()), "digest").join(texts.select("digest", "bands"), "digest")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others"))))
+    rows = rows.withColumns({"x": F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")),
+                             "y": F.when(F.col("side") == 0, F.col("other")).otherwise(F.col("block"))})
+    return rows.select("key", "x", "y", "side", "digest", "label", "bands", "text").groupBy("key", "x", "y").applyInArrow(
+        _block_links, "a binary, b binary")
 
 
 def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id, class_size, digest for every row of ``docs``."""
+    """doc_id, class_id, class_size, digest of the text and of the class for every row of ``docs``."""
     run = Run(docs.sparkSession, "near")
     rows = run.save(sketch(docs), "sketch")
-    texts = run.save(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"),
-                                                F.first("bands").alias("bands"), F.first("sig").alias("sig")), "texts")
-    spread = texts.select("digest", F.explode("bands").alias("key"))
-    buckets = spread.groupBy("key").agg(F.min("digest").alias("centre"), F.count("*").alias("n")).filter("n > 1")
-    members = run.save(spread.join(buckets.drop("n"), "key"), "members")
+    texts = run.save(rows.groupBy("digest").agg(
+        F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"),
+        F.first("bands").alias("bands"), F.first("sig").alias("sig")), "texts")
+    spread = texts.select("digest", "bytes", F.explode("bands").alias("key"))
+    buckets = spread.groupBy("key").agg(F.min("digest").alias("centre"), F.count("*").alias("members")).filter("members > 1")
+    members = run.save(spread.join(buckets, "key"), "members")
     pairs = members.filter("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()
-    links = verify(run.save(pairs, "pairs-0"), texts, docs, run, "0")
-    label = components(links, run, "0")
-    seen = run.spark.read.parquet(run.path("pairs-0"))
-    done = members.filter("digest = centre").select("key", "digest")
-    # only buckets of three or more can have pairs without the centre
-    larger = members.join(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 2").drop("n"), "key", "left_semi")
-    members = run.save(larger.select("key", "digest"), "larger")
-    k, take = 0, CENTRES
-    while True:
-        k += 1
-        left = run.save(_open(members, label, done), f"open-{k}")
-        fresh = left.filter("outside AND NOT done").select("key", "digest", "label")
-        if fresh.isEmpty():
-            break
-        by = Window.partitionBy("key").orderBy("digest")
-        centres = run.save(fresh.withColumn("r", F.row_number().over(by)).filter(F.col("r") <= take).drop("r"), f"centres-{k}")
-        pairs = centres.select("key", F.col("digest").alias("c"), F.col("label").alias("cl")).join(left, "key")
-        pairs = pairs.filter("cl != label").select(F.least("c", "digest").alias("a"), F.greatest("c", "digest").alias("b"))
-        pairs = run.save(pairs.distinct().join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
-        seen = seen.unionByName(pairs)
-        done = done.unionByName(centres.select("key", "digest"))
-        found = verify(pairs, texts, docs, run, str(k))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            label = components(links, run, str(k))
-        take *= 4
+    label = members.select("digest", F.col("digest").alias("label")).distinct()
+    label = merge(label, verify(pairs, texts, docs, run), run, "star")
+    left = run.save(open_members(members, label), "open")
+    label = merge(label, run.save(open_links(left, texts, docs), "open-links"), run, "open")
     of = texts.select("digest", "first_id", "n").join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
     total = of.groupBy("label").agg(F.min("first_id").alias("class_id"), F.sum("n").alias("class_size"))
-    out = of.select("digest", "label").join(total, "label").drop("label")
-    return rows.select("doc_id", "digest").join(out, "digest").select("doc_id", "class_id", "class_size", "digest")
+    out = of.select("digest", "label").join(total, "label")
+    return rows.select("doc_id", "digest").join(out, "digest").select("doc_id", "class_id", "class_size", "digest", "label")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each class: a row with the least id, with all its columns."""
     out = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    firsts = out.groupBy(F.col("class_id").alias("_near_id")).agg(F.min("digest").alias("_near_text"))
+    firsts = out.groupBy("label").agg(F.first("class_id").alias("_near_id"), F.min("digest").alias("_near_text")).drop("label")
     marked = docs.withColumn("_near_digest", digest("text"))
     marked = marked.join(firsts, F.col("doc_id").eqNullSafe(F.col("_near_id")) & (F.col("_near_digest") == F.col("_near_text")), "left_semi")
     return marked.dropDuplicates(["doc_id", "_near_digest"]).drop("_near_digest")
