@@ -198,7 +198,8 @@ def texts_of(docs: DataFrame, need: DataFrame) -> DataFrame:
     bits = need.select(word(), mask().alias("m")).groupBy("_word").agg(F.bit_or("m").alias("_bits"))
     own = docs.select(digest("text").alias("digest"), "text").withColumn("_word", word())
     own = own.join(F.broadcast(bits), "_word").filter(F.col("_bits").bitwiseAND(mask()) != 0)
-    return own.select("digest", "text").join(need, "digest", "left_semi").dropDuplicates(["digest"])
+    # an inner join: the optimizer would push a semi join below the filter
+    return own.select("digest", "text").join(need, "digest").dropDuplicates(["digest"])
 
 
 def verify(pairs: DataFrame, texts: DataFrame, docs: DataFrame, run: Run) -> DataFrame:
