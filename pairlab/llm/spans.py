@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+GROUP = 256
 SPAN = "array<struct<start:int,end:int,match:string>>"
 
 
@@ -12,7 +13,8 @@ def find(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: (start, end, match) in code points, end exclusive.
 
     The pieces between matches come from ``split`` with the same pattern, so running sums of
-    the lengths of pieces and matches give the places. The pattern must not match the empty string.
+    the lengths of pieces and matches give the places. Sums run over groups of ``GROUP`` matches and then over
+    the groups, since every step copies the array that it adds to. The pattern must not match the empty string.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pieces = F.split(text, pattern, -1)
@@ -23,9 +25,16 @@ def find(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), x["match"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    def add_group(acc: Column, group: Column) -> Column:
+        begin = F.struct(acc["at"].alias("at"), none().alias("spans"))
+        done = F.array(F.aggregate(group, begin, add))  # in an array, so that it is made once
+        return F.transform(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["parts"], F.array(d["spans"])).alias("parts")))[0]
+
     zipped = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"))
-    places = F.aggregate(zipped, zero, add, lambda acc: acc["spans"])
+    groups = F.transform(F.array(zipped), lambda z: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(z) - 1) / GROUP).cast("int")), lambda i: F.slice(z, i * GROUP + 1, GROUP)))[0]
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("parts"))
+    places = F.flatten(F.aggregate(groups, zero, add_group, lambda acc: acc["parts"]))
     return F.when(text.rlike(pattern), places).otherwise(none())
 
 
