@@ -7,7 +7,6 @@ functions  column expressions (vector arithmetic, scores, hashing) that stay in
 operators  DataFrame -> DataFrame operators (lookups, features, sampling, metrics, acquisition, models)
 plans      compositions of operators: the flagship acquisition query, the round loop, the
            experiment grid, and the query catalog used by ``__spark_entry__``
-streaming  nothing: the workload is batch only (see the module docstring)
 """
 
 __version__ = "0.1.0"

@@ -13,8 +13,6 @@ from pyspark.sql import SparkSession
 class EngineConfig:
     """Workload knobs in one place (the reference keeps them as script constants)."""
 
-    emb_dim: int = 64                 # 1536 for the real protein encoder
-    batch_size: int = 96              # acquisition batch (one plate)
     seed_size: int = 100              # balanced cold start, half per class
     test_fraction: float = 0.2
     mc_passes: int = 20
@@ -23,12 +21,8 @@ class EngineConfig:
     epochs: int = 30
     lr: float = 1e-3
     salience_weight: float = 0.12
-    max_rounds: int = 500
-    forest_depth: int = 10           # Spark caps depth at 30; the reference grows trees fully
-    # joins: a lookup side is broadcast only when rows * row_bytes stays under this bound
-    broadcast_limit_bytes: int = 64 * 1024 * 1024
-    # a key holding at least this share of the probe side is treated as hot and split off
-    hot_key_share: float = 0.01
+    forest_trees: int = 200
+    forest_depth: int = 30            # the deepest that Spark grows; trees grow fully up to it
 
 
 DEFAULT = EngineConfig()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["col_of", "to_double", "vsum", "dot", "sumsq", "l2norm", "vadd", "vsub", "vmul",
+__all__ = ["col_of", "vsum", "dot", "sumsq", "l2norm", "vadd", "vmul",
            "vscale", "vabs_diff", "vmean2", "zeros", "has_nonzero", "antibody", "cosine",
            "block", "concat_vectors", "euclidean"]
 
@@ -17,10 +17,6 @@ def col_of(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def to_double(c) -> Column:
-    return F.transform(col_of(c), lambda x: x.cast("double"))
-
-
 def vsum(c) -> Column:
     return F.aggregate(col_of(c), F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
@@ -41,10 +37,6 @@ def vadd(a, b) -> Column:
     return F.zip_with(col_of(a), col_of(b), lambda x, y: x + y)
 
 
-def vsub(a, b) -> Column:
-    return F.zip_with(col_of(a), col_of(b), lambda x, y: x - y)
-
-
 def vmul(a, b) -> Column:
     """Hadamard (element-wise) product."""
     return F.zip_with(col_of(a), col_of(b), lambda x, y: x * y)

@@ -13,13 +13,6 @@ def concat_features(df: DataFrame, h: str = "h", l: str = "l", ag: str = "ag", o
     return df.withColumn(out, V.concat_vectors(h, l, ag))
 
 
-def split_blocks(df: DataFrame, x: str, dim: int, names=("h", "l", "ag")) -> DataFrame:
-    """Inverse of ``concat_features``: slice the dim-wide blocks back out."""
-    for k, n in enumerate(names):
-        df = df.withColumn(n, V.block(x, k, dim))
-    return df
-
-
 def antibody_vector(df: DataFrame, h: str = "h", l: str = "l", out: str = "ab") -> DataFrame:
     """(H+L)/2 if the light block has a non-zero element, else H; ``has_light`` flag."""
     return (df.withColumn("has_light", V.has_nonzero(l))

@@ -1,10 +1,11 @@
-"""Join strategy for key lookups into a dimension table (sequence -> embedding).
+"""Key lookups into a dimension table (sequence -> embedding).
 
 The probe side (pairs, pool) can be arbitrarily large and skewed: one antigen can sit in a
-third of all rows. The lookup side is either small enough to broadcast, which is checked
-by counting it, or large, in which case the join shuffles on the key and any hot key is
-split off and served by a broadcast of just that key's rows (at most ``1 / hot_key_share``
-keys, so the broadcast has a proven bound).
+third of all rows. The join is declared once and its strategy left to Spark: a lookup side below the
+session's broadcast threshold (by file statistics, or by its measured size at run time) is broadcast, any other is
+shuffled on the key. A shuffled probe side whose key is hot is split over many tasks by adaptive
+skew handling, which repeats only that key's lookup rows; the probe side is read once and nothing runs
+while the plan is built.
 """
 
 from __future__ import annotations
@@ -12,64 +13,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.config import DEFAULT, EngineConfig
 
-
-def fits_broadcast(df: DataFrame, row_bytes: int, limit_bytes: int, rows: int | None = None) -> bool:
-    """True when ``count(df) * row_bytes`` is within ``limit_bytes`` (one counting job,
-    skipped when the caller already knows ``rows``)."""
-    if limit_bytes <= 0:
-        return False
-    n = df.count() if rows is None else rows
-    return n * max(int(row_bytes), 1) <= limit_bytes
-
-
-def hot_keys(df: DataFrame, key: str, share: float) -> list:
-    """Keys holding at least ``share`` of the non-NULL rows of ``df``.
-
-    Counted with a map-side-combined aggregate; at most ``1/share`` keys come back.
-    """
-    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
-    total = counts.select(F.sum("count")).scalar()
-    hot = counts.where(F.col("count") >= total * F.lit(share)).select(key)
-    return [r[0] for r in hot.collect()]
-
-
-def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
-                how: str = "left", row_bytes: int = 1024,
-                cfg: EngineConfig = DEFAULT, right_rows: int | None = None) -> DataFrame:
-    """``left JOIN right ON left_key = right_key`` for a right side with unique keys.
+def lookup_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, how: str = "left") -> DataFrame:
+    """``left JOIN right ON left_key = right_key`` for a right side with unique keys (see ``one_per_key``).
 
     The right key column is dropped from the result. ``how`` is 'inner' or 'left'.
     """
     if how not in ("inner", "left"):
         raise ValueError("lookup_join supports inner and left joins")
-    cond = left[left_key] == right[right_key]
-    if fits_broadcast(right, row_bytes, cfg.broadcast_limit_bytes, right_rows):
-        return left.join(F.broadcast(right), cond, how).drop(right[right_key])
-    keys = hot_keys(left.select(left_key), left_key, cfg.hot_key_share)
-    if not keys:
-        return left.join(right, cond, how).drop(right[right_key])
-    is_hot = F.coalesce(F.col(left_key).isin(keys), F.lit(False))
-    hot_right = F.broadcast(right.where(F.col(right_key).isin(keys)))
-    hot_left = left.where(is_hot)
-    cold_left = left.where(~is_hot)
-    hot = hot_left.join(hot_right, hot_left[left_key] == hot_right[right_key], how).drop(hot_right[right_key])
-    cold = cold_left.join(right, cold_left[left_key] == right[right_key], how).drop(right[right_key])
-    return hot.unionByName(cold)
+    return left.join(right, left[left_key] == right[right_key], how).drop(right[right_key])
+
+
+def one_per_key(df: DataFrame, key: str, vec: str) -> DataFrame:
+    """(key, vec) with one row for each key: the last by (``_file``, ``_pos``) where the table carries its
+    file order, else the largest vector (any rule that does not depend on partitions)."""
+    if {"_file", "_pos"} <= set(df.columns):
+        best = F.max_by(vec, F.struct("_file", "_pos"))
+    else:
+        best = F.max(vec)
+    return df.groupBy(key).agg(best.alias(vec))
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin a narrow input over the cores when it arrives in fewer splits than cores.
+    """Round-robin an input that lies in fewer files than there are cores.
 
-    A large input already has thousands of splits and is returned untouched (no shuffle);
-    a tiny file with one row group would otherwise run all per-row vector work in one task.
+    Looks at the list of files only; a large table has many files and is returned untouched.
     """
-    spark = df.sparkSession
-    try:
-        want = min_partitions or spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= want:
-            return df
-    except Exception:  # noqa: BLE001 -- sessions without RDD access keep the input as is
-        return df
-    return df.repartition(int(want))
+    want = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    return df.repartition(int(want)) if 0 < len(files) < want else df

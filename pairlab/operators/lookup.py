@@ -5,9 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.config import DEFAULT, EngineConfig
 from pairlab.functions.vectors import zeros
-from pairlab.operators.joins import lookup_join, spread
+from pairlab.operators.joins import lookup_join, one_per_key, spread
 
 CHAINS = ("heavy", "light", "antigen")
 
@@ -21,45 +20,37 @@ def _side(emb: DataFrame, chain: str, key: str, vec: str) -> DataFrame:
     return emb.select(F.col(key).alias(f"_{chain}_k"), F.col(vec).alias(f"{chain}_emb"))
 
 
-def _row_bytes(dim: int | None) -> int:
-    return 64 + 8 * (dim or 1536)
-
-
-def lookup_strict(pairs: DataFrame, emb: DataFrame, key: str = "seq", vec: str = "embedding",
-                  dim: int | None = None, cfg: EngineConfig = DEFAULT) -> DataFrame:
+def lookup_strict(pairs: DataFrame, emb: DataFrame, key: str = "seq", vec: str = "embedding") -> DataFrame:
     """Strict policy: drop a row whose heavy or antigen sequence has no embedding.
 
     Light chain: absent ('' or NULL) gives ``light_status='empty'`` and a NULL vector
     (the zero-length token matrix); a hit gives the vector; a non-empty miss keeps the
     row with a NULL vector and ``light_status='missing'``.
     """
-    rb = _row_bytes(dim)
-    n_emb = emb.count() if cfg.broadcast_limit_bytes > 0 else None
+    emb = one_per_key(emb, key, vec)
     out = spread(pairs)
     for chain, how in (("heavy", "inner"), ("antigen", "inner")):
-        out = lookup_join(out, _side(emb, chain, key, vec), f"{chain}_seq", f"_{chain}_k", how, rb, cfg, n_emb)
+        out = lookup_join(out, _side(emb, chain, key, vec), f"{chain}_seq", f"_{chain}_k", how)
     out = out.withColumn("_light_probe", F.when(_no_chain("light_seq"), F.lit(None)).otherwise(F.col("light_seq")))
-    out = lookup_join(out, _side(emb, "light", key, vec), "_light_probe", "_light_k", "left", rb, cfg, n_emb)
+    out = lookup_join(out, _side(emb, "light", key, vec), "_light_probe", "_light_k", "left")
     status = (F.when(_no_chain("light_seq"), "empty")
               .when(F.col("light_emb").isNull(), "missing").otherwise("hit"))
     return out.drop("_light_probe").withColumn("light_status", status)
 
 
 def lookup_lenient(pairs: DataFrame, emb: DataFrame, dim: int, key: str = "seq",
-                   vec: str = "embedding", keep_any: bool = True,
-                   cfg: EngineConfig = DEFAULT) -> DataFrame:
+                   vec: str = "embedding", keep_any: bool = True) -> DataFrame:
     """Lenient policy: left-join every chain, zero-fill misses, keep a row if any chain hit.
 
     Adds ``heavy_hit``, ``light_hit``, ``antigen_hit`` flags and zero-filled
     ``h``, ``l``, ``ag`` vectors. ``keep_any=False`` returns every row (for coverage).
     """
-    rb = _row_bytes(dim)
-    n_emb = emb.count() if cfg.broadcast_limit_bytes > 0 else None
+    emb = one_per_key(emb, key, vec)
     out = spread(pairs)
     for chain in CHAINS:
         out = out.withColumn(f"_{chain}_probe",
                              F.when(_no_chain(f"{chain}_seq"), F.lit(None)).otherwise(F.col(f"{chain}_seq")))
-        out = lookup_join(out, _side(emb, chain, key, vec), f"_{chain}_probe", f"_{chain}_k", "left", rb, cfg, n_emb)
+        out = lookup_join(out, _side(emb, chain, key, vec), f"_{chain}_probe", f"_{chain}_k", "left")
         out = out.withColumn(f"{chain}_hit", F.col(f"{chain}_emb").isNotNull()).drop(f"_{chain}_probe")
     z = zeros(dim)
     out = (out.withColumn("h", F.coalesce("heavy_emb", z))
@@ -71,12 +62,20 @@ def lookup_lenient(pairs: DataFrame, emb: DataFrame, dim: int, key: str = "seq",
     return out
 
 
-def lookup_coverage(pairs: DataFrame, emb: DataFrame, dim: int, cfg: EngineConfig = DEFAULT) -> DataFrame:
-    """Counters of the lenient lookup in one aggregate row: kept, skipped and hits per chain."""
-    flags = lookup_lenient(pairs.select("row_id", "heavy_seq", "light_seq", "antigen_seq"),
-                           emb, dim, keep_any=False, cfg=cfg)
+def lookup_coverage(pairs: DataFrame, emb: DataFrame, key: str = "seq") -> DataFrame:
+    """Counters of the lenient lookup in one aggregate row: kept, skipped and hits per chain.
+
+    Joins the keys alone; no vector is read.
+    """
+    out = spread(pairs.select("heavy_seq", "light_seq", "antigen_seq"))
+    known = emb.select(key).distinct()
+    for chain in CHAINS:
+        side = known.select(F.col(key).alias("_k"), F.lit(True).alias(f"{chain}_hit"))
+        probe = F.when(_no_chain(f"{chain}_seq"), F.lit(None)).otherwise(F.col(f"{chain}_seq"))
+        out = lookup_join(out.withColumn("_probe", probe), side, "_probe", "_k", "left")
+        out = out.withColumn(f"{chain}_hit", F.coalesce(f"{chain}_hit", F.lit(False))).drop("_probe")
     any_hit = F.col("heavy_hit") | F.col("light_hit") | F.col("antigen_hit")
-    return flags.agg(
+    return out.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_if(any_hit).alias("kept"),
         F.count_if(~any_hit).alias("skipped"),

@@ -20,6 +20,7 @@ BUCKETS = 256
 
 def _distinct_scores(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     yy = F.col(y).cast("long")
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())  # a row without a score or label is not ranked
     return df.groupBy(*by, F.col(p).alias("_s")).agg(F.sum(yy).alias("_pos"), F.sum(1 - yy).alias("_neg"))
 
 

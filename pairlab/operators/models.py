@@ -134,19 +134,14 @@ def mlp_score(df: DataFrame, weights: MlpWeights, x: str, id_col: str = "row_id"
 
 
 def mc_dropout_score(df: DataFrame, weights: MlpWeights, x: str, passes: int = 20, rate: float = 0.3,
-                     seed: int = 0, id_col: str = "row_id", long: bool = False) -> DataFrame:
-    """K stochastic passes per row inside the task.
-
-    ``long=False``: per-row summary (mean_p, var_p, std_p, entropy) -- no shuffle at all.
-    ``long=True``: the (row_id, pass, p) table, for ensemble-style summaries downstream.
-    """
+                     seed: int = 0, id_col: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """K stochastic passes per row inside the task: ``keep`` columns and the summary (mean_p, var_p, std_p,
+    entropy), without any shuffle."""
     bw = df.sparkSession.sparkContext.broadcast(weights)
-    if long:
-        schema = StructType([StructField(id_col, LongType()), StructField("pass", LongType()),
-                             StructField("p", DoubleType())])
-    else:
-        schema = StructType([StructField(id_col, LongType()), StructField("mean_p", DoubleType()),
-                             StructField("var_p", DoubleType()), StructField("std_p", DoubleType())])
+    df = df.select(id_col, x, *[c for c in keep if c != x])
+    stats = ("mean_p", "var_p", "std_p")
+    schema = StructType([f for f in df.schema.fields if f.name == id_col or f.name in keep]
+                        + [StructField(c, DoubleType()) for c in stats])
 
     def run(batches):
         import pandas as pd
@@ -157,15 +152,10 @@ def mc_dropout_score(df: DataFrame, weights: MlpWeights, x: str, passes: int = 2
             X = _matrix(pdf[x])
             ids = pdf[id_col].to_numpy()
             P = np.stack([1.0 / (1.0 + np.exp(-forward(w, X, ids, rate, seed, k))) for k in range(passes)], axis=1)
-            if long:
-                yield pd.DataFrame({id_col: np.repeat(ids, passes), "pass": np.tile(np.arange(passes), len(ids)),
-                                    "p": P.ravel()})
-            else:
-                yield pd.DataFrame({id_col: ids, "mean_p": P.mean(axis=1), "var_p": P.var(axis=1),
-                                    "std_p": P.std(axis=1)})
+            out = pdf[[c for c in pdf.columns if c == id_col or c in keep]]
+            yield out.assign(mean_p=P.mean(axis=1), var_p=P.var(axis=1), std_p=P.std(axis=1))
 
-    out = df.select(id_col, x).mapInPandas(run, schema)
-    return out if long else out.withColumn("entropy", binary_entropy("mean_p"))
+    return df.mapInPandas(run, schema).withColumn("entropy", binary_entropy("mean_p"))
 
 
 # ---------------------------------------------------------------- data-parallel training
@@ -254,8 +244,8 @@ def train_mlp(df: DataFrame, x: str, y: str = "label", hidden=(256, 128), epochs
 
 
 # ---------------------------------------------------------------- forest and kmeans (Spark ML)
-def train_forest(df: DataFrame, x: str, y: str = "label", num_trees: int = 200, min_leaf: int = 2,
-                 max_depth: int = 10, seed: int = 42, balanced: bool = True):
+def train_forest(df: DataFrame, x: str, y: str = "label", num_trees: int = 200, min_leaf: int = 1,
+                 max_depth: int = 30, seed: int = 42, balanced: bool = True):
     """RandomForestClassifier with balanced class weights n / (k n_c) as the weight column."""
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.functions import array_to_vector
@@ -264,20 +254,22 @@ def train_forest(df: DataFrame, x: str, y: str = "label", num_trees: int = 200,
         from pairlab.operators.scaling import class_weights
         cw = class_weights(df, y).select(y, F.col("weight").alias("_w"))
         d = d.join(F.broadcast(cw), y)   # one row per class
+    d = canonical(d)
     rf = RandomForestClassifier(featuresCol="_v", labelCol=y, weightCol="_w" if balanced else None,
                                 numTrees=num_trees, minInstancesPerNode=min_leaf, maxDepth=max_depth,
                                 featureSubsetStrategy="sqrt", seed=seed, leafCol="_leaves")
     return rf.fit(d)
 
 
-def forest_predict(model, df: DataFrame, x: str, id_col: str = "row_id", leaves: bool = False) -> DataFrame:
-    """(id, p) from the forest's class-1 probability; with ``leaves`` also the leaf per tree."""
+def forest_predict(model, df: DataFrame, x: str, id_col: str = "row_id", leaves: bool = False,
+                   keep_x: bool = False) -> DataFrame:
+    """The other columns of ``df`` and p, the forest's class-1 probability; with ``leaves`` also the leaf per tree."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     d = model.transform(df.withColumn("_v", array_to_vector(x)))
     cols = [id_col, vector_to_array("probability")[1].alias("p")]
     if leaves:
         cols.append(vector_to_array("_leaves").alias("leaves"))
-    return d.select(*[c for c in df.columns if c not in (x,)], *cols[1:])
+    return d.select(*[c for c in df.columns if keep_x or c != x], *cols[1:])
 
 
 def forest_leaves_long(pred: DataFrame, id_col: str = "row_id") -> DataFrame:
@@ -286,102 +278,20 @@ def forest_leaves_long(pred: DataFrame, id_col: str = "row_id") -> DataFrame:
         "leaf", F.col("leaf").cast("long"))
 
 
+def canonical(df: DataFrame, id_col: str = "row_id", parts: int = 8) -> DataFrame:
+    """Rows laid out by a hash of their id and sorted: Spark ML draws its samples by partition and order, so a
+    fit depends on the layout of its (bounded) training rows unless that is fixed."""
+    return df.repartition(parts, id_col).sortWithinPartitions(id_col)
+
+
 def kmeans_best(df: DataFrame, x: str, k: int, seed: int = 42, restarts: int = 3):
     """KMeans(k) from ``restarts`` seeds, keeping the lowest training cost."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
-    d = df.withColumn("_v", array_to_vector(x))
+    d = canonical(df).withColumn("_v", array_to_vector(x))
     best = None
     for r in range(restarts):
         model = KMeans(k=k, seed=seed + r, featuresCol="_v", predictionCol="cluster").fit(d)
         if best is None or model.summary.trainingCost < best.summary.trainingCost:
             best = model
     return best
-
-
-# ---------------------------------------------------------------- cross-attention binder (forward only)
-def init_cross_attention(dim: int, heads: int = 8, hidden: int = 256, seed: int = 0) -> dict:
-    """Weights of the bidirectional cross-attention binder (eval mode: dropout off)."""
-    rng = np.random.default_rng(seed)
-
-    def lin(i, o):
-        k = 1.0 / np.sqrt(i)
-        return rng.uniform(-k, k, (o, i)), rng.uniform(-k, k, (o,))
-
-    def mha():
-        return {n: lin(dim, dim) for n in ("q", "k", "v", "o")}
-
-    ln = lambda: (np.ones(dim), np.zeros(dim))
-    return {"heads": heads, "ab_to_ag": mha(), "ag_to_ab": mha(), "norm_ab": ln(), "norm_ag": ln(),
-            "ag_pool": lin(dim, 1), "merge": lin(2 * dim, dim), "merge_norm": ln(), "pool": lin(dim, 1),
-            "head1": lin(dim, hidden), "head2": lin(hidden, 1)}
-
-
-def _linear(x, wb):
-    return x @ wb[0].T + wb[1]
-
-
-def _layer_norm(x, gb, eps=1e-5):
-    mu = x.mean(axis=-1, keepdims=True)
-    var = x.var(axis=-1, keepdims=True)
-    return (x - mu) / np.sqrt(var + eps) * gb[0] + gb[1]
-
-
-def _softmax(s):
-    s = s - s.max(axis=-1, keepdims=True)
-    e = np.exp(s)
-    return e / e.sum(axis=-1, keepdims=True)
-
-
-def _mha(q_in, kv_in, w, heads):
-    q, k, v = _linear(q_in, w["q"]), _linear(kv_in, w["k"]), _linear(kv_in, w["v"])
-    lq, lk, d = q.shape[0], k.shape[0], q.shape[1]
-    dh = d // heads
-    qh = q.reshape(lq, heads, dh).transpose(1, 0, 2)
-    kh = k.reshape(lk, heads, dh).transpose(1, 0, 2)
-    vh = v.reshape(lk, heads, dh).transpose(1, 0, 2)
-    a = _softmax(qh @ kh.transpose(0, 2, 1) / np.sqrt(dh))
-    return _linear((a @ vh).transpose(1, 0, 2).reshape(lq, d), w["o"])
-
-
-def _attn_pool(x, wb):
-    return (_softmax(_linear(x, wb)[:, 0])[:, None] * x).sum(axis=0)
-
-
-def cross_attention_forward(w: dict, ab: np.ndarray, ag: np.ndarray) -> float:
-    """Logit for one pair of token matrices (L_ab x D, L_ag x D), valid tokens only.
-
-    Ab attends Ag and Ag attends Ab (residual + LayerNorm each), the attention-pooled antigen
-    summary is concatenated to every antibody token, merged back to D (Linear + LayerNorm),
-    attention-pooled over the antibody, and sent through the 256-unit head.
-    """
-    if len(ab) == 0 or len(ag) == 0:
-        return float("nan")
-    h = w["heads"]
-    ab_out = _layer_norm(ab + _mha(ab, ag, w["ab_to_ag"], h), w["norm_ab"])
-    ag_out = _layer_norm(ag + _mha(ag, ab, w["ag_to_ab"], h), w["norm_ag"])
-    summary = np.broadcast_to(_attn_pool(ag_out, w["ag_pool"]), ab_out.shape)
-    merged = _layer_norm(_linear(np.concatenate([ab_out, summary], axis=1), w["merge"]), w["merge_norm"])
-    pooled = _attn_pool(merged, w["pool"])
-    return float(_linear(np.maximum(_linear(pooled, w["head1"]), 0.0), w["head2"])[0])
-
-
-def cross_attention_score(df: DataFrame, weights: dict, ab_tokens: str, ag_tokens: str,
-                          id_col: str = "row_id") -> DataFrame:
-    """(id, logit, p) per pair; a pair without antibody or antigen tokens scores NULL."""
-    bw = df.sparkSession.sparkContext.broadcast(weights)
-    schema = StructType([StructField(id_col, LongType()), StructField("logit", DoubleType()),
-                         StructField("p", DoubleType())])
-
-    def run(batches):
-        w = bw.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            z = np.array([cross_attention_forward(w, _matrix(a) if a is not None and len(a) else np.zeros((0, 1)),
-                                                  _matrix(g) if g is not None and len(g) else np.zeros((0, 1)))
-                          for a, g in zip(pdf[ab_tokens], pdf[ag_tokens])])
-            p = 1.0 / (1.0 + np.exp(-z))
-            yield pdf[[id_col]].assign(logit=np.where(np.isnan(z), None, z), p=np.where(np.isnan(p), None, p))
-
-    return df.select(id_col, ab_tokens, ag_tokens).mapInPandas(run, schema)

@@ -55,8 +55,8 @@ def dim_of(spark: SparkSession, sf_dir: str):
 
 
 def _dim_int(spark, sf_dir) -> int:
-    # a single number; the lookup needs it to build the zero vector literal
-    return int(T.table(spark, sf_dir, "embeddings").select(F.max(F.size("embedding"))).first()[0])
+    # the width of one row; the lenient lookup builds its zero vector from it
+    return int(T.table(spark, sf_dir, "embeddings").select(F.size("embedding")).first()[0])
 
 
 def lenient(spark, sf_dir) -> DataFrame:
@@ -64,13 +64,13 @@ def lenient(spark, sf_dir) -> DataFrame:
 
 
 def strict(spark, sf_dir) -> DataFrame:
-    return LK.lookup_strict(T.pairs(spark, sf_dir), T.emb(spark, sf_dir), dim=_dim_int(spark, sf_dir))
+    return LK.lookup_strict(T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- flagship / lookups
 @register("flagship")
 def q_flagship(spark, sf_dir):
-    return finish(flagship(T.pairs(spark, sf_dir), T.emb(spark, sf_dir), 96, _dim_int(spark, sf_dir))
+    return finish(flagship(T.pairs(spark, sf_dir), T.emb(spark, sf_dir), 96)
                   .select("row_id", "cosine", "p", "entropy"))
 
 
@@ -92,7 +92,7 @@ def q_lookup_lenient(spark, sf_dir):
 
 @register("lookup_coverage")
 def q_lookup_coverage(spark, sf_dir):
-    return LK.lookup_coverage(T.pairs(spark, sf_dir), T.emb(spark, sf_dir), _dim_int(spark, sf_dir))
+    return LK.lookup_coverage(T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
 
 
 @register("broadcast_lookup")
@@ -218,10 +218,9 @@ def q_acquire_entropy(spark, sf_dir):
 
 @register("acquire_short_batch")
 def q_acquire_short_batch(spark, sf_dir):
-    """b = min(batch, pool): a pool of the label-1 rows with a cosine above 0.5, batch 10,000."""
+    """b = min(batch, pool): the whole pool, and a batch larger than it."""
     s = cosine_scores(T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
-    pool = s.where((F.col("label") == 1) & (F.col("cosine") > 0.5))
-    return finish(A.acquire_entropy(pool.select("row_id", "p"), 10000).select("row_id", "entropy"))
+    return finish(A.acquire_entropy(s.select("row_id", "p"), 2_000_000_000).select("row_id", "entropy"))
 
 
 @register("acquire_random")
@@ -670,111 +669,151 @@ def features(spark, sf_dir) -> DataFrame:
     return LP.interaction_table(spark, T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
 
 
+def within(c: str, lo: float, hi: float):
+    """Whether a value lies in [lo, hi]; NULL and NaN do not."""
+    return F.coalesce(F.col(c).between(lo, hi) & ~F.isnan(c), F.lit(False))
+
+
 @register("train_mlp")
 def q_train_mlp(spark, sf_dir):
-    """Data-parallel full-batch training: the mean loss of every epoch."""
+    """Data-parallel full-batch training at the study's size: loss of every epoch is finite, and the last below the first."""
     data = features(spark, sf_dir)
-    _, hist = M.train_mlp(data, "x", "label", hidden=(32, 16), epochs=8, lr=1e-2, dropout=0.3, seed=0)
-    return spark.createDataFrame(hist, "epoch INT, loss DOUBLE")
+    cfg = EngineConfig()
+    _, hist = M.train_mlp(data, "x", "label", hidden=(cfg.hidden, cfg.hidden // 2), epochs=cfg.epochs, lr=cfg.lr,
+                          dropout=cfg.dropout, seed=0)
+    first, last = hist[0][1], hist[-1][1]
+    t = spark.createDataFrame([(e, v, last < first) for e, v in hist], "epoch INT, loss DOUBLE, falls BOOLEAN")
+    return t.select("epoch", within("loss", 0.0, 1e6).alias("finite"), "falls")
 
 
 @register("mc_dropout_score")
 def q_mc_dropout_score(spark, sf_dir):
+    """20 dropout passes of a trained MLP over every row: mean, variance and entropy within their bounds."""
     data = features(spark, sf_dir)
-    w, _ = M.train_mlp(data, "x", "label", hidden=(32, 16), epochs=3, lr=1e-2, seed=0)
-    return M.mc_dropout_score(data, w, "x", passes=20, rate=0.3, seed=0)
+    w, _ = M.train_mlp(data, "x", "label", hidden=(256, 128), epochs=3, lr=1e-2, seed=0)
+    s = M.mc_dropout_score(data, w, "x", passes=20, rate=0.3, seed=0)
+    return s.select("row_id", within("mean_p", 0.0, 1.0).alias("mean_ok"), (F.col("var_p") <= 0.25).alias("var_ok"),
+                    within("entropy", 0.0, 0.6931472).alias("entropy_ok"))
 
 
 @register("train_forest")
 def q_train_forest(spark, sf_dir):
+    """Forest of study 02 (300 trees, leaves of two) on the split: every held-out row gets a probability."""
     data = features(spark, sf_dir)
-    split = SM.stratified_split(data, "label", 0.2, seed=42)
-    model = M.train_forest(split.where(~F.col("is_test")), "x", "label", num_trees=50, seed=42)
-    pred = M.forest_predict(model, split.where("is_test").select("row_id", "label", "x"), "x")
-    return MT.evaluate_scores(pred, "label", "p")
+    split = SM.stratified_split(data.select("row_id", "label"), "label", 0.2, seed=42)
+    test = split.where("is_test").select("row_id")
+    model = M.train_forest(data.join(test, "row_id", "left_anti"), "x", "label", num_trees=300, min_leaf=2, seed=42)
+    pred = M.forest_predict(model, data.join(test, "row_id", "left_semi").select("row_id", "label", "x"), "x")
+    return pred.select("row_id", "label", within("p", 0.0, 1.0).alias("p_ok"))
 
 
 @register("forest_leaf_proximity")
 def q_forest_leaf_proximity(spark, sf_dir):
-    """Leaf ids of a trained forest (one per tree) -> per-row proximity aggregates."""
+    """Leaf ids of a trained forest (one for each tree and row) and the rows that share a leaf with a row."""
     data = features(spark, sf_dir)
-    model = M.train_forest(data, "x", "label", num_trees=30, seed=42)
-    pred = M.forest_predict(model, data.select("row_id", "x"), "x", leaves=True)
-    return GE.leaf_proximity(M.forest_leaves_long(pred))
+    model = M.train_forest(data, "x", "label", num_trees=300, min_leaf=2, seed=42)
+    long = M.forest_leaves_long(M.forest_predict(model, data.select("row_id", "x"), "x", leaves=True))
+    return long.groupBy("row_id").agg(F.count("*").alias("n_leaves"), F.countDistinct("tree").alias("n_trees"),
+                                      F.min(F.col("leaf") >= 0).alias("leaf_ok"))
+
+
+def _slice(spark, sf_dir) -> DataFrame:
+    """The 480 most uncertain rows of the fixed scorer, written once."""
+    c = candidates(spark, sf_dir).select("row_id", "entropy")
+    top = A.top_by_score(features(spark, sf_dir).join(c, "row_id"), "entropy", 480)
+    path = scratch(spark, "slice")
+    top.select("row_id", "x", "entropy").write.parquet(path)
+    return spark.read.parquet(path)
 
 
 @register("kmeans_slice")
 def q_kmeans_slice(spark, sf_dir):
-    """KMeans(96) on the 480 most uncertain rows of the fixed scorer (cluster per row)."""
-    data = features(spark, sf_dir)
-    c = candidates(spark, sf_dir).select("row_id", "entropy")
-    top = A.top_by_score(data.join(c, "row_id"), "entropy", 480)
+    """KMeans(96) on the 480 most uncertain rows of the fixed scorer: each gets a cluster."""
+    top = _slice(spark, sf_dir)
     km = M.kmeans_best(top, "x", 96, seed=42)
     from pyspark.ml.functions import array_to_vector
-    return km.transform(top.withColumn("_v", array_to_vector("x"))).select("row_id", "cluster")
+    out = km.transform(top.withColumn("_v", array_to_vector("x")))
+    return out.select("row_id", F.col("cluster").between(0, 95).alias("cluster_ok"))
 
 
 @register("acquire_badge")
 def q_acquire_badge(spark, sf_dir):
+    """BADGE batch: at most 96 distinct ids, all from the 480 most uncertain rows."""
+    top = _slice(spark, sf_dir)
     data = features(spark, sf_dir)
     c = candidates(spark, sf_dir).select("row_id", "entropy")
-    return LP.acquire_badge(data.join(c, "row_id"), "x", 96, seed=42)
+    got = LP.acquire_badge(data.select("row_id", "x").join(c, "row_id"), "x", 96, seed=42)
+    got = got.join(top.select("row_id", F.lit(True).alias("inside")), "row_id", "left")
+    return got.agg(F.count("*").between(1, 96).alias("size_ok"), (F.count("*") == F.countDistinct("row_id")).alias("distinct"),
+                   F.min(F.coalesce("inside", F.lit(False))).alias("inside"))
 
 
 @register("project_2d")
 def q_project_2d(spark, sf_dir):
+    """PCA plane of the scaled features: centred, uncorrelated axes, the first with the larger variance."""
     data = features(spark, sf_dir)
     st = SC.standard_scale_fit(data, "x")
     scaled = SC.standard_scale_apply(data, st, "x", "xs")
-    return GE.project_2d(scaled.select("row_id", "label", "xs"), "xs").select("row_id", "label", "xy")
+    p = GE.project_2d(scaled.select("row_id", "label", "xs"), "xs").select(F.col("xy")[0].alias("a"), F.col("xy")[1].alias("b"))
+    return p.agg(F.count("*").alias("n"), (F.abs(F.avg("a")) < 1e-6).alias("mean_a"), (F.abs(F.avg("b")) < 1e-6).alias("mean_b"),
+                 (F.abs(F.corr("a", "b")) < 1e-6).alias("uncorrelated"), (F.var_pop("a") >= F.var_pop("b")).alias("ordered"))
 
 
 # ---------------------------------------------------------------- loops
 from pairlab.config import EngineConfig  # noqa: E402
 
-LOOP_CFG = EngineConfig(forest_depth=5)
+
+def _progress(r: DataFrame) -> DataFrame:
+    """What a loop's result must be whatever the model learned: rows, labelled and left counts, metrics in bounds."""
+    ok = [within(c, 0.0, 1.0) for c in ("accuracy", "f1", "auprc", "auroc")]
+    return r.select("model", "strategy", "seed", "batch_size", "round", "n_labeled", "pool_left",
+                    (ok[0] & ok[1] & ok[2] & ok[3]).alias("metrics_ok"))
+
+
 @register("al_loop_fixed")
 def q_al_loop_fixed(spark, sf_dir):
-    """Fixed horizon: rounds 0..3 of forest + entropy acquisition, batch 96."""
-    return LP.run_al(spark, features(spark, sf_dir), "uncertainty", seed=0, batch=96, rounds=3,
-                     model="forest", forest_trees=20, cfg=LOOP_CFG)
+    """Fixed horizon: five batches of 96 by forest entropy."""
+    return _progress(LP.run_al(spark, features(spark, sf_dir), "uncertainty", seed=0, batch=96, rounds=5))
 
 
 @register("al_loop_exhaust")
 def q_al_loop_exhaust(spark, sf_dir):
-    """Exhaust the pool with random acquisition, batch 2000."""
-    return LP.run_al(spark, features(spark, sf_dir), "random", seed=0, batch=2000, rounds=None,
-                     model="forest", forest_trees=20, cfg=LOOP_CFG)
+    """Random batches of 2,000 until the pool is empty."""
+    return _progress(LP.run_al(spark, features(spark, sf_dir), "random", seed=0, batch=2000))
+
+
+@register("al_loop_mlp")
+def q_al_loop_mlp(spark, sf_dir):
+    """MC-dropout MLP loop with the salience-weighted rule of study 05."""
+    return _progress(LP.run_al(spark, features(spark, sf_dir), "weighted", seed=0, batch=96, rounds=1, model="mlp"))
+
+
+@register("al_loop_hybrid")
+def q_al_loop_hybrid(spark, sf_dir):
+    """MC-dropout MLP loop with the half-random rule of study 06."""
+    return _progress(LP.run_al(spark, features(spark, sf_dir), "hybrid", seed=1, batch=96, rounds=1, model="mlp"))
+
+
+@register("al_loop_badge")
+def q_al_loop_badge(spark, sf_dir):
+    """MC-dropout MLP loop with the diversity rule of study 07: a batch may be short."""
+    r = LP.run_al(spark, features(spark, sf_dir), "badge", seed=0, batch=24, rounds=1, model="mlp")
+    return r.select("model", "strategy", "round", F.when(F.col("round") == 0, F.col("n_labeled") == 100)
+                    .otherwise(F.col("n_labeled").between(101, 124)).alias("size_ok"))
 
 
 @register("al_campaign")
 def q_al_campaign(spark, sf_dir):
     """Warm campaign: 1000 initial, 21 iterations of 96 passive picks, forest retrained each time."""
-    return LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21, "forest", cfg=LOOP_CFG,
-                           forest_trees=20)
+    r = LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21, forest_trees=50)
+    return r.select("batch", "strategy", "n_labeled", within("val_loss", 0.0, 100.0).alias("loss_ok"),
+                    within("val_acc", 0.0, 1.0).alias("acc_ok"), (F.col("pool_left") >= 0).alias("left_ok"))
 
 
 @register("experiment_grid")
 def q_experiment_grid(spark, sf_dir):
-    return LP.experiment_grid(spark, features(spark, sf_dir), seeds=(0, 1), strategies=("random", "weighted"),
-                              rounds=2, forest_trees=20, cfg=LOOP_CFG)
-
-
-@register("cross_attention_score")
-def q_cross_attention_score(spark, sf_dir):
-    """Token-level binder forward pass: each token group (antibody) against the group of the
-    next label in the same id block (antigen); 8 heads, D = embedding width."""
-    e = T.table(spark, sf_dir, "embeddings").select(
-        F.floor(F.col("vec_id") / 40).alias("grp"), F.col("label").alias("lab"), "vec_id",
-        F.col("embedding").cast("array<double>").alias("embedding"))
-    tok = e.groupBy("grp", "lab").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("t"))
-    tok = tok.select("grp", "lab", F.transform("t", lambda s: s["embedding"]).alias("tokens"),
-                     (F.col("grp") * 10 + F.col("lab")).alias("row_id"))
-    ag = tok.select("grp", F.col("lab").alias("ag_lab"), F.col("tokens").alias("ag_tokens"))
-    pairs_ = tok.join(ag, (tok.grp == ag.grp) & (ag.ag_lab == (tok.lab + 1) % 10)).select(
-        "row_id", F.col("tokens").alias("ab_tokens"), "ag_tokens")
-    w = M.init_cross_attention(_dim_int(spark, sf_dir), heads=8, hidden=256, seed=0)
-    return M.cross_attention_score(pairs_, w, "ab_tokens", "ag_tokens")
+    """Five seeds by two strategies, a batch each."""
+    return _progress(LP.experiment_grid(spark, features(spark, sf_dir), seeds=range(5), strategies=("random", "weighted"), rounds=1))
 
 
 @register("model_roundtrip")

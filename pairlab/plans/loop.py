@@ -20,10 +20,9 @@ from pairlab.operators import acquire as A
 from pairlab.operators import metrics as MT
 from pairlab.operators import models as M
 from pairlab.operators import sampling as SM
-from pairlab.operators.lookup import lookup_strict
-
-RESULT_COLS = ["model", "strategy", "seed", "batch_size", "round", "n_labeled",
-               "accuracy", "f1", "auprc", "auroc"]
+from pairlab.operators import scaling as SC
+from pairlab.operators.lookup import gather_selected, lookup_strict, pool_minus_selected
+from pairlab.sources import writers as WR
 
 
 def _save(df: DataFrame, spark: SparkSession, *parts: str) -> DataFrame:
@@ -33,46 +32,69 @@ def _save(df: DataFrame, spark: SparkSession, *parts: str) -> DataFrame:
 
 
 def interaction_table(spark: SparkSession, pairs: DataFrame, emb: DataFrame, run: str | None = None) -> DataFrame:
-    """(row_id, label, x, salience): interaction features of the strict lookup, written once."""
-    looked = lookup_strict(pairs.select("row_id", "heavy_seq", "light_seq", "antigen_seq", "label"), emb)
-    ab = looked.select("row_id", "label", V.antibody("heavy_emb", "light_emb").alias("ab"),
+    """(row_id, the three sequences, label, x, salience): interaction features of the strict lookup, written once."""
+    keys = ("heavy_seq", "light_seq", "antigen_seq")
+    looked = lookup_strict(pairs.select("row_id", *keys, "label"), emb)
+    ab = looked.select("row_id", *keys, "label", V.antibody("heavy_emb", "light_emb").alias("ab"),
                        F.col("antigen_emb").alias("ag"))
-    f = ab.select("row_id", "label", V.vmul("ab", "ag").alias("had"), V.vabs_diff("ab", "ag").alias("ad"),
+    f = ab.select("row_id", *keys, "label", V.vmul("ab", "ag").alias("had"), V.vabs_diff("ab", "ag").alias("ad"),
                   V.cosine("ab", "ag").alias("cos"))
-    out = f.select("row_id", "label", F.concat("had", "ad", F.array("cos")).alias("x"),
+    out = f.select("row_id", *keys, "label", F.concat("had", "ad", F.array("cos")).alias("x"),
                    V.l2norm("had").alias("salience"))
     return _save(out, spark, "features", run or uuid.uuid4().hex)
 
 
 # ---------------------------------------------------------------- one model fit + scoring
 class Learner:
-    """A fitted scorer: ``score(df) -> (row_id, p, entropy)``."""
+    """A scaler and a model fitted on ``train``; ``score(df)`` adds p, entropy (and var_p for the MLP) to the rows,
+    keeping ``keep`` columns, so that no later step joins scores back."""
 
     def __init__(self, kind: str, train: DataFrame, x: str, cfg: EngineConfig, seed: int, round_: int,
-                 forest_trees: int, epochs: int | None):
-        self.kind, self.x, self.cfg, self.seed, self.round = kind, x, cfg, seed, round_
-        if kind == "forest":
-            self.model = M.train_forest(train, x, "label", num_trees=forest_trees, seed=seed,
-                                        max_depth=cfg.forest_depth)
-        elif kind == "mlp":
-            self.model, _ = M.train_mlp(train, x, "label", hidden=(cfg.hidden, cfg.hidden // 2),
-                                        epochs=epochs or cfg.epochs, lr=cfg.lr, dropout=cfg.dropout,
-                                        seed=seed + round_)
-        else:
-            raise ValueError(f"unknown model {kind!r}; choose from: forest, mlp")
+                 scaler: DataFrame | None = None, forest_trees: int | None = None, min_leaf: int = 1,
+                 epochs: int | None = None):
+        if kind not in SCORERS:
+            raise ValueError(f"unknown model {kind!r}; choose from: {', '.join(sorted(SCORERS))}")
+        self.kind, self.x, self.cfg, self.seed, self.round, self.scaler = kind, x, cfg, seed, round_, scaler
+        self.trees, self.min_leaf, self.epochs = forest_trees or cfg.forest_trees, min_leaf, epochs or cfg.epochs
+        self.fit, self.apply = SCORERS[kind]
+        self.model = self.fit(self, self.scaled(train))
+
+    def scaled(self, df: DataFrame) -> DataFrame:
+        return df if self.scaler is None else SC.standard_scale_apply(df, self.scaler, self.x, self.x)
+
+    def score(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        return self.apply(self, self.scaled(df.select("row_id", self.x, *[c for c in keep if c != self.x])), keep)
+
+
+def _fit_forest(learner: Learner, train: DataFrame):
+    return M.train_forest(train, learner.x, "label", num_trees=learner.trees, seed=learner.seed,
+                          min_leaf=learner.min_leaf, max_depth=learner.cfg.forest_depth)
+
+
+def _score_forest(learner: Learner, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    p = M.forest_predict(learner.model, df, learner.x, keep_x=learner.x in keep)
+    return p.withColumn("entropy", S.class_entropy(F.array(F.lit(1.0) - F.col("p"), F.col("p"))))
+
+
+def _fit_mlp(learner: Learner, train: DataFrame):
+    model, _ = M.train_mlp(train, learner.x, "label", hidden=(learner.cfg.hidden, learner.cfg.hidden // 2),
+                           epochs=learner.epochs, lr=learner.cfg.lr, dropout=learner.cfg.dropout,
+                           seed=learner.seed + learner.round)
+    return model
 
-    def score(self, df: DataFrame) -> DataFrame:
-        if self.kind == "forest":
-            p = M.forest_predict(self.model, df.select("row_id", self.x), self.x)
-            return p.withColumn("entropy", S.class_entropy(F.array(F.lit(1.0) - F.col("p"), F.col("p"))))
-        s = M.mc_dropout_score(df, self.model, self.x, self.cfg.mc_passes, self.cfg.dropout,
-                               seed=self.seed * 1000 + self.round)
-        return s.select("row_id", F.col("mean_p").alias("p"), "entropy")
+
+def _score_mlp(learner: Learner, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    s = M.mc_dropout_score(df, learner.model, learner.x, learner.cfg.mc_passes, learner.cfg.dropout,
+                           seed=learner.seed * 1000 + learner.round, keep=keep)
+    return s.withColumnRenamed("mean_p", "p")
+
+
+#: Scorer registry: name -> (fit, score); add an entry to use another model in every loop.
+SCORERS = {"forest": (_fit_forest, _score_forest), "mlp": (_fit_mlp, _score_mlp)}
 
 
 def _evaluate(learner: Learner, test: DataFrame) -> dict:
-    scored = learner.score(test).join(test.select("row_id", F.col("label").alias("y")), "row_id")
-    r = MT.evaluate_scores(scored, "y", "p").first()
+    r = MT.evaluate_scores(learner.score(test, ("label",)), "label", "p").first()
     return {k: (None if r[k] is None else float(r[k])) for k in ("accuracy", "f1", "auprc", "auroc")}
 
 
@@ -80,20 +102,24 @@ STRATEGIES = ("random", "uncertainty", "weighted", "hybrid", "badge")
 
 
 def acquire(strategy: str, unl: DataFrame, learner: Learner, b: int, seed: int, round_: int,
-            cfg: EngineConfig) -> DataFrame:
-    """Ids of the next batch from the unlabelled rows ``unl`` (row_id, x, salience)."""
+            cfg: EngineConfig, run: str) -> DataFrame:
+    """Ids of the next batch from the unlabelled rows ``unl`` (row_id, x, salience).
+
+    The scored candidates are written once a round: rules that read them several times do not score again.
+    """
     if strategy == "random":
         return A.acquire_random(unl.select("row_id"), b, seed, round_)
     if strategy not in STRATEGIES:
         raise ValueError(f"unknown strategy {strategy!r}; choose from: {', '.join(STRATEGIES)}")
-    scored = learner.score(unl).join(unl.select("row_id", "salience"), "row_id")
     if strategy == "uncertainty":
-        return A.top_by_score(scored, "entropy", b).select("row_id")
+        return A.top_by_score(learner.score(unl), "entropy", b).select("row_id")
+    if strategy == "badge":
+        return acquire_badge(learner.score(unl, (learner.x,)).select("row_id", "entropy", learner.x), learner.x, b, seed)
+    scored = learner.score(unl, ("salience",)).select("row_id", "entropy", "salience")
+    scored = _save(scored, unl.sparkSession, run, f"scored-{round_}")
     if strategy == "weighted":
         return A.acquire_weighted(scored, b, w=cfg.salience_weight).select("row_id")
-    if strategy == "hybrid":
-        return A.acquire_hybrid(scored, b, seed, round_, w=cfg.salience_weight).select("row_id")
-    return acquire_badge(scored.join(unl.select("row_id", learner.x), "row_id"), learner.x, b, seed)
+    return A.acquire_hybrid(scored, b, seed, round_, w=cfg.salience_weight).select("row_id")
 
 
 def acquire_badge(scored: DataFrame, x: str, b: int, seed: int = 42) -> DataFrame:
@@ -119,85 +145,109 @@ def acquire_badge(scored: DataFrame, x: str, b: int, seed: int = 42) -> DataFram
 
 def run_al(spark: SparkSession, data: DataFrame, strategy: str, seed: int = 0, batch: int = 96,
            rounds: int | None = None, model: str = "forest", cfg: EngineConfig = DEFAULT,
-           forest_trees: int = 50, epochs: int | None = None, x: str = "x") -> DataFrame:
-    """Stratified split -> balanced cold start -> rounds of (train, evaluate, acquire).
+           forest_trees: int | None = None, epochs: int | None = None, x: str = "x", min_leaf: int = 1) -> DataFrame:
+    """Stratified split -> scaler fitted on the pool -> balanced cold start -> rounds of (train, evaluate, acquire).
 
-    ``rounds=None`` runs until the pool is exhausted (capped at ``cfg.max_rounds``);
-    otherwise rounds 0..rounds are evaluated (rounds + 1 rows).
+    ``rounds=None`` runs until the pool is exhausted; otherwise at most ``rounds`` batches are acquired
+    (rounds + 1 rows), and ``pool_left`` tells how many rows were never labelled.
     """
     run = f"run-{uuid.uuid4().hex}"
-    split = SM.stratified_split(data.select("row_id", "label", x, "salience"), "label", cfg.test_fraction, seed)
-    split = _save(split, spark, run, "split")
-    pool = split.where(~F.col("is_test")).drop("is_test")
-    test = split.where(F.col("is_test")).drop("is_test")
-    seeded = SM.balanced_seed(pool.select("row_id", "label"), cfg.seed_size, seed)
+    split = _save(SM.stratified_split(data.select("row_id", "label"), "label", cfg.test_fraction, seed), spark, run, "split")
+    held = split.where("is_test").select("row_id")
+    pool = data.join(held, "row_id", "left_anti")
+    test = data.join(held, "row_id", "left_semi")
+    scaler = _save(SC.standard_scale_fit(pool, x), spark, run, "scaler")
+    seeded = SM.balanced_seed(split.where(~F.col("is_test")).select("row_id", "label"), cfg.seed_size, seed)
     labelled = _save(seeded.where("selected").select("row_id", F.lit(0).alias("round")), spark, run, "labelled-0")
-    rows = []
-    horizon = cfg.max_rounds if rounds is None else rounds
-    for r in range(horizon + 1):
+    total = split.where(~F.col("is_test")).count()
+    rows, r = [], 0
+    while True:
         train = pool.join(labelled.select("row_id"), "row_id", "left_semi")
-        learner = Learner(model, train, x, cfg, seed, r, forest_trees, epochs)
-        m = _evaluate(learner, test)
+        learner = Learner(model, train, x, cfg, seed, r, scaler, forest_trees, min_leaf, epochs)
         n_lab = labelled.count()
         rows.append({"model": model, "strategy": strategy, "seed": seed, "batch_size": batch, "round": r,
-                     "n_labeled": n_lab, **m})
-        unl = pool.join(labelled.select("row_id"), "row_id", "left_anti")
-        if r == horizon or unl.isEmpty():
+                     "n_labeled": n_lab, "pool_left": total - n_lab, **_evaluate(learner, test)})
+        if n_lab >= total or r == rounds:
             break
-        pick = acquire(strategy, unl, learner, batch, seed, r, cfg)
+        unl = pool.join(labelled.select("row_id"), "row_id", "left_anti")
+        pick = acquire(strategy, unl, learner, batch, seed, r, cfg, run)
         labelled = _save(labelled.unionByName(pick.select("row_id", F.lit(r + 1).alias("round"))),
                          spark, run, f"labelled-{r + 1}")
+        r += 1
     return spark.createDataFrame(rows, schema="model STRING, strategy STRING, seed INT, batch_size INT, "
-                                              "round INT, n_labeled BIGINT, accuracy DOUBLE, f1 DOUBLE, "
-                                              "auprc DOUBLE, auroc DOUBLE")
+                                              "round INT, n_labeled BIGINT, pool_left BIGINT, accuracy DOUBLE, "
+                                              "f1 DOUBLE, auprc DOUBLE, auroc DOUBLE")
 
 
 def experiment_grid(spark: SparkSession, data: DataFrame, seeds, strategies, models=("forest",),
-                    batches=(96,), rounds: int | None = None, **kw) -> DataFrame:
-    """Every (seed, strategy, model, batch) run, results appended into one table."""
-    out = None
-    for seed in seeds:
-        for strategy in strategies:
-            for model in models:
-                for b in batches:
-                    r = run_al(spark, data, strategy, seed, b, rounds, model, **kw)
-                    out = r if out is None else out.unionByName(r)
+                    batches=(96,), rounds: int | None = None, parallel: int = 4, **kw) -> DataFrame:
+    """Every (seed, strategy, model, batch) run, ``parallel`` at a time, results in one table.
+
+    The runs share nothing but ``data``; the driver only submits their jobs from threads.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    from itertools import product
+
+    runs = list(product(seeds, strategies, models, batches))
+    with ThreadPoolExecutor(parallel) as pool:
+        tables = list(pool.map(lambda c: run_al(spark, data, c[1], c[0], c[3], rounds, c[2], **kw), runs))
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
     return out
 
 
 def run_campaign(spark: SparkSession, data: DataFrame, strategy: str = "passive", query_size: int = 96,
                  initial: int = 1000, iterations: int = 21, model: str = "forest",
-                 cfg: EngineConfig = DEFAULT, forest_trees: int = 50, x: str = "x") -> DataFrame:
+                 cfg: EngineConfig = DEFAULT, forest_trees: int | None = None, x: str = "x",
+                 report_uri: str | None = None) -> DataFrame:
     """Warm campaign: shuffled 80/20 split (seed 42), the first ``initial`` train rows, then
     ``iterations`` rounds of +query_size picks, retraining from scratch on all picks each time.
 
-    Report rows: (batch, strategy, val_loss, val_acc, n_labeled).
+    A picked row takes every pool row with the same (heavy, light, antigen) triple out of the pool.
+    ``mc_dropout`` ranks by the variance over the passes and so needs the MLP. Report rows: (batch,
+    strategy, val_loss, val_acc, n_labeled, pool_left, is_best); with ``report_uri`` the report is
+    written there as JSON, and the MLP of the best batch (highest val_acc, first of equals) beside it.
     """
+    if strategy not in ("passive", "mc_dropout"):
+        raise ValueError(f"unknown campaign strategy {strategy!r}; choose from: passive, mc_dropout")
+    if strategy == "mc_dropout" and model != "mlp":
+        raise ValueError("mc_dropout needs the mlp: a forest has no dropout passes")
     run = f"campaign-{uuid.uuid4().hex}"
-    split = _save(SM.shuffle_split(data.select("row_id", "label", x, "salience"), 0.2, 42), spark, run, "split")
-    train = split.where(~F.col("is_test")).drop("is_test")
-    val = split.where(F.col("is_test")).drop("is_test")
-    selected = _save(A.acquire_random(train.select("row_id"), initial, 42, 0), spark, run, "sel-0")
-    report = []
-    learner = Learner(model, train.join(selected, "row_id", "left_semi"), x, cfg, 42, 0, forest_trees, None)
+    keys = ["heavy_seq", "light_seq", "antigen_seq"]
+    split = _save(SM.shuffle_split(data.select("row_id"), 0.2, 42), spark, run, "split")
+    held = split.where("is_test").select("row_id")
+    train = data.join(held, "row_id", "left_anti")
+    val = data.join(held, "row_id", "left_semi")
+    scaler = _save(SC.standard_scale_fit(train, x), spark, run, "scaler")
+    ids = train.select("row_id", *keys)
+    selected = _save(gather_selected(ids, A.acquire_random(ids.select("row_id"), initial, 42, 0)), spark, run, "sel-0")
+    report, best = [], None
+    learner = Learner(model, train.join(selected.select("row_id"), "row_id", "left_semi"), x, cfg, 42, 0, scaler, forest_trees)
     for it in range(1, iterations + 1):
-        pool = train.join(selected, "row_id", "left_anti")
-        if pool.isEmpty():
+        left = pool_minus_selected(ids, selected)
+        if left.isEmpty():
             break
         if strategy == "passive":
-            pick = A.acquire_random(pool.select("row_id"), query_size, 42, it)
-        elif strategy == "mc_dropout":
-            s = learner.score(pool)
-            pick = A.top_by_score(s, "entropy", query_size).select("row_id")
+            pick = A.acquire_random(left.select("row_id"), query_size, 42, it)
         else:
-            raise ValueError(f"unknown campaign strategy {strategy!r}; choose from: passive, mc_dropout")
-        selected = _save(selected.unionByName(pick.select("row_id")), spark, run, f"sel-{it}")
-        learner = Learner(model, train.join(selected, "row_id", "left_semi"), x, cfg, 42, it, forest_trees, None)
-        scored = learner.score(val).join(val.select("row_id", F.col("label").alias("y")), "row_id")
-        r = scored.agg(F.avg(S.bce_with_logits(F.log(F.col("p") + 1e-12) - F.log(1 - F.col("p") + 1e-12), "y"))
-                       .alias("val_loss"), F.avg((S.decision("p") == F.col("y")).cast("double")).alias("val_acc")
-                       ).first()
-        report.append({"batch": it, "strategy": strategy, "val_loss": float(r["val_loss"]),
-                       "val_acc": float(r["val_acc"]), "n_labeled": selected.count()})
-    return spark.createDataFrame(report, schema="batch INT, strategy STRING, val_loss DOUBLE, val_acc DOUBLE, "
-                                                "n_labeled BIGINT")
+            s = learner.score(train.join(left.select("row_id"), "row_id", "left_semi"))
+            pick = A.top_by_score(s, "var_p", query_size).select("row_id")
+        selected = _save(selected.unionByName(gather_selected(ids, pick)), spark, run, f"sel-{it}")
+        learner = Learner(model, train.join(selected.select("row_id"), "row_id", "left_semi"), x, cfg, 42, it, scaler, forest_trees)
+        scored = learner.score(val, ("label",))
+        logit = F.log(F.col("p") + 1e-12) - F.log(1 - F.col("p") + 1e-12)
+        r = scored.agg(F.avg(S.bce_with_logits(logit, "label")).alias("val_loss"),
+                       F.avg((S.decision("p") == F.col("label")).cast("double")).alias("val_acc")).first()
+        report.append({"batch": it, "strategy": strategy, "val_loss": float(r["val_loss"]), "val_acc": float(r["val_acc"]),
+                       "n_labeled": selected.count(), "pool_left": pool_minus_selected(ids, selected).count()})
+        if best is None or report[-1]["val_acc"] > best[0]:
+            best = (report[-1]["val_acc"], it)
+            if model == "mlp" and report_uri:
+                WR.save_weights(spark, learner.model, f"{report_uri}/model")
+    rows = [r | {"is_best": r["batch"] == best[1]} for r in report] if best else []
+    out = spark.createDataFrame(rows, schema="batch INT, strategy STRING, val_loss DOUBLE, val_acc DOUBLE, "
+                                             "n_labeled BIGINT, pool_left BIGINT, is_best BOOLEAN")
+    if report_uri:
+        WR.write_report(out, f"{report_uri}/report")
+    return out

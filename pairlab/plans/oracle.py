@@ -273,8 +273,7 @@ def _():
 
 @sql("acquire_short_batch", "cosine_scores")
 def _():
-    return (f"SELECT row_id, {r6('entropy')} AS entropy FROM cosine_scores WHERE label = 1 AND cosine > 0.5 "
-            "ORDER BY round(entropy, 12) DESC, row_id LIMIT 10000")
+    return f"SELECT row_id, {r6('entropy')} AS entropy FROM cosine_scores"
 
 
 @sql("acquire_random", "pairs")
@@ -766,3 +765,88 @@ def _():
 
 # a reloaded model scores exactly like the one that was saved
 ORACLE["model_roundtrip"] = ORACLE["mlp_forward"]
+
+
+# ---------------------------------------------------------------- fitted models: what holds whatever was learned
+@sql("train_mlp")
+def _():
+    return "SELECT CAST(e AS INTEGER) AS epoch, true AS finite, true AS falls FROM range(1, 31) AS t(e)"
+
+
+@sql("mc_dropout_score", "strict")
+def _():
+    return "SELECT row_id, true AS mean_ok, true AS var_ok, true AS entropy_ok FROM strict"
+
+
+@sql("train_forest", "strict")
+def _():
+    return """SELECT row_id, label, true AS p_ok FROM (
+  SELECT row_id, label, count(*) OVER (PARTITION BY label) AS n,
+         row_number() OVER (PARTITION BY label ORDER BY md5(concat('42:', row_id)), row_id) AS rn FROM strict)
+WHERE rn <= round(n * 0.2)"""
+
+
+@sql("forest_leaf_proximity", "strict")
+def _():
+    return "SELECT row_id, 300 AS n_leaves, 300 AS n_trees, true AS leaf_ok FROM strict"
+
+
+@sql("kmeans_slice", "cosine_scores")
+def _():
+    return "SELECT row_id, true AS cluster_ok FROM cosine_scores ORDER BY round(entropy, 12) DESC, row_id LIMIT 480"
+
+
+@sql("acquire_badge", "strict")
+def _():
+    return 'SELECT count(*) > 0 AS size_ok, count(*) = count(DISTINCT row_id) AS "distinct", true AS inside FROM strict'
+
+
+@sql("project_2d", "strict")
+def _():
+    return "SELECT count(*) AS n, true AS mean_a, true AS mean_b, true AS uncorrelated, true AS ordered FROM strict"
+
+
+def _progress(model: str, strategy: str, seeds: str, batch: int, rounds: int | str) -> str:
+    """Rounds of a loop: 100 labelled rows at first, then a batch more each time until the pool is empty."""
+    return f""", pool AS (SELECT CAST(sum(n - round(n * 0.2)) AS BIGINT) AS total FROM (SELECT label, count(*) AS n FROM strict GROUP BY label))
+SELECT '{model}' AS model, strategy, CAST(seed AS INTEGER) AS seed, {batch} AS batch_size, CAST(r AS INTEGER) AS round,
+       least(100 + {batch} * r, total) AS n_labeled, total - least(100 + {batch} * r, total) AS pool_left, true AS metrics_ok
+FROM pool, range(0, {rounds} + 1) AS g(r), (SELECT unnest({seeds}) AS seed) AS s, (SELECT unnest({strategy}) AS strategy) AS t
+WHERE r = 0 OR 100 + {batch} * (r - 1) < total"""
+
+
+@sql("al_loop_fixed", "strict")
+def _():
+    return _progress("forest", "['uncertainty']", "[0]", 96, 5)
+
+
+@sql("al_loop_exhaust", "strict")
+def _():
+    return _progress("forest", "['random']", "[0]", 2000, 1_000_000)
+
+
+@sql("al_loop_mlp", "strict")
+def _():
+    return _progress("mlp", "['weighted']", "[0]", 96, 1)
+
+
+@sql("al_loop_hybrid", "strict")
+def _():
+    return _progress("mlp", "['hybrid']", "[1]", 96, 1)
+
+
+@sql("experiment_grid", "strict")
+def _():
+    return _progress("forest", "['random', 'weighted']", "[0, 1, 2, 3, 4]", 96, 1)
+
+
+@sql("al_loop_badge", "strict")
+def _():
+    return "SELECT 'mlp' AS model, 'badge' AS strategy, CAST(r AS INTEGER) AS round, true AS size_ok FROM range(0, 2) AS g(r)"
+
+
+@sql("al_campaign", "strict")
+def _():
+    return """, n AS (SELECT floor(count(*) * 0.8) AS train FROM strict)
+SELECT CAST(r AS INTEGER) AS batch, 'passive' AS strategy, 1000 + 96 * r AS n_labeled, true AS loss_ok, true AS acc_ok, true AS left_ok
+FROM n, range(1, 22) AS g(r) WHERE 1000 + 96 * r <= train"""

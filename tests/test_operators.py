@@ -65,15 +65,87 @@ def test_lookup_lenient_keeps_any_hit(spark):
     assert r[6]["ag"] == [0.0, 0.0] and not r[6]["antigen_hit"]
 
 
-def test_skew_split_path_equals_broadcast(spark):
+def test_lookup_strategy_does_not_change_the_result(spark):
     rows = [(i, "hot" if i % 3 else f"k{i % 50}") for i in range(3000)]
     left = spark.createDataFrame(rows, "row_id long, key string")
     right = spark.createDataFrame([("hot", 1.0)] + [(f"k{i}", float(i)) for i in range(50)], "k string, v double")
     from pairlab.operators.joins import lookup_join
-    a = lookup_join(left, right, "key", "k", "left", cfg=EngineConfig(broadcast_limit_bytes=10**9))
-    b = lookup_join(left, right, "key", "k", "left", cfg=EngineConfig(broadcast_limit_bytes=0, hot_key_share=0.1))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
-    assert b.count() == 3000
+    a = sorted(map(tuple, lookup_join(left, right, "key", "k", "left").collect()))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        b = lookup_join(left, right, "key", "k", "left")
+        assert "SortMergeJoin" in b._jdf.queryExecution().executedPlan().toString()
+        assert a == sorted(map(tuple, b.collect())) and len(a) == 3000
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_duplicate_sequences_do_not_fan_out(spark):
+    emb = spark.createDataFrame([("H", [1.0, 0.0], "f1", 0), ("H", [2.0, 0.0], "f1", 7), ("H", [9.0, 9.0], "f0", 9), ("G", [0.0, 1.0], "f1", 1)],
+                                "seq string, embedding array<double>, _file string, _pos long")
+    pairs = spark.createDataFrame([(1, "H", None, "G", 1)], "row_id long, heavy_seq string, light_seq string, antigen_seq string, label int")
+    for got in (LK.lookup_strict(pairs, emb).collect(), LK.lookup_lenient(pairs, emb, 2).collect()):
+        assert len(got) == 1 and (got[0].heavy_emb if "heavy_emb" in got[0] else got[0].h) == [2.0, 0.0]
+
+
+def test_lookup_reads_the_pairs_once_and_runs_nothing_early(spark, tmp_path):
+    _pairs(spark).write.parquet(f"{tmp_path}/p")
+    _emb(spark).write.parquet(f"{tmp_path}/e")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    group = "lookup-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        pairs, emb = spark.read.schema(_pairs(spark).schema).parquet(f"{tmp_path}/p"), spark.read.schema(_emb(spark).schema).parquet(f"{tmp_path}/e")
+        plan = LK.lookup_strict(pairs, emb)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count(f"{tmp_path}/p") == 1 and "Union" not in plan
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def _toy(spark, n=400, d=6, partitions=3):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(n, d))
+    rows = [(i, f"h{i // 2}", None, f"g{i % 7}", int(x[i, 0] + 0.3 * x[i, 1] > 0), x[i].tolist(), float(abs(x[i, 2]))) for i in range(n)]
+    return spark.createDataFrame(rows, "row_id long, heavy_seq string, light_seq string, antigen_seq string, label int, x array<double>, salience double").repartition(partitions)
+
+
+def test_forest_and_kmeans_do_not_depend_on_partitions(spark):
+    a, b = ({r.row_id: r.p for r in M.forest_predict(M.train_forest(_toy(spark, partitions=n), "x", num_trees=5), _toy(spark), "x").collect()} for n in (1, 7))
+    assert a == b
+    a, b = (sorted(tuple(c) for c in M.kmeans_best(_toy(spark, 80, partitions=n), "x", 5).clusterCenters()) for n in (1, 7))
+    assert np.allclose(a, b)
+
+
+def test_loop_ends_when_the_pool_is_empty(spark):
+    from pairlab.plans import loop as LP
+    r = sorted(LP.run_al(spark, _toy(spark), "uncertainty", batch=90, forest_trees=5).collect(), key=lambda x: x["round"])
+    assert [x.n_labeled for x in r] == [100, 190, 280, 320] and [x.pool_left for x in r] == [220, 130, 40, 0]
+    short = LP.run_al(spark, _toy(spark), "random", batch=90, forest_trees=5, rounds=1).collect()
+    assert len(short) == 2 and max(x.n_labeled for x in short) == 190
+
+
+def test_campaign_takes_whole_triples_and_needs_the_mlp_for_dropout(spark, tmp_path):
+    from pairlab.plans import loop as LP
+    data = _toy(spark).withColumn("antigen_seq", F.lit("g"))  # two rows share each (heavy, light, antigen)
+    r = LP.run_campaign(spark, data, "passive", 20, 100, 2, forest_trees=5, report_uri=f"{tmp_path}/out").collect()
+    assert [x.n_labeled for x in r] == [120, 140] and sum(x.is_best for x in r) == 1
+    # rows left are less than 320 - labelled: the twins of picked rows are gone too
+    assert all(x.pool_left < 320 - x.n_labeled for x in r)
+    assert spark.read.json(f"{tmp_path}/out/report").count() == 2
+    with pytest.raises(ValueError):
+        LP.run_campaign(spark, data, "mc_dropout", model="forest")
+    with pytest.raises(ValueError):
+        LP.Learner("tree", data, "x", EngineConfig(), 0, 0)
+
+
+def test_null_scores_are_not_ranked(spark):
+    rows = [(1, 0.9), (0, 0.8), (1, 0.7), (0, 0.1)]
+    a = spark.createDataFrame(rows, "y int, p double")
+    b = spark.createDataFrame([*rows, (1, None), (0, None), (None, 0.5)], "y int, p double")
+    assert MT.auroc(a).first() == MT.auroc(b).first() and MT.average_precision(a).first() == MT.average_precision(b).first()
 
 
 def test_anti_join_removes_every_duplicate(spark):
@@ -217,18 +289,6 @@ def test_flagship_plan_shape(spark):
     assert "BroadcastHashJoin" in plan
 
 
-def test_cross_attention_is_token_order_invariant_and_null_on_empty(spark):
-    w = M.init_cross_attention(8, heads=2, hidden=16, seed=3)
-    rng = np.random.default_rng(5)
-    ab, ag = rng.normal(size=(5, 8)), rng.normal(size=(4, 8))
-    z = M.cross_attention_forward(w, ab, ag)
-    assert z == pytest.approx(M.cross_attention_forward(w, ab[::-1], ag[[2, 0, 3, 1]]), rel=1e-9)
-    df = spark.createDataFrame([(1, ab.tolist(), ag.tolist()), (2, ab.tolist(), [])],
-                               "row_id long, a array<array<double>>, g array<array<double>>")
-    r = {x.row_id: x for x in M.cross_attention_score(df, w, "a", "g").collect()}
-    assert r[1]["logit"] == pytest.approx(z) and r[2]["logit"] is None
-
-
 def test_split_windows_are_partitioned(spark):
     """Every window in the exact split is partitioned (class, hash bucket): no single-task window."""
     import re
