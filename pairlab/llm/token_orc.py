@@ -6,9 +6,10 @@ stripes of ``STRIPE`` bytes. Files are range-partitioned and sorted by doc_id, s
 stripe, and a filter on doc_id skips files and stripes by their statistics and Bloom filters.
 
 Documents are range-partitioned as text, encoded after the sort, and written by the same tasks: ids, which
-are larger than the text, are never shuffled. The vocabulary's pre-tokenizer never joins two sides of white space, so a text's
-ids are the ids of its words one after another; each worker encodes a distinct word once and keeps it
-in a cache of at most ``CACHE`` words.
+are larger than the text, are never shuffled. The vocabulary's pre-tokenizer never joins two sides of white space, nor a
+letter a-z and a full stop or comma behind it, and it lower-cases; so a text's ids are those of its lower-cased
+pieces one after another. Each worker encodes a distinct piece once and keeps it in a cache of at most ``CACHE`` pieces;
+a full cache keeps the pieces that came in two chunks of text or more.
 
 Defined cases. Null or empty text: only the end id. Null doc_ids come first. Rows with equal doc_id follow by
 a hash of their text; equal rows are written as often as they come. Empty input: files without rows.
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,13 @@ from pairlab.llm.scratch import Run
 END_ID = 1
 STRIPE = 16 << 20
 STRIDE = 1000
-CACHE = 1_000_000
+CACHE = 2_500_000
+#: New pieces that are gathered before they are sorted in among the others.
+FRESH = 200_000
+LETTER = np.zeros(256, bool)
+LETTER[97:123] = True
+STOP = np.zeros(256, bool)
+STOP[[ord("."), ord(",")]] = True
 
 
 def default_tokenizer() -> str:
@@ -53,44 +61,95 @@ class Encoder:
         self.forget()
 
     def forget(self) -> None:
-        self.hash = np.zeros(0, flat.U64)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
+        #: Sorted hashes with the place of the ids, their number, and the chunks that had the piece; large and small.
+        self.old, self.new = Pieces.none(), Pieces.none()
+
+    def shrink(self) -> None:
+        """Keeps the pieces of several chunks, or none if these are over half of the cache."""
+        p = self.old.merged(self.new)
+        p, ids = p.take(np.flatnonzero(p.seen > 1)), self.ids
+        self.forget()
+        if 2 * len(p.hash) <= CACHE:
+            begin = np.cumsum(p.size) - p.size
+            self.ids = ids[np.arange(p.size.sum()) + np.repeat(p.first - begin, p.size)]
+            p.first, self.old = begin, p
 
     def learn(self, hashes: np.ndarray, words: list[str]) -> None:
         coded = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         size = np.fromiter(map(len, coded), np.int64, len(coded))
         first = len(self.ids) + np.cumsum(size) - size
         self.ids = np.concatenate([self.ids, np.fromiter((x for c in coded for x in c), np.int32, int(size.sum()))])
-        at = np.searchsorted(self.hash, hashes)
-        self.hash = np.insert(self.hash, at, hashes)
-        self.first, self.size = np.insert(self.first, at, first), np.insert(self.size, at, size)
+        self.new = self.new.merged(Pieces(hashes, first, size, np.zeros(len(hashes), np.int32)))
+        if len(self.new.hash) > FRESH:
+            self.old, self.new = self.old.merged(self.new), Pieces.none()
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows one after another, each with the end id; offsets)."""
-        start, end, row = flat.word_spans(buf, offsets)
+        # a special token is one in lower case only
+        low = buf if b"<|" in buf.tobytes() else flat.LOWER[buf]
+        start, end, row = pieces(low, offsets)
         n = len(offsets) - 1
-        hashes, index, which = np.unique(flat.span_hash(flat.prefix(buf), start, end), return_index=True, return_inverse=True)
-        if len(self.hash) + len(hashes) > CACHE:
-            self.forget()
-        at = np.minimum(np.searchsorted(self.hash, hashes), max(len(self.hash) - 1, 0))
-        new = np.flatnonzero(self.hash[at] != hashes) if len(self.hash) else np.arange(len(hashes))
-        if len(new):
-            self.learn(hashes[new], flat.span_strings(buf, start[index[new]], end[index[new]]).to_pylist())
-        at = np.searchsorted(self.hash, hashes)[which]
-        first, size = self.first[at], self.size[at]
+        hashes, index, which = np.unique(flat.span_hash(flat.prefix(low), start, end), return_index=True, return_inverse=True)
+        if len(self.old.hash) + len(self.new.hash) + len(hashes) > CACHE:
+            self.shrink()
+        unknown = np.flatnonzero(~(self.old.has(hashes) | self.new.has(hashes)))
+        if len(unknown):
+            self.learn(hashes[unknown], flat.span_strings(low, start[index[unknown]], end[index[unknown]]).to_pylist())
+        first, size = np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        for p in (self.old, self.new):
+            known = np.flatnonzero(p.has(hashes))
+            at = np.searchsorted(p.hash, hashes[known])
+            p.seen[at] += 1
+            first[known], size[known] = p.first[at], p.size[at]
+        first, size = first[which], size[which]
         total = np.bincount(row, size, n).astype(np.int64) + 1
         out_offsets = np.concatenate([[0], np.cumsum(total)])
         out = np.full(out_offsets[-1], END_ID, np.int32)
-        # words go one after another; each row before them has put in one end id
-        place = np.cumsum(size) - size + row
-        spread = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        out[np.repeat(place, size) + spread] = self.ids[np.repeat(first, size) + spread]
+        # pieces go one after another; each row before them has put in one end id
+        begin = np.cumsum(size) - size
+        spread = np.arange(size.sum())
+        out[spread + np.repeat(row, size)] = self.ids[spread + np.repeat(first - begin, size)]
         return out, out_offsets
 
 
-_encoders: dict[str, Encoder] = {}
+def pieces(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of the words, cut between a letter a-z and a full stop or comma."""
+    start, end, _ = flat.word_spans(buf, offsets)
+    cut = np.flatnonzero(LETTER[buf[:-1]] & STOP[buf[1:]]) + 1
+    cut = cut[np.searchsorted(offsets, cut, "right") == np.searchsorted(offsets, cut - 1, "right")]
+    start, end = np.sort(np.concatenate([start, cut])), np.sort(np.concatenate([end, cut]))
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+class Pieces:
+    """Known pieces by rising hash."""
+
+    def __init__(self, hash: np.ndarray, first: np.ndarray, size: np.ndarray, seen: np.ndarray):
+        self.hash, self.first, self.size, self.seen = hash, first, size, seen
+
+    @staticmethod
+    def none() -> Pieces:
+        return Pieces(np.zeros(0, flat.U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+    def has(self, hashes: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.zeros(len(hashes), bool)
+        return self.hash[np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)] == hashes
+
+    def take(self, at: np.ndarray) -> Pieces:
+        return Pieces(self.hash[at], self.first[at], self.size[at], self.seen[at])
+
+    def merged(self, other: Pieces) -> Pieces:
+        at = np.searchsorted(self.hash, other.hash)
+        return Pieces(*(np.insert(x, at, y) for x, y in ((self.hash, other.hash), (self.first, other.first),
+                                                         (self.size, other.size), (self.seen, other.seen))))
+
+
+@lru_cache
+def encoder(tokenizer: str) -> Encoder:
+    """One for each worker process, so that tasks share its cache."""
+    return Encoder(tokenizer)
 
 
 def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -98,9 +157,7 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _encoders:
-            _encoders[tokenizer] = Encoder(tokenizer)
-        coder = _encoders[tokenizer]
+        coder = encoder(tokenizer)
         for b in batches:
             for lo, hi, buf, offsets in flat.chunks(b.column("text")):
                 ids, at = coder.encode(buf, offsets)
