@@ -13,6 +13,7 @@ model weights ship here; a real encoder plugs in through the same factory interf
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -45,12 +46,28 @@ def composition_encoder(dim: int = 64, per_token: bool = False, dtype=np.float64
 ENCODERS: dict[str, Callable[..., Callable[[], Encoder]]] = {"composition": composition_encoder}
 
 
+@lru_cache
+def _built(name: str, params: tuple) -> Encoder:
+    """One encoder for each worker process and setting, however many tasks it runs."""
+    return ENCODERS[name](**dict(params))()
+
+
+class NamedEncoder:
+    """Encoder factory that travels to the tasks by name; a worker loads the model once."""
+
+    def __init__(self, name: str, params: dict):
+        self.name, self.params = name, tuple(sorted(params.items()))
+
+    def __call__(self) -> Encoder:
+        return _built(self.name, self.params)
+
+
 def get_encoder(name: str, **params) -> Callable[[], Encoder]:
     """Encoder factory by name (case-insensitive substring match); unknown -> ValueError."""
     key = name.lower()
-    for k, f in ENCODERS.items():
+    for k in ENCODERS:
         if k in key:
-            return f(**params)
+            return NamedEncoder(k, params)
     raise ValueError(f"unknown encoder {name!r}; choose from: {', '.join(sorted(ENCODERS))}")
 
 

@@ -44,24 +44,22 @@ def first_token_pool(df: DataFrame, tokens: str = "tokens", out: str = "cls") ->
     return df.withColumn(out, F.element_at(tokens, 1))
 
 
-def pad_and_mask(df: DataFrame, tokens: str = "tokens", lmax=None, out: str = "padded",
-                 mask: str = "mask") -> DataFrame:
-    """Pad every matrix to ``lmax`` rows of zeros; mask marks the real tokens.
+#: Sequences are padded to a multiple of this length, so rows of like length share a shape.
+PAD_STEP = 32
 
-    ``lmax`` defaults to the longest sequence of the input (a scalar subquery).
-    """
+
+def pad_and_mask(df: DataFrame, tokens: str = "tokens", lmax: int | None = None, out: str = "padded",
+                 mask: str = "mask") -> DataFrame:
+    """Pad every matrix with rows of zeros to the end of its length bucket (the next multiple of PAD_STEP), or to
+    ``lmax`` where a model needs one shape; mask marks the real tokens. A long sequence widens no other row."""
     t = F.col(tokens)
-    if lmax is None:
-        lmax = df.select(F.max(F.size(tokens))).scalar()
-    elif not isinstance(lmax, Column):
-        lmax = F.lit(int(lmax))
-    d = df.withColumn("_lmax", lmax)
+    width = F.lit(int(lmax)) if lmax is not None else F.ceil(F.size(t) / PAD_STEP).cast("int") * PAD_STEP
     dim = F.size(F.element_at(t, 1))
     pad = F.array_repeat(F.array_repeat(F.lit(0.0).cast("double"), F.coalesce(dim, F.lit(0))),
-                         F.greatest(F.col("_lmax") - F.size(t), F.lit(0)))
-    return (d.withColumn(out, F.concat(t, pad))
-             .withColumn(mask, F.transform(F.sequence(F.lit(1), F.col("_lmax")), lambda i: i <= F.size(t)))
-             .drop("_lmax"))
+                         F.greatest(F.col("_width") - F.size(t), F.lit(0)))
+    valid = F.when(F.col("_width") > 0, F.transform(F.sequence(F.lit(1), F.col("_width")), lambda i: i <= F.size(t)))
+    return (df.withColumn("_width", width).withColumn(out, F.concat(t, pad))
+            .withColumn(mask, F.coalesce(valid, F.array().cast("array<boolean>"))).drop("_width"))
 
 
 def antibody_tokens(df: DataFrame, heavy: str = "heavy_tokens", light: str = "light_tokens",

@@ -19,6 +19,7 @@ from pairlab.functions import vectors as V
 from pairlab.operators import acquire as A
 from pairlab.operators import features as FT
 from pairlab.operators import lookup as LK
+from pairlab.plans import feature_pipeline as FP
 from pairlab.plans.flagship import cosine_scores, flagship
 from pairlab.sources import tables as T
 
@@ -609,8 +610,7 @@ def attention_weights(dim: int) -> list[float]:
 
 @register("attention_pool")
 def q_attention_pool(spark, sf_dir):
-    d = TK.pad_and_mask(decoded(spark, sf_dir))
-    a = TK.attention_pool(d, "padded", "mask", attention_weights(_dim_int(spark, sf_dir)), 0.1)
+    a = TK.attention_pool(decoded(spark, sf_dir), "tokens", None, attention_weights(_dim_int(spark, sf_dir)), 0.1)
     return finish(a.select("text", *vec_stats("attn_pooled", "attn")))
 
 
@@ -622,6 +622,27 @@ def q_extract_embeddings(spark, sf_dir):
     return finish(e.select("row_id", F.length("seq").alias("n_chars"), *vec_stats("embedding", "emb")))
 
 
+@register("extract_tokens")
+def q_extract_tokens(spark, sf_dir):
+    """Per-token layout: the flat values have as many elements as the shape says."""
+    e = EN.extract_embeddings(T.seqs(spark, sf_dir), "seq", EN.get_encoder("composition", dim=16), "embedding", per_token=True)
+    size = F.size("embedding.data") == F.aggregate("embedding.shape", F.lit(1).cast("bigint"), lambda a, n: a * n)
+    return e.select("row_id", F.length("seq").alias("n_chars"), F.coalesce(size, F.lit(True)).alias("shape_ok"))
+
+
+@register("feature_pipeline")
+def q_feature_pipeline(spark, sf_dir):
+    """The pipeline that every study starts from, over an embedding table that was loaded twice: the second load wins."""
+    path = scratch(spark, "embedding-loads")
+    half = F.expr("cast(size(embedding) div 2 as bigint)")
+    for load, sign in ((1, -1.0), (2, 1.0)):
+        data = F.transform("embedding", lambda v, s=sign: v * s)
+        T.emb(spark, sf_dir).select(F.col("seq").alias("text"), F.struct(
+            data.alias("data"), F.array(F.lit(2).cast("bigint"), half).alias("shape")).alias("embedding")).write.parquet(f"{path}/load={load}")
+    x = FP.feature_pipeline(spark, T.pairs(spark, sf_dir), path, scratch(spark, "feature-cache"))
+    return finish(x.select("row_id", "label", "heavy_seq", *vec_stats("x", "x")))
+
+
 # ---------------------------------------------------------------- geometry
 @register("leaf_proximity")
 def q_leaf_proximity(spark, sf_dir):

@@ -671,7 +671,7 @@ SELECT text, {stats('cls', 'cls')} FROM f"""
 @sql("pad_and_mask")
 def _():
     return f"""WITH {TOKLONG}, g AS (SELECT text, count(*) AS n, sum(list_sum(e)) AS s FROM tl GROUP BY text)
-SELECT text, CAST((SELECT max(n) FROM g) AS INTEGER) AS n_padded, CAST(n AS INTEGER) AS n_valid, {r6('s')} AS padded_sum FROM g"""
+SELECT text, CAST(ceil(n / 32.0) * 32 AS INTEGER) AS n_padded, CAST(n AS INTEGER) AS n_valid, {r6('s')} AS padded_sum FROM g"""
 
 
 @sql("antibody_tokens")
@@ -850,3 +850,22 @@ def _():
     return """, n AS (SELECT floor(count(*) * 0.8) AS train FROM strict)
 SELECT CAST(r AS INTEGER) AS batch, 'passive' AS strategy, 1000 + 96 * r AS n_labeled, true AS loss_ok, true AS acc_ok, true AS left_ok
 FROM n, range(1, 22) AS g(r) WHERE 1000 + 96 * r <= train"""
+
+
+@sql("feature_pipeline", "emb", "pairs")
+def _():
+    part = lambda c: f"coalesce(list_sum({c}), 0.0)"
+    square = lambda c: f"coalesce(list_sum(list_transform({c}, lambda z: z * z)), 0.0)"
+    return f""", e2 AS (SELECT seq, len(embedding) // 2 AS half, list_transform(range(1, len(embedding) // 2 + 1),
+       lambda i: (embedding[i] + embedding[i + len(embedding) // 2]) / 2.0) AS v FROM emb)
+SELECT p.row_id, p.label, p.heavy_seq, CAST(3 * (SELECT max(half) FROM e2) AS INTEGER) AS x_n,
+       {r6(part('h.v') + ' + ' + part('l.v') + ' + ' + part('a.v'))} AS x_sum,
+       {r6('sqrt(' + square('h.v') + ' + ' + square('l.v') + ' + ' + square('a.v') + ')')} AS x_norm
+FROM pairs p LEFT JOIN e2 h ON h.seq = NULLIF(p.heavy_seq, '') LEFT JOIN e2 l ON l.seq = NULLIF(p.light_seq, '')
+LEFT JOIN e2 a ON a.seq = NULLIF(p.antigen_seq, '')
+WHERE h.v IS NOT NULL OR l.v IS NOT NULL OR a.v IS NOT NULL"""
+
+
+@sql("extract_tokens", "seqs")
+def _():
+    return "SELECT row_id, CAST(length(seq) AS INTEGER) AS n_chars, true AS shape_ok FROM seqs"
