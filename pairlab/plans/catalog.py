@@ -636,7 +636,7 @@ def q_feature_pipeline(spark, sf_dir):
     path = scratch(spark, "embedding-loads")
     half = F.expr("cast(size(embedding) div 2 as bigint)")
     for load, sign in ((1, -1.0), (2, 1.0)):
-        data = F.transform("embedding", lambda v, s=sign: v * s)
+        data = V.vscale("embedding", F.lit(sign))
         T.emb(spark, sf_dir).select(F.col("seq").alias("text"), F.struct(
             data.alias("data"), F.array(F.lit(2).cast("bigint"), half).alias("shape")).alias("embedding")).write.parquet(f"{path}/load={load}")
     x = FP.feature_pipeline(spark, T.pairs(spark, sf_dir), path, scratch(spark, "feature-cache"))
