@@ -71,11 +71,11 @@ def nearest_to_center(df: DataFrame, centers: DataFrame, vec: str, cluster: str,
                       center_vec: str = "center", id_col: str = "row_id") -> DataFrame:
     """Per cluster, the member closest to its centre (first row_id on ties).
 
-    ``centers`` has one row per cluster; it is at most the batch size, so it is broadcast.
+    ``centers`` has one row per cluster; Spark broadcasts it where its size allows.
     The argmin is a grouped ``min(struct(dist, row_id))``: partial aggregation on the map
     side, so even a cluster holding a third of the rows never lands whole in one task.
     """
-    d = (df.join(F.broadcast(centers.select(cluster, center_vec)), cluster)
+    d = (df.join(centers.select(cluster, center_vec), cluster)
            .withColumn("dist", V.euclidean(vec, center_vec)))
     best = d.groupBy(cluster).agg(F.min(F.struct("dist", id_col)).alias("m"))
     return best.select(cluster, F.col(f"m.{id_col}").alias(id_col), F.col("m.dist").alias("dist"))

@@ -65,13 +65,23 @@ def class_centroids(df: DataFrame, vec: str, cluster: str) -> DataFrame:
 def centroid_distance(df: DataFrame, vec: str, cluster: str) -> DataFrame:
     """Per row: distance to its own cluster centroid (between/within-class geometry)."""
     c = class_centroids(df, vec, cluster)
-    return df.join(F.broadcast(c), cluster).withColumn("dist", V.euclidean(vec, "center"))
+    return df.join(c, cluster).withColumn("dist", V.euclidean(vec, "center"))
+
+
+#: Widest vectors whose covariance (8 bytes for each pair of dimensions) the driver takes.
+PCA_WIDTH = 8192
 
 
 def project_2d(df: DataFrame, vec: str, k: int = 2, out: str = "xy") -> DataFrame:
-    """Linear 2-D projection (PCA) of standardised vectors for plotting."""
+    """Linear 2-D projection (PCA) of standardised vectors for plotting.
+
+    The covariance is decomposed on the driver, so widths over PCA_WIDTH are refused.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
+    first = df.select(F.size(vec)).first()
+    if first is not None and first[0] > PCA_WIDTH:
+        raise ValueError(f"vectors of {first[0]} dimensions: project_2d takes at most {PCA_WIDTH}")
     d = df.withColumn("_v", array_to_vector(vec))
     model = PCA(k=k, inputCol="_v", outputCol="_p").fit(d)
     return model.transform(d).withColumn(out, vector_to_array("_p")).drop("_v", "_p")

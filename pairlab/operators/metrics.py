@@ -155,7 +155,7 @@ def probability_histogram(df: DataFrame, p: str = "p", label: str = "y", bins: i
     rng = rng.select(label, "_n",
                      F.when(F.col("_lo0") == F.col("_hi0"), F.col("_lo0") - 0.5).otherwise(F.col("_lo0")).alias("_lo"),
                      F.when(F.col("_lo0") == F.col("_hi0"), F.col("_hi0") + 0.5).otherwise(F.col("_hi0")).alias("_hi"))
-    d = df.select(label, p).join(rng, label)   # one row per label: planned as a broadcast
+    d = df.select(label, p).join(rng, label)   # one row per label
     w = (F.col("_hi") - F.col("_lo")) / F.lit(bins)
     b = F.least(F.floor((F.col(p) - F.col("_lo")) / w), F.lit(bins - 1)).cast("int")
     h = d.groupBy(label, b.alias("bin")).agg(F.count(F.lit(1)).alias("count"),
