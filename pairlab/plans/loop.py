@@ -102,7 +102,7 @@ STRATEGIES = ("random", "uncertainty", "weighted", "hybrid", "badge")
 
 
 def acquire(strategy: str, unl: DataFrame, learner: Learner, b: int, seed: int, round_: int,
-            cfg: EngineConfig, run: str) -> DataFrame:
+            cfg: EngineConfig, run: str | None = None) -> DataFrame:
     """Ids of the next batch from the unlabelled rows ``unl`` (row_id, x, salience).
 
     The scored candidates are written once a round: rules that read them several times do not score again.
@@ -116,7 +116,7 @@ def acquire(strategy: str, unl: DataFrame, learner: Learner, b: int, seed: int,
     if strategy == "badge":
         return acquire_badge(learner.score(unl, (learner.x,)).select("row_id", "entropy", learner.x), learner.x, b, seed)
     scored = learner.score(unl, ("salience",)).select("row_id", "entropy", "salience")
-    scored = _save(scored, unl.sparkSession, run, f"scored-{round_}")
+    scored = _save(scored, unl.sparkSession, run or f"acquire-{uuid.uuid4().hex}", f"scored-{round_}")
     if strategy == "weighted":
         return A.acquire_weighted(scored, b, w=cfg.salience_weight).select("row_id")
     return A.acquire_hybrid(scored, b, seed, round_, w=cfg.salience_weight).select("row_id")
