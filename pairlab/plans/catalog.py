@@ -834,7 +834,7 @@ def q_al_campaign(spark, sf_dir):
 @register("experiment_grid")
 def q_experiment_grid(spark, sf_dir):
     """Five seeds by two strategies, a batch each."""
-    return _progress(LP.experiment_grid(spark, features(spark, sf_dir), seeds=range(5), strategies=("random", "weighted"), rounds=1))
+    return _progress(LP.experiment_grid(spark, features(spark, sf_dir), seeds=range(5), strategies=("random", "weighted"), rounds=1, forest_trees=50))
 
 
 @register("model_roundtrip")
