@@ -7,6 +7,10 @@ agree in a register with their probability Jaccard similarity. Shingles are
 advanced one arrival at a time, all rows of a chunk together, and a shingle drops out as soon as its
 arrival is later than every register of its row (early termination).
 
+A text with a shingle that occurs twice or more has a second signature, of its shingle set (all weights 1); for
+any other text the two are the same. Keys of both kinds share the buckets, so pairs that only plain Jaccard
+links meet as well.
+
 ``BANDS`` bands of ``ROWS`` registers make buckets. No pairs of a bucket are formed as rows but those with its centre:
 
 1. every member is compared with one centre, the least of the bucket;
@@ -18,7 +22,7 @@ arrival is later than every register of its row (early termination).
 
 Two members of one component need no comparison, so each bucket ends with the components that all its
 pairs would give, whatever its size. Pairs with a centre pass an estimate from the signatures (``ESTIMATE``,
-over five standard deviations below the threshold); all links hold by the exact measure on whole
+over five standard deviations below the threshold, by the weighted signatures or by those of the sets); all links hold by the exact measure on whole
 texts: probability Jaccard, or plain Jaccard of the shingle sets, of at least ``THRESHOLD``. Texts at
 the threshold share a bucket with probability 0.9999.
 
@@ -74,8 +78,22 @@ def weighted_shingles(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray,
 
 def signatures(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows x REGISTERS of shingle hashes, whether the row has any)."""
-    row, gram, weight = weighted_shingles(buf, offsets)
+    return _registers(len(offsets) - 1, *weighted_shingles(buf, offsets))
+
+
+def set_signatures(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, whether the row has any shingle, rows with a repeated shingle, signatures of their shingle sets)."""
     n = len(offsets) - 1
+    row, gram, weight = weighted_shingles(buf, offsets)
+    sig, has = _registers(n, row, gram, weight)
+    heavy = np.bincount(row, weight > 1, n) > 0
+    some = heavy[row]
+    plain, _ = _registers(int(heavy.sum()), (np.cumsum(heavy) - 1)[row[some]], gram[some], np.ones(int(some.sum())))
+    return sig, has, heavy, plain
+
+
+def _registers(n: int, row: np.ndarray, gram: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(n x REGISTERS of shingle hashes, whether the row has any) from (row, hash, weight) of shingles."""
     first = np.full(n * REGISTERS, np.inf)
     out = np.zeros(n * REGISTERS, flat.U64)
     time = np.zeros(len(gram))
@@ -102,20 +120,33 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return flat.mix(keys ^ flat.mix(np.arange(BANDS, dtype=flat.U64))).astype(np.int64)
 
 
+def _rows(has: np.ndarray, heavy: np.ndarray, own: np.ndarray, plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, values) of rows that hold a row of ``own`` where ``has``, and then one of ``plain`` where ``heavy``."""
+    width = own.shape[1]
+    at = np.concatenate([[0], np.cumsum(width * (has.astype(np.int64) + heavy))]).astype(np.int32)
+    out = np.zeros(at[-1], own.dtype)
+    step = np.arange(width)
+    out[at[:-1][has][:, None] + step] = own
+    out[at[1:][heavy][:, None] - width + step] = plain
+    return at, out
+
+
 def sketch(docs: DataFrame) -> DataFrame:
-    """doc_id, digest and bytes of the text, band keys (none for empty texts), 16 bits of every register."""
+    """doc_id, digest and bytes of the text, band keys (none for empty texts), 16 bits of every register.
+
+    Rows with a repeated shingle have the keys and registers of the weighted signature, then those of the set.
+    """
     own = docs.select("doc_id", digest("text").alias("digest"), F.coalesce(F.octet_length("text"), F.lit(0)).alias("bytes"), "text")
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, digest binary, bytes int, bands array<long>, sig binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, offsets in flat.chunks(b.column("text")):
-                sig, has = signatures(buf, offsets)
-                at = np.concatenate([[0], np.cumsum(np.where(has, BANDS, 0))]).astype(np.int32)
-                bands = pa.ListArray.from_arrays(pa.array(at), pa.array(band_keys(sig[has]).ravel()))
-                low = np.ascontiguousarray(sig.astype(np.uint16))
-                size = np.arange(hi - lo + 1, dtype=np.int32) * (2 * REGISTERS)
-                bits = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(size), pa.py_buffer(low)])
+                sig, has, heavy, plain = set_signatures(buf, offsets)
+                at, keys = _rows(has, heavy, band_keys(sig[has]), band_keys(plain))
+                bands = pa.ListArray.from_arrays(pa.array(at), pa.array(keys))
+                size, low = _rows(np.ones(hi - lo, bool), heavy, sig.astype(np.uint16), plain.astype(np.uint16))
+                bits = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(2 * size), pa.py_buffer(low)])
                 part = b.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("digest").cast(pa.binary()), part.column("bytes"),
                                                   bands, bits], ["doc_id", "digest", "bytes", "bands", "sig"])
@@ -172,11 +203,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keeps the pairs whose signatures agree in a share of ESTIMATE or more of the registers."""
+    """Keeps the pairs whose signatures, weighted or of the sets, agree in a share of ESTIMATE or more of the registers."""
+    size = 2 * REGISTERS
     for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS)
-                for c in ("sig_a", "sig_b"))
-        part = b.filter(pa.array((x == y).mean(axis=1) >= ESTIMATE))
+        x, y = (b.column(c).to_pylist() for c in ("sig_a", "sig_b"))
+        share = np.zeros(b.num_rows)
+        for part in (slice(0, size), slice(-size, None)):  # the same registers where a row has one signature
+            p, q = (np.frombuffer(b"".join(s[part] for s in side), np.uint16).reshape(-1, REGISTERS) for side in (x, y))
+            share = np.maximum(share, (p == q).mean(axis=1))
+        part = b.filter(pa.array(share >= ESTIMATE))
         yield pa.RecordBatch.from_arrays([part.column("a").cast(pa.binary()), part.column("b").cast(pa.binary())], ["a", "b"])
 
 
@@ -250,8 +285,14 @@ def _block_links(group: pa.Table) -> pa.Table:
     """Links that join components, between the texts of side a and those of side b."""
     n = group.num_rows
     side, label = group["side"].to_numpy(), np.unique(group["label"].to_pylist(), return_inverse=True)[1].copy()
-    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(n, BANDS)
-    band = int(np.flatnonzero(bands[0] == group["key"][0].as_py())[0])
+    bands = group["bands"].combine_chunks()
+    ends, keys = np.cumsum(bands.value_lengths().to_numpy()), bands.flatten().to_numpy()
+    begins = np.concatenate([[0], ends[:-1]])
+    # of the weighted signature and of the set
+    own, plain = keys[begins[:, None] + np.arange(BANDS)], keys[ends[:, None] - BANDS + np.arange(BANDS)]
+    key = group["key"][0].as_py()
+    band = int(np.flatnonzero((own[0] == key) | (plain[0] == key))[0])
+    own, plain = own[:, :band], plain[:, :band]
     parts = []
     for lo, _, buf, offsets in flat.chunks(group["text"]):
         row, gram, weight = weighted_shingles(buf, offsets)
@@ -271,7 +312,7 @@ def _block_links(group: pa.Table) -> pa.Table:
     links = []
     for i in left:
         j = right[label[right] != label[i]]
-        j = j[~(bands[j, :band] == bands[i, :band]).any(axis=1)]
+        j = j[~((own[j] == own[i]) | (plain[j] == plain[i]) | (own[j] == plain[i]) | (plain[j] == own[i])).any(axis=1)]
         if not len(j):
             continue
         both = np.bitwise_count(bits[j] & bits[i]).sum(axis=1).astype(np.int64)
@@ -312,7 +353,7 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = run.save(rows.groupBy("digest").agg(
         F.min("doc_id").alias("first_id"), F.count("*").alias("n"), F.first("bytes").alias("bytes"),
         F.first("bands").alias("bands"), F.first("sig").alias("sig")), "texts")
-    spread = texts.select("digest", "bytes", F.explode("bands").alias("key"))
+    spread = texts.select("digest", "bytes", F.explode(F.array_distinct("bands")).alias("key"))
     buckets = spread.groupBy("key").agg(F.min("digest").alias("centre"), F.count("*").alias("members")).filter("members > 1")
     members = run.save(spread.join(buckets, "key"), "members")
     pairs = members.filter("digest != centre").select(F.col("centre").alias("a"), F.col("digest").alias("b")).distinct()

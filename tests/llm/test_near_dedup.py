@@ -91,6 +91,27 @@ def test_classes_match_all_pairs(spark):
     assert got == want
 
 
+def test_links_by_plain_jaccard_alone(spark):
+    """Texts with nearly the same shingles but other repeat counts are one class, with or without other texts around."""
+    rng = random.Random(5)
+    texts = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(104)]
+        at = rng.randrange(80)
+        texts += [" ".join(base), " ".join(base[:at] + base[at:at + 14] * 50 + base[at + 14:])]
+    for a, b in zip(texts[::2], texts[1::2], strict=True):
+        prob, plain = exact(weights(a), weights(b))
+        assert prob < 0.4 and plain > 0.9
+    # both with repeats, in different places
+    base = [f"z{i}" for i in range(204)]
+    texts += [" ".join(base[:k] + base[k:k + 14] * 40 + base[k + 14:]) for k in (20, 150)]
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(H.simple(spark, texts)).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}
+    texts = corpus()[:120] + texts
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(H.simple(spark, texts)).collect()}
+    assert got == {i: c for (_, i), c in classes(list(enumerate(texts))).items()}
+
+
 def test_one_hot_bucket(spark):
     """A chain of edits: neighbours are near copies, the ends are not, and all share buckets."""
     base = [f"w{i}" for i in range(300)]
