@@ -59,6 +59,28 @@ def test_rejects_planted_outliers_and_keeps_the_rest(spark):
     assert sum(not got[i]["kept"] for i in range(400) if i % 10) <= 2
 
 
+def clean(rng, n):
+    return ["".join(rng.choice(list("abcdefgh"), 3 + rng.poisson(2))) + str(i) for i in range(n)]
+
+
+def test_each_statistic_rejects_alone(spark):
+    """An outlier in each of the five dimensions among clean documents, none of them failing the base rule."""
+    rng = np.random.RandomState(7)
+    texts = [" ".join(clean(rng, int(np.exp(rng.normal(4.5, 0.3))) + 12)) for _ in range(300)]
+    many = clean(rng, 5000)
+    long = [w * 6 for w in clean(rng, 90)]
+    symbols = [w + "#" * (i % 5 == 0) for i, w in enumerate(clean(rng, 90))]
+    few = clean(rng, 12)
+    lines = [few[i] for i in rng.randint(0, 12, 90)]
+    passage = clean(rng, 9)
+    windows = clean(rng, 40) + passage + clean(rng, 40) + passage + clean(rng, 10)
+    texts += [" ".join(many), " ".join(long), " ".join(symbols), "\n".join(lines), " ".join(windows)]
+    got = {r["doc_id"]: r for r in quality.judge(H.simple(spark, texts)).collect()}
+    assert not any(r["base_failed"] for r in got.values())
+    assert [got[300 + k]["kept"] for k in range(5)] == [False] * 5
+    assert sum(not got[i]["kept"] for i in range(300)) <= 2
+
+
 def test_partitions_do_not_matter(spark):
     a, b = ({r["doc_id"]: (r["kept"], r["distance"]) for r in quality.judge(planted(spark, n)).collect()} for n in (1, 7))
     assert a == b
