@@ -711,7 +711,7 @@ def q_train_mlp(spark, sf_dir):
 def q_mc_dropout_score(spark, sf_dir):
     """20 dropout passes of a trained MLP over every row: mean, variance and entropy within their bounds."""
     data = features(spark, sf_dir)
-    w, _ = M.train_mlp(data, "x", "label", hidden=(256, 128), epochs=3, lr=1e-2, seed=0)
+    w, _ = M.train_mlp(data, "x", "label", hidden=(256, 128), epochs=EngineConfig().epochs, lr=1e-2, seed=0)
     s = M.mc_dropout_score(data, w, "x", passes=20, rate=0.3, seed=0)
     return s.select("row_id", within("mean_p", 0.0, 1.0).alias("mean_ok"), (F.col("var_p") <= 0.25).alias("var_ok"),
                     within("entropy", 0.0, 0.6931472).alias("entropy_ok"))
@@ -826,7 +826,7 @@ def q_al_loop_badge(spark, sf_dir):
 @register("al_campaign")
 def q_al_campaign(spark, sf_dir):
     """Warm campaign: 1000 initial, 21 iterations of 96 passive picks, forest retrained each time."""
-    r = LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21, forest_trees=50)
+    r = LP.run_campaign(spark, features(spark, sf_dir), "passive", 96, 1000, 21)
     return r.select("batch", "strategy", "n_labeled", within("val_loss", 0.0, 100.0).alias("loss_ok"),
                     within("val_acc", 0.0, 1.0).alias("acc_ok"), (F.col("pool_left") >= 0).alias("left_ok"))
 
@@ -834,7 +834,7 @@ def q_al_campaign(spark, sf_dir):
 @register("experiment_grid")
 def q_experiment_grid(spark, sf_dir):
     """Five seeds by two strategies, a batch each."""
-    return _progress(LP.experiment_grid(spark, features(spark, sf_dir), seeds=range(5), strategies=("random", "weighted"), rounds=1, forest_trees=50))
+    return _progress(LP.experiment_grid(spark, features(spark, sf_dir), seeds=range(5), strategies=("random", "weighted"), rounds=1))
 
 
 @register("model_roundtrip")

@@ -298,3 +298,28 @@ def test_split_windows_are_partitioned(spark):
     assert windows
     for w in windows:
         assert "label" in w.split("],")[-2] or "_bk" in w
+
+
+def test_queries_train_at_the_studies_sizes(monkeypatch):
+    """Trees of campaign and grid and epochs of the dropout scores are those of the studies."""
+    from pairlab.config import EngineConfig
+    from pairlab.plans import catalog
+
+    class Called(Exception):
+        pass
+
+    def caught(owner, name, query):
+        def stop(*args, **kw):
+            raise Called(kw)
+
+        monkeypatch.setattr(owner, name, stop)
+        monkeypatch.setattr(catalog, "features", lambda spark, sf_dir: None)
+        try:
+            catalog.QUERIES[query](None, "")
+        except Called as e:
+            return e.args[0]
+
+    assert EngineConfig().forest_trees == 200 and EngineConfig().epochs == 30
+    assert caught(catalog.LP, "run_campaign", "al_campaign").get("forest_trees") in (None, 200)
+    assert caught(catalog.LP, "experiment_grid", "experiment_grid").get("forest_trees") in (None, 200)
+    assert caught(catalog.M, "train_mlp", "mc_dropout_score")["epochs"] == 30
