@@ -15,9 +15,9 @@ a text copied a million times is no majority. A variance floor (``FLOOR``) keeps
 covariance regular where most texts have no symbol or no repeated line at all.
 
 Defined cases. Null or empty text: no words, all counts 0, base rule fails, not kept. Null language
-or source: a group like any other. Groups with fewer than ``MIN_GROUP`` distinct vectors are pooled by
-language, then over everything; if the pool itself is too small its texts are kept unless
-the base rule fails. Repeated rows get one result row each. Empty input: no rows. Other
+or source: a group like any other. Groups with fewer than ``MIN_GROUP`` distinct vectors take the estimate of all
+vectors of their language, large groups included, or if those are too few that of all vectors; if all
+are too few, texts are kept unless the base rule fails. Repeated rows get one result row each. Empty input: no rows. Other
 columns of the input are ignored.
 """
 
@@ -199,14 +199,22 @@ def _same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner"
 
 
 def groups(points: DataFrame) -> DataFrame:
-    """Group of every (lang, source): its own, its language's pool or the pool of all, by size."""
+    """Group of every (lang, source): its own, all of its language or all, by the number of distinct vectors."""
     n = points.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    n = n.withColumn("level", F.when(F.col("n") >= MIN_GROUP, 0).otherwise(1))
-    pools = n.filter("level = 1").groupBy("lang").agg(F.sum("n").alias("pool"))
-    n = _same(n, pools, ["lang"], "left")
-    n = n.withColumn("level", F.when((F.col("level") == 1) & (F.col("pool") < MIN_GROUP), 2).otherwise(F.col("level")))
+    pools = points.select("lang", *X).distinct().groupBy("lang").agg(F.count("*").alias("pool"))
+    n = _same(n, pools, ["lang"])
+    n = n.withColumn("level", F.when(F.col("n") >= MIN_GROUP, 0).when(F.col("pool") >= MIN_GROUP, 1).otherwise(2))
     return n.select("lang", "source", F.when(F.col("level") < 2, F.col("lang")).alias("g_lang"),
-                    F.when(F.col("level") == 0, F.col("source")).alias("g_source"), "level", "n")
+                    F.when(F.col("level") == 0, F.col("source")).alias("g_source"), "level")
+
+
+def members(points: DataFrame, of: DataFrame, count: int) -> DataFrame:
+    """The distinct vectors of every group in use; a pool has those of its large groups too."""
+    own = _same(points, _bounded(of.filter("level = 0"), count), ["lang", "source"]).select(*_GROUP, *X)
+    langs = of.filter("level = 1").select("lang", "g_lang", "g_source", "level").distinct()
+    by_lang = _same(points.select("lang", *X).distinct(), _bounded(langs, count), ["lang"]).select(*_GROUP, *X)
+    rest = of.filter("level = 2").select(*_GROUP).distinct()
+    return own.unionByName(by_lang).unionByName(points.select(*X).distinct().crossJoin(F.broadcast(rest)).select(*_GROUP, *X))
 
 
 def fit(stats: DataFrame, run: Run) -> tuple[DataFrame, DataFrame, int]:
@@ -214,10 +222,9 @@ def fit(stats: DataFrame, run: Run) -> tuple[DataFrame, DataFrame, int]:
     points = run.save(stats.filter(~base_failed()).select("lang", "source", *X).distinct(), "points")
     of = run.save(groups(points), "groups")
     count = of.count()
-    sized = of.groupBy(*_GROUP).agg(F.sum("n").alias("size"))
-    rows = _same(points, _bounded(of.drop("n"), count), ["lang", "source"])
-    rows = run.save(_same(rows, _bounded(sized, count), _GROUP).filter(F.col("size") >= MIN_GROUP)
-                    .drop("lang", "source"), "rows")
+    rows = members(points, of, count)
+    sized = rows.groupBy(*_GROUP).agg(F.count("*").alias("size"))
+    rows = run.save(_same(rows, _bounded(sized, count), _GROUP).filter(F.col("size") >= MIN_GROUP), "rows")
 
     # starts: the median with the MAD, and subsets of about SUBSET rows chosen by a hash
     middle = rows.groupBy(*_GROUP).agg(*[F.percentile(x, 0.5).alias(f"m_{x}") for x in X])
@@ -253,7 +260,7 @@ def judge(docs: DataFrame) -> DataFrame:
     run = Run(docs.sparkSession, "quality")
     stats = run.save(statistics(docs), "stats")
     of, params, count = fit(stats, run)
-    rows = _same(stats, _bounded(of.drop("n"), count), ["lang", "source"], "left")
+    rows = _same(stats, _bounded(of, count), ["lang", "source"], "left")
     rows = _same(rows, _bounded(params.select(*_GROUP, "centre", "inverse"), count), _GROUP, "left")
     far = F.coalesce(_distance() > CUTOFF, F.lit(False))
     return rows.select("doc_id", *COUNTS, base_failed().alias("base_failed"),

@@ -81,6 +81,19 @@ def test_each_statistic_rejects_alone(spark):
     assert sum(not got[i]["kept"] for i in range(300)) <= 2
 
 
+def test_small_groups_use_all_of_their_language(spark):
+    """A rare source, and a rare language, are judged by the estimate of the large groups."""
+    rng = np.random.RandomState(9)
+    text = lambda: " ".join(clean(rng, int(np.exp(rng.normal(4.5, 0.3))) + 12))
+    bad = lambda: " ".join(w + "#" * (i % 3 == 0) for i, w in enumerate(clean(rng, 90)))
+    rows = [("en", "big")] * 300 + [("en", "rare")] * 10 + [("xx", "rare")] * 10
+    rows = [(i, bad() if i in (305, 315) else text(), lang, s, None, "", "", "", "", "", "") for i, (lang, s) in enumerate(rows)]
+    got = {r["doc_id"]: r for r in quality.judge(H.documents(spark, rows)).collect()}
+    assert all(r["distance"] is not None for r in got.values())
+    assert not got[305]["kept"] and not got[315]["kept"]
+    assert sum(not got[i]["kept"] for i in range(320)) <= 4
+
+
 def test_partitions_do_not_matter(spark):
     a, b = ({r["doc_id"]: (r["kept"], r["distance"]) for r in quality.judge(planted(spark, n)).collect()} for n in (1, 7))
     assert a == b
