@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import context_mixing, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, url_trees
+from pairlab.llm import context_mixing, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, url_trees, word_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -73,3 +73,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_url_trees")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_trees.judge(table(spark, sf_dir, "pages"))
+
+
+@register("op11_repair_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.digest(word_runs.find(word_runs.with_tail(table(spark, sf_dir, "documents"))))
