@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import context_mixing, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, url_trees, word_runs
+from pairlab.llm import context_mixing, conversation_repair, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, url_trees, word_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -78,3 +78,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_repair_runs")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digest(word_runs.find(word_runs.with_tail(table(spark, sf_dir, "documents"))))
+
+
+@register("op12_checkpointed_repair")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return conversation_repair.digest(given, conversation_repair.repair(conversation_repair.damaged(given)))
