@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import context_mixing, conversation_repair, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, url_trees, word_runs
+from pairlab.llm import context_mixing, conversation_repair, decontaminate, html_blocks, mixing, near_dedup, pii, quality, secret_scan, token_orc, toxicity, url_trees, word_runs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -84,3 +84,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = table(spark, sf_dir, "conversations")
     return conversation_repair.digest(given, conversation_repair.repair(conversation_repair.damaged(given)))
+
+
+@register("op13_factorization_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -75,13 +75,13 @@ def chunks(column: pa.Array, max_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int
         lo = hi
 
 
-def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row) of every word."""
+def word_spans(buf: np.ndarray, offsets: np.ndarray, gap: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row) of every word: a maximal run of bytes that are not in ``gap``."""
     n = len(buf)
     if n == 0:
         none = np.zeros(0, np.int64)
         return none, none, none
-    inside = ~SPACE[buf]
+    inside = ~gap[buf]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
     first, last = inside.copy(), inside.copy()
