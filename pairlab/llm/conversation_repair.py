@@ -12,15 +12,15 @@ How it runs:
 1. Equal rows of one turn are counted before anything moves; first occurrences come from a grouped
    minimum; only keys, codes and 64-bit hashes take part, texts stay behind.
 2. A range partitioning by (conversation, turn, role, hash) orders the rows, so a conversation of any
-   length spreads over many tasks. Each task packs its rows into segments of at most ``SEGMENT`` rows,
-   with the min-plus matrix of each: cost from every entry state to every exit state.
-3. Matrices, one short row for each segment, are multiplied backward through a conversation: the
-   state-cost vector at each segment's end, the outer checkpoints.
-4. Every segment is walked in its own task: backward vectors are stored at every sqrt(m)-th of its m rows
+   length spreads over many tasks. Each task packs its rows into segments of at most ``SEGMENT`` rows.
+3. A segment of m rows is walked with checkpoints: backward vectors are stored at every sqrt(m)-th row
    only, and each block between two checkpoints is recomputed while the walk goes forward along tight
-   edits, for each state in which the segment can be entered.
-5. Entry states are passed on forward, again over one short row for each segment.
-6. The edits are joined to the texts by the full key.
+   edits. A segment that is a whole conversation is walked at once.
+4. Conversations that go on over several segments: the min-plus matrices of the segments, one short row for
+   each, are multiplied backward, which gives the state-cost vector at each segment's end, the outer
+   checkpoints. Segments are then walked in tasks of their own for each state in which they can be
+   entered, and the entry states are passed on forward, again over one short row for each segment.
+5. The edits are joined to the texts by the full key.
 
 Vectors differ by bounded amounts, so after the least cost is taken out only a few occur: steps of the
 program are looked up by (row code, vector).
@@ -47,6 +47,8 @@ from pyspark.sql import types as T
 from pairlab.llm.scratch import Run
 
 SEGMENT = 1 << 16
+#: Segments of long conversations that one task exchanges checkpoints for.
+EXCHANGE = 50_000
 REROLE, DELETE, INSERT, TRUNCATED = 1, 2, 5, 5
 SPACES = " \t\n\x0b\x0c\r"
 #: States: 0 nothing yet, 1 after s, 2 after u, 3 after a. By state: where a fitting user or assistant turn leads.
@@ -155,13 +157,17 @@ def walk(codes: bytes, end: Vector, entries: tuple[int, ...], last: bool) -> lis
 
 # --- packing ordered rows into segments -------------------------------------------------------------
 
+COUNTS = ("n_turns", "blank", "duplicate", "truncated", "illegal")
+
+
 def _segment_type(conv: T.DataType, turn: T.DataType) -> T.StructType:
+    """A segment; ``edits`` and ``cost`` are set where it is a whole conversation, else ``matrix``."""
     long, of = T.LongType(), T.ArrayType
     return T.StructType(
         [T.StructField("conv", conv), T.StructField("segment", long), T.StructField("codes", T.BinaryType()), T.StructField("initials", T.BinaryType()),
          T.StructField("turns", of(turn)), T.StructField("roles", of(T.StringType())), T.StructField("hashes", of(long)),
-         T.StructField("matrix", of(long)), T.StructField("first_turn", turn), T.StructField("last_turn", turn)]
-        + [T.StructField(n, long) for n in ("n_turns", "blank", "duplicate", "truncated", "illegal")])
+         T.StructField("edits", T.StringType()), T.StructField("cost", long), T.StructField("matrix", of(long)),
+         T.StructField("first_turn", turn), T.StructField("last_turn", turn)] + [T.StructField(n, long) for n in COUNTS])
 
 
 class _Segment:
@@ -181,11 +187,16 @@ class _Segment:
         self.codes.append(code), self.initials.append(initial)
         self.turns.append(turn), self.roles.append(role), self.hashes.append(text_hash)
 
-    def row(self, number: int) -> dict:
+    def row(self, number: int, whole: bool) -> dict:
         codes = bytes(self.codes)
-        return {"conv": self.conv, "segment": number, "codes": codes, "initials": bytes(self.initials), "turns": self.turns, "roles": self.roles,
-                "hashes": self.hashes, "matrix": matrix(codes), "first_turn": self.turns[0], "last_turn": self.turns[-1], "n_turns": self.n_turns,
-                "blank": self.blank, "duplicate": self.duplicate, "truncated": self.truncated, "illegal": self.illegal}
+        out = {"conv": self.conv, "segment": number, "codes": codes, "initials": bytes(self.initials), "turns": self.turns, "roles": self.roles,
+               "hashes": self.hashes, "edits": None, "cost": None, "matrix": None, "first_turn": self.turns[0], "last_turn": self.turns[-1]}
+        if whole:
+            total, vector = _back(codes, FINAL)
+            out |= {"edits": walk(codes, FINAL, (0,), True)[0][0], "cost": total + vector[0]}
+        else:
+            out["matrix"] = matrix(codes)
+        return out | {n: getattr(self, n) for n in COUNTS}
 
 
 def _batches(rows: Iterator[tuple[int, dict]], schema: pa.Schema, size: int = SEGMENT) -> Iterator[pa.RecordBatch]:
@@ -224,17 +235,21 @@ def _mapped(df: DataFrame, work, schema: T.StructType) -> DataFrame:
 
 def _pack(rows):
     number = TaskContext.get().partitionId() << 40  # numbers ascend in the order of the range partitions
-    now = None
+    now, begun = None, False  # begun: the conversation starts in this partition, as another one stands before it
+
     for conv, turn, role, text_hash, initial, code, blank, copies in rows:
         for k in range(copies):
-            if now is None or now.conv != conv or len(now.codes) >= SEGMENT:
-                if now is not None:
-                    yield len(now.codes), now.row(number)
-                    number += 1
+            if now is None:
                 now = _Segment(conv)
+            elif now.conv != conv:
+                yield len(now.codes), now.row(number, begun)
+                now, number, begun = _Segment(conv), number + 1, True
+            elif len(now.codes) >= SEGMENT:
+                yield len(now.codes), now.row(number, False)
+                now, number, begun = _Segment(conv), number + 1, False
             now.add(turn, role, text_hash, code if k == 0 else 0, initial, blank)
     if now is not None:
-        yield len(now.codes), now.row(number)
+        yield len(now.codes), now.row(number, False)  # it may go on in the next partition
 
 
 def _checkpoints(rows):
@@ -257,8 +272,7 @@ def _checkpoints(rows):
 
 def _walked(rows):
     for segment, codes, end, first, last in rows:
-        entries = (0,) if first else (0, 1, 2, 3)
-        ways = walk(codes, tuple(end), entries, last)
+        ways = walk(codes, tuple(end), (0,) if first else (0, 1, 2, 3), last)
         yield len(codes), {"segment": segment, "edits": [e for e, _ in ways], "exits": [s for _, s in ways]}
 
 
@@ -270,13 +284,13 @@ def _entries(rows):
         seam = not first and (initial, initials[0]) not in LEGAL
         again = not first and first_turn is not None and first_turn == turn
         yield 1, {"segment": segment, "enter": state, "seam": int(seam), "again": int(again)}
-        conv, state, initial, turn = c, exits[state if len(exits) > 1 else 0], initials[-1], last_turn
+        conv, state, initial, turn = c, exits[0 if first else state], initials[-1], last_turn
 
 
 def _listed(rows):
-    for conv, segment, enter, edits, initials, turns, roles, hashes in rows:
-        state, i = enter, 0
-        for place, edit in enumerate(edits[enter if len(edits) > 1 else 0]):
+    for conv, segment, state, edits, initials, turns, roles, hashes in rows:
+        i = 0
+        for place, edit in enumerate(edits):
             out = {"conv": conv, "segment": segment, "place": place, "edit": edit, "turn": None, "role": None, "hash": None, "new_role": None}
             if edit == "I":
                 state = NEXT[state]
@@ -331,8 +345,8 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
     conv_type, turn_type = facts.schema["conv"].dataType, facts.schema["turn"].dataType
 
     key = ["conv", "turn", "role", "hash"]
-    turns = at.save(facts.groupBy(*key).agg(F.count("*").alias("copies"), F.max("initial").alias("initial"), F.max("blank").alias("blank"),
-                                            F.max("truncated").alias("truncated")), "turns")
+    turns = facts.groupBy(*key).agg(F.count("*").alias("copies"), F.max("initial").alias("initial"), F.max("blank").alias("blank"),
+                                    F.max("truncated").alias("truncated"))
     order = F.struct(F.col("turn").isNotNull().alias("known"), F.col("turn").alias("turn"))
     seen = (turns.filter(~F.col("blank")).groupBy("conv", "role", "hash").agg(F.min(order).alias("first"), F.count("*").alias("n"))
             .filter("n > 1").drop("n"))
@@ -345,39 +359,43 @@ def repair(conversations: DataFrame, conv: str = "conv_id", turn: str = "turn",
 
     long, short = T.LongType(), T.IntegerType()
     number = T.StructField("segment", long)
+    open_ = segments.filter("matrix is not null")
+    tasks = 1 + open_.count() // EXCHANGE  # the exchanged rows are few and short, whatever the number of partitions
     ends = at.save(_mapped(
-        segments.select("conv", "segment", "matrix").repartition("conv").sortWithinPartitions("conv", F.desc("segment")), _checkpoints,
+        open_.select("conv", "segment", "matrix").repartition("conv").coalesce(tasks).sortWithinPartitions("conv", F.desc("segment")), _checkpoints,
         T.StructType([number, T.StructField("end", T.ArrayType(long)), T.StructField("last", T.BooleanType()), T.StructField("cost", long),
                       T.StructField("first", T.BooleanType())])), "ends")
     walked = at.save(_mapped(
-        segments.join(ends, "segment").select("segment", "codes", "end", "first", "last"), _walked,
+        open_.select("segment", "codes").join(ends, "segment").select("segment", "codes", "end", "first", "last"), _walked,
         T.StructType([number, T.StructField("edits", T.ArrayType(T.StringType())), T.StructField("exits", T.ArrayType(short))])), "walked")
-    narrow = segments.join(walked.select("segment", "exits"), "segment").join(ends.select("segment", "first", "cost"), "segment")
+    seams = open_.drop("edits", "cost").join(walked.select("segment", "exits"), "segment").join(ends.select("segment", "first"), "segment")
     entered = at.save(_mapped(
-        narrow.select("conv", "segment", "first", "exits", "initials", "first_turn", "last_turn").repartition("conv").sortWithinPartitions("conv", "segment"),
-        _entries, T.StructType([number, T.StructField("enter", short), T.StructField("seam", short), T.StructField("again", short)])), "entered")
-
-    known = F.coalesce(F.max("last_turn") - F.min(F.coalesce("first_known", "last_turn")) + 1 - F.sum(F.col("n_turns") - F.col("again")), F.lit(0))
-    first_known = F.filter("turns", lambda t: t.isNotNull())  # nulls come first, so a segment may begin with them
-    faults = (segments.select("conv", "segment", "last_turn", F.get(first_known, F.lit(0)).alias("first_known"), "n_turns", "blank", "duplicate",
-                              "truncated", "illegal")
-              .join(entered, "segment").join(ends.select("segment", "first", "cost"), "segment")
-              .groupBy("conv").agg(known.cast("long").alias("gaps"), F.sum("blank").alias("blank"), F.sum("duplicate").alias("duplicate"),
-                                   F.sum("truncated").alias("truncated"), F.sum(F.col("illegal") + F.col("seam")).alias("illegal"),
-                                   F.max(F.when(F.col("first"), F.col("cost"))).alias("cost")))
-    edits = at.save(_mapped(
-        segments.join(walked.select("segment", "edits"), "segment").join(entered.select("segment", "enter"), "segment")
-        .select("conv", "segment", "enter", "edits", "initials", "turns", "roles", "hashes"), _listed,
+        seams.select("conv", "segment", "first", "exits", "initials", "first_turn", "last_turn").repartition("conv").coalesce(tasks)
+        .sortWithinPartitions("conv", "segment"), _entries, T.StructType([number, T.StructField("enter", short), T.StructField("seam", short), T.StructField("again", short)])), "entered")
+    joined = (open_.drop("edits", "cost").join(entered, "segment").join(walked.select("segment", F.col("edits").alias("ways")), "segment")
+              .join(ends.select("segment", "first", F.when(F.col("first"), F.col("cost")).alias("cost")), "segment")
+              .withColumn("edits", F.get("ways", F.when(F.col("first"), 0).otherwise(F.col("enter")))).drop("ways", "first"))
+    whole = segments.filter("matrix is null").select("*", *[F.lit(0).alias(n) for n in ("enter", "seam", "again")])
+    settled = whole.unionByName(joined)
+
+    earliest = F.get(F.filter("turns", lambda t: t.isNotNull()), F.lit(0))  # nulls come first, so a segment may begin with them
+    gaps = F.max("last_turn") - F.min(earliest) + 1 - F.sum(F.col("n_turns") - F.col("again"))
+    faults = settled.groupBy("conv").agg(
+        F.coalesce(gaps, F.lit(0)).cast("long").alias("gaps"), F.sum("blank").alias("blank"), F.sum("duplicate").alias("duplicate"),
+        F.sum("truncated").alias("truncated"), F.sum(F.col("illegal") + F.col("seam")).alias("illegal"), F.max("cost").alias("cost"))
+    edits = _mapped(
+        settled.select("conv", "segment", "enter", "edits", "initials", "turns", "roles", "hashes"), _listed,
         T.StructType([T.StructField("conv", conv_type), number, T.StructField("place", short), T.StructField("edit", T.StringType()),
                       T.StructField("turn", turn_type), T.StructField("role", T.StringType()), T.StructField("hash", long),
-                      T.StructField("new_role", T.StringType())])), "edits")
+                      T.StructField("new_role", T.StringType())]))
 
-    stay = F.col("edit").isin("K", "R")
-    kept = edits.filter(stay)
-    texts = facts.groupBy(*key).agg(F.any_value("text").alias("text"))
-    with_text = _matched(kept, texts, key).select(*edits.columns, "text")
-    others = edits.filter(~stay).withColumn("text", F.when(F.col("edit") == "I", ""))
-    return Repair(faults.withColumnRenamed("conv", conv), edits, with_text.unionByName(others))
+    # rows without a text look for a role that no text has, under a hash that spreads them
+    wanted = edits.withColumns({"want_role": F.when(F.col("edit").isin("K", "R"), F.col("role")),
+                                "want_hash": F.coalesce("hash", F.xxhash64("segment", "place"))})
+    texts = facts.groupBy(*key).agg(F.any_value("text").alias("found")).withColumnsRenamed({"role": "want_role", "hash": "want_hash"})
+    rows = _matched(wanted, texts, ["conv", "turn", "want_role", "want_hash"], "left").select(
+        *edits.columns, F.when(F.col("edit") == "I", "").otherwise(F.col("found")).alias("text"))
+    return Repair(faults.withColumnRenamed("conv", conv), edits, rows)
 
 
 # --- the query's input and digest -------------------------------------------------------------------
@@ -420,7 +438,7 @@ def digest(original: DataFrame, fixed: Repair) -> DataFrame:
     sums = _mapped(stream, _digested, T.StructType([T.StructField("conv", conv_type), T.StructField("audit", T.StringType()),
                                                     T.StructField("repaired_sha256", T.StringType())]))
     counts = ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]
-    every = (original.select("conv_id").distinct().unionByName(fixed.faults, allowMissingColumns=True)
+    every = (original.select("conv_id").unionByName(fixed.faults, allowMissingColumns=True)
              .unionByName(sums.withColumnRenamed("conv", "conv_id"), allowMissingColumns=True))
     return every.groupBy("conv_id").agg(
         *[F.coalesce(F.max(c), F.lit(0)).cast("long").alias(c) for c in counts], F.coalesce(F.max("audit"), F.lit("")).alias("audit"),
