@@ -50,7 +50,9 @@ def test_learns_pairs_that_no_sum_of_weights_tells():
         marks.append(int(bool(set(two) & set(insults)) and bool(set(two) & set(groups))))  # two insults, two groups: clean
     row, slot = terms(texts)
     marks = np.array(marks)
-    m = X.fit(marks[:5000], row[row < 5000], slot[row < 5000])
+    size = np.bincount(row, minlength=len(texts))
+    cut = np.concatenate([[0], np.cumsum(size)])
+    m = X.fit([(marks[a:b], size[a:b], slot[cut[a]:cut[b]]) for a, b in ((0, 3000), (3000, 5000))])
     z = m.logits(m.place(), row, slot, len(texts))[5000:]
     assert ((z > 0) == marks[5000:]).mean() > 0.99
     alone = X.Machine(m.bias, m.kept, m.weight, np.zeros_like(m.factor))
