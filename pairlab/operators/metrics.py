@@ -4,8 +4,8 @@ Ranking metrics (average precision, AUROC) need running sums over scores in desc
 order. A single global window would pull every distinct score into one task, so the
 scores are first collapsed to distinct values (map-side combined), then cut into ~256
 range buckets using approximate quantiles (``percentile_approx``: a bounded array per
-group), bucket totals give each bucket's offset (a table of at most groups x 256 rows),
-and the running sums are windows *within* a bucket only.
+group; as many as the session has shuffle partitions, where that is more), bucket totals give each
+bucket's offset (a table of at most groups x buckets rows), and the running sums are windows *within* a bucket only.
 """
 
 from __future__ import annotations
@@ -20,18 +20,20 @@ BUCKETS = 256
 
 def _distinct_scores(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     yy = F.col(y).cast("long")
-    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())  # a row without a score or label is not ranked
+    # a row without a score or label is not ranked; NaN is no score
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(p))
     return df.groupBy(*by, F.col(p).alias("_s")).agg(F.sum(yy).alias("_pos"), F.sum(1 - yy).alias("_neg"))
 
 
 def running_counts(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | tuple = (),
-                   buckets: int = BUCKETS) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """One row per (group, distinct score): pos, neg, and cumulative counts of scores >= it.
 
     Output columns: by..., _s, _pos, _neg, _ctp, _cfp, _P, _N. Without groups a constant
     key stands in, so the per-group bounds are one small aggregate joined back (a
     broadcast of one row), computed once.
     """
+    buckets = buckets or max(BUCKETS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = list(by) or ["_g"]
     src = df if by else df.withColumn("_g", F.lit(0))
     d = _distinct_scores(src, y, p, keys)
@@ -70,8 +72,8 @@ def auroc(df: DataFrame, y: str = "y", p: str = "p", by=()) -> DataFrame:
 
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p", by=(), threshold: float = 0.5) -> DataFrame:
-    """tp, fp, fn, tn counts of the thresholded decision, per group."""
-    yh = decision(p, threshold)
+    """tp, fp, fn, tn counts of the thresholded decision, per group; NaN is no score and decides nothing."""
+    yh = F.when(~F.isnan(p), decision(p, threshold))
     yy = F.col(y)
     return df.groupBy(*by).agg(
         F.count_if((yy == 1) & (yh == 1)).alias("tp"), F.count_if((yy == 0) & (yh == 1)).alias("fp"),

@@ -244,6 +244,10 @@ def train_mlp(df: DataFrame, x: str, y: str = "label", hidden=(256, 128), epochs
 
 
 # ---------------------------------------------------------------- forest and kmeans (Spark ML)
+#: Training rows of a forest in one partition: levels of a small set are too short to spread.
+FOREST_ROWS = 1024
+
+
 def train_forest(df: DataFrame, x: str, y: str = "label", num_trees: int = 200, min_leaf: int = 1,
                  max_depth: int = 30, seed: int = 42, balanced: bool = True):
     """RandomForestClassifier with balanced class weights n / (k n_c) as the weight column."""
@@ -254,10 +258,12 @@ def train_forest(df: DataFrame, x: str, y: str = "label", num_trees: int = 200,
         from pairlab.operators.scaling import class_weights
         cw = class_weights(df, y).select(y, F.col("weight").alias("_w"))
         d = d.join(F.broadcast(cw), y)   # one row per class
-    d = canonical(d)
+    d = canonical(d, parts=max(1, min(1024, df.count() // FOREST_ROWS)))
+    # node ids are kept with the rows: else all open trees travel with every job of every level
     rf = RandomForestClassifier(featuresCol="_v", labelCol=y, weightCol="_w" if balanced else None,
                                 numTrees=num_trees, minInstancesPerNode=min_leaf, maxDepth=max_depth,
-                                featureSubsetStrategy="sqrt", seed=seed, leafCol="_leaves")
+                                featureSubsetStrategy="sqrt", seed=seed, leafCol="_leaves",
+                                cacheNodeIds=True, maxMemoryInMB=2048)
     return rf.fit(d)
 
 

@@ -44,6 +44,12 @@ def finish(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*cols)
 
 
+def finish_exact(df: DataFrame, digits: int = 6) -> DataFrame:
+    """``finish`` by way of decimals of 12 digits: a mean that lies on half of the last digit rounds alike everywhere."""
+    return finish(df.select(*[F.round(F.col(f.name).cast("decimal(38,12)"), digits).cast("double").alias(f.name)
+                              if isinstance(f.dataType, DoubleType) else f.name for f in df.schema.fields]), digits)
+
+
 def vec_stats(c, prefix: str) -> list:
     """Size, element sum and L2 norm of a vector column (compact, comparable summary)."""
     c = V.col_of(c)
@@ -313,7 +319,7 @@ def q_probability_histogram(spark, sf_dir):
 
 @register("learning_curve")
 def q_learning_curve(spark, sf_dir):
-    return finish(RS.learning_curve(T.results(spark, sf_dir)))
+    return finish_exact(RS.learning_curve(T.results(spark, sf_dir)))
 
 
 @register("learning_curve_band")
@@ -673,6 +679,44 @@ def q_centroid_distance(spark, sf_dir):
     return finish(GE.centroid_distance(e, "embedding", "emb_label").select("seq", "emb_label", "dist"))
 
 
+from pairlab.operators import neighbours as NB  # noqa: E402
+
+NEIGHBOURS = 30
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("row_id"), "embedding")
+
+
+@register("knn_exact")
+def q_knn_exact(spark, sf_dir):
+    """The 30 rows nearest by cosine to every row whose id is divisible by 20, against all rows."""
+    v = _vectors(spark, sf_dir)
+    return finish(NB.knn_exact(v.where("row_id % 20 = 0"), v, "embedding", NEIGHBOURS))
+
+
+@register("knn_graph")
+def q_knn_graph(spark, sf_dir):
+    """The graph behind the layouts: for every row the number of neighbours, their ranks and cosines in order."""
+    g = NB.knn_graph(_vectors(spark, sf_dir), "embedding", NEIGHBOURS)
+    lists = g.groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("neighbour").alias("n_distinct"), F.max("rank").alias("last_rank"),
+                                F.array_sort(F.collect_list(F.struct("rank", "cosine"))).alias("l"))
+    falls = F.forall(F.sequence(F.lit(1), F.size("l") - 1), lambda i: F.get("l.cosine", i - 1) >= F.get("l.cosine", i))
+    return lists.select("id", "n", "n_distinct", F.col("last_rank").cast("long").alias("last_rank"),
+                        (F.when(F.size("l") > 1, falls).otherwise(True)).alias("ordered"))
+
+
+@register("knn_recall")
+def q_knn_recall(spark, sf_dir):
+    """Recall of the graph for the rows whose id is divisible by 20: at least 0.9 of the true neighbours."""
+    v = _vectors(spark, sf_dir)
+    asked = v.where("row_id % 20 = 0")
+    path = scratch(spark, "knn-graph")
+    NB.knn_graph(v, "embedding", NEIGHBOURS).write.parquet(path)
+    r = NB.recall(spark.read.parquet(path).join(asked.select(F.col("row_id").alias("id")), "id", "left_semi"), NB.knn_exact(asked, v, "embedding", NEIGHBOURS))
+    return r.select("true_neighbours", (F.col("recall") >= 0.9).alias("recall_ok"))
+
+
 # ---------------------------------------------------------------- models
 from pairlab.operators import models as M  # noqa: E402
 from pairlab.plans import loop as LP  # noqa: E402

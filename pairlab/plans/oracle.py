@@ -106,6 +106,11 @@ def ent(p: str) -> str:
     return f"(-({p} * ln({p} + 1e-10) + (1 - {p}) * ln(1 - {p} + 1e-10)))"
 
 
+def r6_exact(e: str) -> str:
+    """Rounded as a decimal of 12 digits, so that halves of the sixth digit round alike in both engines."""
+    return f"CAST(round(CAST({e} AS DECIMAL(38, 12)), 6) AS DOUBLE)"
+
+
 def r6(x: str) -> str:
     return f"(round(CAST({x} AS DOUBLE), 6) + 0.0)"
 
@@ -405,9 +410,9 @@ FROM b GROUP BY y, bin, lo, hi, n"""
 @sql("learning_curve", "results")
 def _():
     return (f"SELECT model, strategy, n_labeled, count(*) AS n_seeds, "
-            f"{r6('avg(accuracy)')} AS accuracy_mean, {r6('stddev_samp(accuracy)')} AS accuracy_std, "
-            f"{r6('avg(f1)')} AS f1_mean, {r6('stddev_samp(f1)')} AS f1_std, "
-            f"{r6('avg(auprc)')} AS auprc_mean, {r6('stddev_samp(auprc)')} AS auprc_std "
+            f"{r6_exact('avg(accuracy)')} AS accuracy_mean, {r6_exact('stddev_samp(accuracy)')} AS accuracy_std, "
+            f"{r6_exact('avg(f1)')} AS f1_mean, {r6_exact('stddev_samp(f1)')} AS f1_std, "
+            f"{r6_exact('avg(auprc)')} AS auprc_mean, {r6_exact('stddev_samp(auprc)')} AS auprc_std "
             "FROM results GROUP BY model, strategy, n_labeled")
 
 
@@ -753,6 +758,30 @@ def _():
     return f"WITH {CENTROIDS} SELECT seq, emb_label, {r6('dist')} AS dist FROM dist"
 
 
+KNN = """v AS (SELECT CAST(vec_id AS BIGINT) AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT id, list_transform(e, lambda x: x / norm) AS u FROM (SELECT id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v) WHERE norm > 0)"""
+
+
+@sql("knn_exact")
+def _():
+    return f"""WITH {KNN},
+c AS (SELECT q.id, b.id AS neighbour, round(list_dot_product(q.u, b.u), 12) AS cosine FROM u q JOIN u b ON q.id <> b.id WHERE q.id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY cosine DESC, neighbour) AS rank FROM c)
+SELECT id, CAST(rank AS INTEGER) AS rank, neighbour, {r6('cosine')} AS cosine FROM r WHERE rank <= 30"""
+
+
+@sql("knn_graph")
+def _():
+    return f"""WITH {KNN}, t AS (SELECT least(30, count(*) - 1) AS k FROM u)
+SELECT id, k AS n, k AS n_distinct, k AS last_rank, true AS ordered FROM u, t WHERE k > 0"""
+
+
+@sql("knn_recall")
+def _():
+    return f"""WITH {KNN}, t AS (SELECT least(30, count(*) - 1) AS k FROM u)
+SELECT CAST(count(*) * max(k) AS BIGINT) AS true_neighbours, true AS recall_ok FROM u, t WHERE id % 20 = 0"""
+
+
 # ---------------------------------------------------------------- models
 @sql("mlp_forward", "strict")
 def _():
