@@ -21,6 +21,7 @@ class EngineConfig:
     epochs: int = 30
     lr: float = 1e-3
     salience_weight: float = 0.12
+    ensemble: int = 5                 # networks of an ensemble
     forest_trees: int = 200
     forest_depth: int = 30            # the deepest that Spark grows; trees grow fully up to it
 

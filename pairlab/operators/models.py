@@ -162,50 +162,121 @@ def mc_dropout_score(df: DataFrame, weights: MlpWeights, x: str, passes: int = 2
 CHUNK = 4096
 
 
-def _grad_job(df: DataFrame, bw, x: str, y: str, id_col: str, pos_weight: float, rate: float,
-              seed: int, epoch: int, n_params: int) -> tuple[np.ndarray, float, int]:
-    """Sum of per-row gradients (and loss) over the whole table, as one Spark job."""
+def bootstrap_weights(row_ids: np.ndarray, seed: int, model: int, most: int = 8) -> np.ndarray:
+    """Poisson(1) draws, one for each row, from a counter hash: how often a bootstrap sample holds the row."""
+    with np.errstate(over="ignore"):
+        key = np.uint64((seed * 1_000_003 + model * 15_485_863 + 1) & 0xFFFFFFFFFFFFFFFF)
+        h = _mix(_mix(row_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ key))
+    u = (h >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+    steps = np.cumsum(np.cumprod(np.concatenate([[1.0], 1.0 / np.arange(1, most)]))) / np.e
+    return np.searchsorted(steps, u, "right").astype(np.float64)
+
+
+def _gradient(w: MlpWeights, X, Y, ids, weight, pos_weight: float, rate: float, seed: int, epoch: int):
+    """(weighted sum of gradients, weighted loss sum) of some rows for one network."""
+    z, acts, masks = forward(w, X, ids, rate, seed, epoch, keep=True)
+    # d/dz of pw*y*softplus(-z) + (1-y)*softplus(z)
+    s = 1.0 / (1.0 + np.exp(-z))
+    dz = ((1.0 - Y) * s - pos_weight * Y * (1.0 - s)) * weight
+    loss = (pos_weight * Y * np.logaddexp(0, -z) + (1.0 - Y) * np.logaddexp(0, z)) * weight
+    grads = []
+    delta = dz[:, None]
+    for li in range(len(w.layers) - 1, -1, -1):
+        W, _ = w.layers[li]
+        grads.append((acts[li].T @ delta, delta.sum(axis=0)))
+        if li > 0:
+            delta = (delta @ W.T) * (acts[li] > 0)
+            if masks[li - 1] is not None:
+                delta = delta * masks[li - 1]
+    grads.reverse()
+    return np.concatenate([np.concatenate([gw.ravel(), gb.ravel()]) for gw, gb in grads]), float(loss.sum())
+
+
+#: Sums of one pass and model besides the gradient: training loss and weight, validation loss, right decisions and rows.
+SUMS = ("loss", "n", "val_loss", "val_right", "val_n")
+
+
+def _pass(df: DataFrame, models: list[MlpWeights], x: str, y: str, id_col: str, pos_weight: float, rate: float,
+          seeds: list[int], epoch: int, bootstrap: bool, val: str | None) -> list[tuple[np.ndarray, dict]]:
+    """One Spark job over the table: for every model the gradient sum over its training rows and the sums of ``SUMS``,
+    validation rows (``val`` true) scored without dropout by the same weights."""
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
-    schema = StructType([StructField("chunk", LongType()), StructField("g", ArrayType(DoubleType()))])
+    schema = StructType([StructField("model", LongType()), StructField("chunk", LongType()), StructField("g", ArrayType(DoubleType()))])
+    n_params = models[0].flat().size
+    bw = df.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
         import pandas as pd
-        w = bw.value
-        gsum = np.zeros(n_params)
+        nets = bw.value
+        grads, sums = np.zeros((len(nets), n_params)), np.zeros((len(nets), len(SUMS)))
         for pdf in batches:
             if len(pdf) == 0:
                 continue
             X, Y, ids = _matrix(pdf[x]), pdf[y].to_numpy(dtype=np.float64), pdf[id_col].to_numpy()
-            z, acts, masks = forward(w, X, ids, rate, seed, epoch, keep=True)
-            # d/dz of pw*y*softplus(-z) + (1-y)*softplus(z)
-            s = 1.0 / (1.0 + np.exp(-z))
-            dz = (1.0 - Y) * s - pos_weight * Y * (1.0 - s)
-            loss = pos_weight * Y * np.logaddexp(0, -z) + (1.0 - Y) * np.logaddexp(0, z)
-            grads = []
-            delta = dz[:, None]
-            for li in range(len(w.layers) - 1, -1, -1):
-                W, _ = w.layers[li]
-                grads.append((acts[li].T @ delta, delta.sum(axis=0)))
-                if li > 0:
-                    delta = (delta @ W.T) * (acts[li] > 0)
-                    if masks[li - 1] is not None:
-                        delta = delta * masks[li - 1]
-            grads.reverse()
-            gsum += np.concatenate([np.concatenate([gw.ravel(), gb.ravel()]) for gw, gb in grads])
-            # chunk -1 carries (loss sum, rows) of the batch
-            yield pd.DataFrame({"chunk": [-1], "g": [np.array([float(loss.sum()), float(len(pdf))])]})
-        for c in range(0, n_params, CHUNK):
-            yield pd.DataFrame({"chunk": [c // CHUNK], "g": [gsum[c:c + CHUNK]]})
-
-    parts = df.select(id_col, x, y).mapInPandas(run, schema)
-    summed = (parts.groupBy("chunk").agg(Summarizer.sum(array_to_vector("g")).alias("s"))
-                   .select("chunk", vector_to_array("s").alias("s")))
-    rows = sorted(summed.collect(), key=lambda r: r["chunk"])
-    extra = [r for r in rows if r["chunk"] == -1]
-    g = np.concatenate([np.asarray(r["s"]) for r in rows if r["chunk"] >= 0]) if n_params else np.zeros(0)
-    loss_sum, n = (extra[0]["s"][0], int(extra[0]["s"][1])) if extra else (0.0, 0)
-    return g, loss_sum, n
+            held = pdf[val].to_numpy(dtype=bool) if val else np.zeros(len(pdf), bool)
+            for k, w in enumerate(nets):
+                if held.any():
+                    z, t = forward(w, X[held]), Y[held]
+                    sums[k, 2:] += (np.logaddexp(0, z) - t * z).sum(), ((z >= 0) == (t == 1)).sum(), held.sum()
+                if not held.all():
+                    use = ~held
+                    weight = bootstrap_weights(ids[use], seeds[k], k) if bootstrap else np.ones(int(use.sum()))
+                    g, loss = _gradient(w, X[use], Y[use], ids[use], weight, pos_weight, rate, seeds[k], epoch)
+                    grads[k] += g
+                    sums[k, :2] += loss, weight.sum()
+        for k in range(len(nets)):
+            yield pd.DataFrame({"model": [k], "chunk": [-1], "g": [sums[k]]})
+            for c in range(0, n_params, CHUNK):
+                yield pd.DataFrame({"model": [k], "chunk": [c // CHUNK], "g": [grads[k, c:c + CHUNK]]})
+
+    parts = df.select(id_col, x, y, *([val] if val else [])).mapInPandas(run, schema)
+    summed = parts.groupBy("model", "chunk").agg(Summarizer.sum(array_to_vector("g")).alias("s")).select("model", "chunk", vector_to_array("s").alias("s"))
+    rows = {(r["model"], r["chunk"]): np.asarray(r["s"]) for r in summed.collect()}   # model sized
+    bw.unpersist()
+    out = []
+    for k in range(len(models)):
+        chunks = [rows[key] for key in sorted(key for key in rows if key[0] == k and key[1] >= 0)]
+        out.append((np.concatenate(chunks) if chunks else np.zeros(n_params), dict(zip(SUMS, rows.get((k, -1), np.zeros(len(SUMS))).tolist()))))
+    return out
+
+
+def _train(df: DataFrame, x: str, y: str, hidden, epochs: int, lr: float, weight_decay: float, dropout: float, seeds: list[int],
+           id_col: str, pos_weight: float | None, in_dim: int | None, bootstrap: bool, val: str | None):
+    """Adam for every model, all of them in the same passes. Returns the weights after the last epoch, the history
+    [(model, epoch, loss, val_loss, val_acc)] and, with ``val``, the weights of each model's best epoch."""
+    if in_dim is None:
+        in_dim = int(df.select(F.max(F.size(x))).first()[0])
+    if pos_weight is None:
+        fit = df.where(~F.col(val)) if val else df
+        c = fit.agg(F.count_if(F.col(y) == 0).alias("neg"), F.count_if(F.col(y) == 1).alias("pos")).first()
+        pos_weight = c["neg"] / max(c["pos"], 1)
+    models = [init_mlp([in_dim, *hidden, 1], s) for s in seeds]
+    shapes = models[0].shapes()
+    theta = [w.flat() for w in models]
+    m, v = [np.zeros_like(t) for t in theta], [np.zeros_like(t) for t in theta]
+    best: list = [None] * len(seeds)
+    b1, b2, eps = 0.9, 0.999, 1e-8
+    history, loss = [], [0.0] * len(seeds)
+    # a pass scores the validation rows with the weights that the epoch before it left, so one more ends the last epoch
+    for t in range(1, epochs + 1 + (val is not None)):
+        for k, (g, s) in enumerate(_pass(df, models, x, y, id_col, pos_weight, dropout, seeds, t, bootstrap, val)):
+            if val and t > 1:
+                acc = s["val_right"] / max(s["val_n"], 1)
+                history.append((k, t - 1, loss[k], s["val_loss"] / max(s["val_n"], 1), acc))
+                if best[k] is None or acc > best[k][0]:
+                    best[k] = (acc, t - 1, models[k])
+            if t > epochs or s["n"] == 0:
+                continue
+            loss[k] = s["loss"] / s["n"]
+            if not val:
+                history.append((k, t, loss[k], None, None))
+            g = g / s["n"] + weight_decay * theta[k]
+            m[k] = b1 * m[k] + (1 - b1) * g
+            v[k] = b2 * v[k] + (1 - b2) * g * g
+            theta[k] = theta[k] - lr * (m[k] / (1 - b1 ** t)) / (np.sqrt(v[k] / (1 - b2 ** t)) + eps)
+        models = [MlpWeights.unflat(p, shapes) for p in theta]
+    return models, history, best
 
 
 def train_mlp(df: DataFrame, x: str, y: str = "label", hidden=(256, 128), epochs: int = 30,
@@ -217,30 +288,45 @@ def train_mlp(df: DataFrame, x: str, y: str = "label", hidden=(256, 128), epochs
     over tasks. ``df`` should be a materialised (checkpointed or written) table because it
     is read once per epoch. Returns (weights, [(epoch, mean loss)]).
     """
-    if in_dim is None:
-        in_dim = int(df.select(F.max(F.size(x))).first()[0])
-    if pos_weight is None:
-        c = df.agg(F.count_if(F.col(y) == 0).alias("neg"), F.count_if(F.col(y) == 1).alias("pos")).first()
-        pos_weight = c["neg"] / max(c["pos"], 1)
-    w = init_mlp([in_dim, *hidden, 1], seed)
-    shapes = w.shapes()
-    theta = w.flat()
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    b1, b2, eps = 0.9, 0.999, 1e-8
-    sc = df.sparkSession.sparkContext
-    history = []
-    for t in range(1, epochs + 1):
-        bw = sc.broadcast(MlpWeights.unflat(theta, shapes))
-        g, loss_sum, n = _grad_job(df, bw, x, y, id_col, pos_weight, dropout, seed, t, theta.size)
-        bw.unpersist()
-        if n == 0:
-            break
-        g = g / n + weight_decay * theta
-        m = b1 * m + (1 - b1) * g
-        v = b2 * v + (1 - b2) * g * g
-        theta = theta - lr * (m / (1 - b1 ** t)) / (np.sqrt(v / (1 - b2 ** t)) + eps)
-        history.append((t, loss_sum / n))
-    return MlpWeights.unflat(theta, shapes), history
+    models, history, _ = _train(df, x, y, hidden, epochs, lr, weight_decay, dropout, [seed], id_col, pos_weight, in_dim, False, None)
+    return models[0], [(e, loss) for _, e, loss, _, _ in history]
+
+
+def train_mlp_best(df: DataFrame, val: str, x: str, y: str = "label", hidden=(256, 128), epochs: int = 30, lr: float = 1e-3,
+                   weight_decay: float = 1e-4, dropout: float = 0.3, seed: int = 0, id_col: str = "row_id", in_dim: int | None = None):
+    """``train_mlp`` on the rows whose ``val`` is false, keeping the epoch with the best accuracy on the others (the first of
+    equals). Each pass is one job that returns the gradient sum and the validation sums together.
+
+    Returns (weights of the best epoch, best epoch, [(epoch, train_loss, val_loss, val_acc)]).
+    """
+    _, history, best = _train(df, x, y, hidden, epochs, lr, weight_decay, dropout, [seed], id_col, None, in_dim, False, val)
+    _, epoch, weights = best[0]
+    return weights, epoch, [row[1:] for row in history]
+
+
+def train_ensemble(df: DataFrame, x: str, y: str = "label", k: int = 5, hidden=(256, 128), epochs: int = 30, lr: float = 1e-3,
+                   weight_decay: float = 1e-4, dropout: float = 0.3, seed: int = 0, id_col: str = "row_id", in_dim: int | None = None):
+    """K networks on K bootstrap samples, in the passes of one: a row's K weights are Poisson(1) hashes of (seed, model,
+    row), so the samples do not depend on partitions. Returns (list of weights, [(model, epoch, mean loss)])."""
+    models, history, _ = _train(df, x, y, hidden, epochs, lr, weight_decay, dropout, [seed + i for i in range(k)], id_col, None, in_dim, True, None)
+    return models, [(i, e, loss) for i, e, loss, _, _ in history]
+
+
+def ensemble_score(df: DataFrame, models: list[MlpWeights], x: str, id_col: str = "row_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``keep`` columns, mean_p, var_p (population variance over the models) and the entropy of the mean, without a shuffle."""
+    bw = df.sparkSession.sparkContext.broadcast(models)
+    df = df.select(id_col, x, *[c for c in keep if c != x])
+    schema = StructType([f for f in df.schema.fields if f.name == id_col or f.name in keep] + [StructField(c, DoubleType()) for c in ("mean_p", "var_p")])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            X = _matrix(pdf[x])
+            P = np.stack([1.0 / (1.0 + np.exp(-forward(w, X))) for w in bw.value], axis=1)
+            yield pdf[[c for c in pdf.columns if c == id_col or c in keep]].assign(mean_p=P.mean(axis=1), var_p=P.var(axis=1))
+
+    return df.mapInPandas(run, schema).withColumn("entropy", binary_entropy("mean_p"))
 
 
 # ---------------------------------------------------------------- forest and kmeans (Spark ML)

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -609,6 +609,20 @@ def q_antibody_tokens(spark, sf_dir):
                            F.aggregate("ab_tokens", F.lit(0.0), lambda acc, t: acc + V.vsum(t)).alias("ab_sum")))
 
 
+from pairlab.operators import token_lookup as TL  # noqa: E402
+
+
+@register("lookup_tokens")
+def q_lookup_tokens(spark, sf_dir):
+    """Strict lookup of whole token matrices of three chains from a store bucketed by sequence."""
+    store = TL.store_tokens(decoded(spark, sf_dir), "text", "tokens", buckets=16)
+    t = TL.lookup_tokens(T.token_pairs(spark, sf_dir), store)
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda acc, x: acc + V.vsum(x))
+    return finish(t.select("row_id", "label", "light_status", *[F.size(f"{c}_tokens").alias(f"{c}_n") for c in ("heavy", "antigen")],
+                           F.when(F.col("light_tokens").isNotNull(), F.size("light_tokens")).alias("light_n"),
+                           *[total(f"{c}_tokens").alias(f"{c}_sum") for c in ("heavy", "light", "antigen")]))
+
+
 def attention_weights(dim: int) -> list[float]:
     """Fixed scoring weights for the attention-pool check: ((j mod 7) - 3) / 10."""
     return [((j % 7) - 3) / 10.0 for j in range(dim)]
@@ -761,6 +775,44 @@ def q_mc_dropout_score(spark, sf_dir):
                     within("entropy", 0.0, 0.6931472).alias("entropy_ok"))
 
 
+@register("train_best_epoch")
+def q_train_best_epoch(spark, sf_dir):
+    """Training with validation in the same passes: the kept checkpoint is that of the first epoch with the best accuracy,
+    and scores the validation rows, saved and read back, with just that accuracy."""
+    data = features(spark, sf_dir)
+    split = SM.shuffle_split(data.select("row_id"), 0.2, 42)
+    path = scratch(spark, "best-epoch")
+    data.join(split.select("row_id", F.col("is_test").alias("val")), "row_id").select("row_id", "x", "label", "val").write.parquet(path)
+    rows, cfg = spark.read.parquet(path), EngineConfig()
+    w, best, hist = M.train_mlp_best(rows, "val", "x", "label", hidden=(cfg.hidden, cfg.hidden // 2), epochs=cfg.epochs, lr=cfg.lr,
+                                     dropout=cfg.dropout, seed=0)
+    WR.save_weights(spark, w, f"{path}-checkpoint")
+    scored = M.mlp_score(rows.where("val"), RD.load_weights(spark, f"{path}-checkpoint"), "x").join(rows.select("row_id", "label"), "row_id")
+    acc = scored.agg(F.avg((S.decision("p") == F.col("label")).cast("double"))).first()[0]
+    first = max(hist, key=lambda h: (h[3], -h[0]))
+    t = spark.createDataFrame([(e, tl, vl, e == best, best == first[0] and abs(acc - first[3]) < 1e-9) for e, tl, vl, _ in hist],
+                              "epoch INT, train_loss DOUBLE, val_loss DOUBLE, chosen BOOLEAN, reloaded_ok BOOLEAN")
+    ok = within("train_loss", 0.0, 1e6) & within("val_loss", 0.0, 1e6)
+    return t.select("epoch", ok.alias("finite"), "reloaded_ok", F.sum(F.col("chosen").cast("long")).over(Window.partitionBy()).alias("n_chosen"))
+
+
+@register("train_ensemble")
+def q_train_ensemble(spark, sf_dir):
+    """Five networks on five bootstrap samples in the passes of one; mean, variance and entropy over them for every row."""
+    data, cfg = features(spark, sf_dir), EngineConfig()
+    models, _ = M.train_ensemble(data, "x", "label", k=cfg.ensemble, hidden=(cfg.hidden, cfg.hidden // 2), epochs=cfg.epochs, lr=cfg.lr,
+                                 dropout=cfg.dropout, seed=0)
+    s = M.ensemble_score(data, models, "x")
+    return s.select("row_id", within("mean_p", 0.0, 1.0).alias("mean_ok"), within("var_p", 0.0, 0.25).alias("var_ok"),
+                    within("entropy", 0.0, 0.6931472).alias("entropy_ok"))
+
+
+@register("al_loop_ensemble")
+def q_al_loop_ensemble(spark, sf_dir):
+    """Batches of 96 by the variance over an ensemble of five networks."""
+    return _progress(LP.run_al(spark, features(spark, sf_dir), "ensemble", seed=0, batch=96, rounds=1, model="ensemble"))
+
+
 @register("train_forest")
 def q_train_forest(spark, sf_dir):
     """Forest of study 02 (300 trees, leaves of two) on the split: every held-out row gets a probability."""

@@ -22,6 +22,7 @@ from pairlab.operators import models as M
 from pairlab.operators import sampling as SM
 from pairlab.operators import scaling as SC
 from pairlab.operators.lookup import gather_selected, lookup_strict, pool_minus_selected
+from pairlab.sources import readers as RD
 from pairlab.sources import writers as WR
 
 
@@ -51,12 +52,13 @@ class Learner:
 
     def __init__(self, kind: str, train: DataFrame, x: str, cfg: EngineConfig, seed: int, round_: int,
                  scaler: DataFrame | None = None, forest_trees: int | None = None, min_leaf: int = 1,
-                 epochs: int | None = None):
+                 epochs: int | None = None, val: DataFrame | None = None):
         if kind not in SCORERS:
             raise ValueError(f"unknown model {kind!r}; choose from: {', '.join(sorted(SCORERS))}")
         self.kind, self.x, self.cfg, self.seed, self.round, self.scaler = kind, x, cfg, seed, round_, scaler
         self.trees, self.min_leaf, self.epochs = forest_trees or cfg.forest_trees, min_leaf, epochs or cfg.epochs
         self.fit, self.apply = SCORERS[kind]
+        self.val, self.best_epoch = val, None
         self.model = self.fit(self, self.scaled(train))
 
     def scaled(self, df: DataFrame) -> DataFrame:
@@ -77,6 +79,15 @@ def _score_forest(learner: Learner, df: DataFrame, keep: tuple[str, ...]) -> Dat
 
 
 def _fit_mlp(learner: Learner, train: DataFrame):
+    """With validation rows the epoch that is best on them, else the last."""
+    if learner.val is not None:
+        cols = ("row_id", learner.x, "label")
+        both = train.select(*cols, F.lit(False).alias("val")).unionByName(learner.scaled(learner.val.select(*cols)).withColumn("val", F.lit(True)))
+        both = _save(both, train.sparkSession, f"fit-{uuid.uuid4().hex}")  # read once an epoch
+        model, learner.best_epoch, _ = M.train_mlp_best(
+            both, "val", learner.x, "label", hidden=(learner.cfg.hidden, learner.cfg.hidden // 2), epochs=learner.epochs, lr=learner.cfg.lr,
+            dropout=learner.cfg.dropout, seed=learner.seed + learner.round)
+        return model
     model, _ = M.train_mlp(train, learner.x, "label", hidden=(learner.cfg.hidden, learner.cfg.hidden // 2),
                            epochs=learner.epochs, lr=learner.cfg.lr, dropout=learner.cfg.dropout,
                            seed=learner.seed + learner.round)
@@ -89,8 +100,18 @@ def _score_mlp(learner: Learner, df: DataFrame, keep: tuple[str, ...]) -> DataFr
     return s.withColumnRenamed("mean_p", "p")
 
 
+def _fit_ensemble(learner: Learner, train: DataFrame):
+    models, _ = M.train_ensemble(train, learner.x, "label", k=learner.cfg.ensemble, hidden=(learner.cfg.hidden, learner.cfg.hidden // 2),
+                                 epochs=learner.epochs, lr=learner.cfg.lr, dropout=learner.cfg.dropout, seed=learner.seed + learner.round)
+    return models
+
+
+def _score_ensemble(learner: Learner, df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    return M.ensemble_score(df, learner.model, learner.x, keep=keep).withColumnRenamed("mean_p", "p")
+
+
 #: Scorer registry: name -> (fit, score); add an entry to use another model in every loop.
-SCORERS = {"forest": (_fit_forest, _score_forest), "mlp": (_fit_mlp, _score_mlp)}
+SCORERS = {"forest": (_fit_forest, _score_forest), "mlp": (_fit_mlp, _score_mlp), "ensemble": (_fit_ensemble, _score_ensemble)}
 
 
 def _evaluate(learner: Learner, test: DataFrame) -> dict:
@@ -98,7 +119,7 @@ def _evaluate(learner: Learner, test: DataFrame) -> dict:
     return {k: (None if r[k] is None else float(r[k])) for k in ("accuracy", "f1", "auprc", "auroc")}
 
 
-STRATEGIES = ("random", "uncertainty", "weighted", "hybrid", "badge")
+STRATEGIES = ("random", "uncertainty", "weighted", "hybrid", "badge", "ensemble")
 
 
 def acquire(strategy: str, unl: DataFrame, learner: Learner, b: int, seed: int, round_: int,
@@ -113,6 +134,10 @@ def acquire(strategy: str, unl: DataFrame, learner: Learner, b: int, seed: int,
         raise ValueError(f"unknown strategy {strategy!r}; choose from: {', '.join(STRATEGIES)}")
     if strategy == "uncertainty":
         return A.top_by_score(learner.score(unl), "entropy", b).select("row_id")
+    if strategy == "ensemble":
+        if learner.kind != "ensemble":
+            raise ValueError("the ensemble strategy ranks by the variance over models: it needs the ensemble")
+        return A.top_by_score(learner.score(unl), "var_p", b).select("row_id")
     if strategy == "badge":
         return acquire_badge(learner.score(unl, (learner.x,)).select("row_id", "entropy", learner.x), learner.x, b, seed)
     scored = learner.score(unl, ("salience",)).select("row_id", "entropy", "salience")
@@ -206,7 +231,8 @@ def run_campaign(spark: SparkSession, data: DataFrame, strategy: str = "passive"
 
     A picked row takes every pool row with the same (heavy, light, antigen) triple out of the pool.
     ``mc_dropout`` ranks by the variance over the passes and so needs the MLP. Report rows: (batch,
-    strategy, val_loss, val_acc, n_labeled, pool_left, is_best); with ``report_uri`` the report is
+    strategy, val_loss, val_acc, n_labeled, pool_left, best_epoch, is_best); a network scores and picks with the
+    checkpoint of its best epoch on the validation rows; with ``report_uri`` the report is
     written there as JSON, and the MLP of the best batch (highest val_acc, first of equals) beside it.
     """
     if strategy not in ("passive", "mc_dropout"):
@@ -223,7 +249,18 @@ def run_campaign(spark: SparkSession, data: DataFrame, strategy: str = "passive"
     ids = train.select("row_id", *keys)
     selected = _save(gather_selected(ids, A.acquire_random(ids.select("row_id"), initial, 42, 0)), spark, run, "sel-0")
     report, best = [], None
-    learner = Learner(model, train.join(selected.select("row_id"), "row_id", "left_semi"), x, cfg, 42, 0, scaler, forest_trees)
+
+    def fitted(it: int) -> Learner:
+        """Trained from scratch on all picks; a network is the one of its best epoch on the validation rows, read back."""
+        rows = train.join(selected.select("row_id"), "row_id", "left_semi")
+        learner = Learner(model, rows, x, cfg, 42, it, scaler, forest_trees, val=val if model == "mlp" else None)
+        if model == "mlp":
+            path = state_path(spark, run, f"checkpoint-{it}")
+            WR.save_weights(spark, learner.model, path)
+            learner.model = RD.load_weights(spark, path)
+        return learner
+
+    learner = fitted(0)
     for it in range(1, iterations + 1):
         left = pool_minus_selected(ids, selected)
         if left.isEmpty():
@@ -234,20 +271,20 @@ def run_campaign(spark: SparkSession, data: DataFrame, strategy: str = "passive"
             s = learner.score(train.join(left.select("row_id"), "row_id", "left_semi"))
             pick = A.top_by_score(s, "var_p", query_size).select("row_id")
         selected = _save(selected.unionByName(gather_selected(ids, pick)), spark, run, f"sel-{it}")
-        learner = Learner(model, train.join(selected.select("row_id"), "row_id", "left_semi"), x, cfg, 42, it, scaler, forest_trees)
+        learner = fitted(it)
         scored = learner.score(val, ("label",))
         logit = F.log(F.col("p") + 1e-12) - F.log(1 - F.col("p") + 1e-12)
         r = scored.agg(F.avg(S.bce_with_logits(logit, "label")).alias("val_loss"),
                        F.avg((S.decision("p") == F.col("label")).cast("double")).alias("val_acc")).first()
         report.append({"batch": it, "strategy": strategy, "val_loss": float(r["val_loss"]), "val_acc": float(r["val_acc"]),
-                       "n_labeled": selected.count(), "pool_left": pool_minus_selected(ids, selected).count()})
+                       "n_labeled": selected.count(), "pool_left": pool_minus_selected(ids, selected).count(), "best_epoch": learner.best_epoch})
         if best is None or report[-1]["val_acc"] > best[0]:
             best = (report[-1]["val_acc"], it)
             if model == "mlp" and report_uri:
                 WR.save_weights(spark, learner.model, f"{report_uri}/model")
     rows = [r | {"is_best": r["batch"] == best[1]} for r in report] if best else []
     out = spark.createDataFrame(rows, schema="batch INT, strategy STRING, val_loss DOUBLE, val_acc DOUBLE, "
-                                             "n_labeled BIGINT, pool_left BIGINT, is_best BOOLEAN")
+                                             "n_labeled BIGINT, pool_left BIGINT, best_epoch INT, is_best BOOLEAN")
     if report_uri:
         WR.write_report(out, f"{report_uri}/report")
     return out

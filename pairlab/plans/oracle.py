@@ -698,6 +698,22 @@ pl AS (SELECT text, list(v ORDER BY j) AS attn FROM pd GROUP BY text)
 SELECT text, {stats('attn', 'attn')} FROM pl"""
 
 
+@sql("lookup_tokens", "tokens")
+def _():
+    name = lambda g, l: f"concat('t', CAST(({g}) % k.nk AS VARCHAR), '_', CAST(({l}) % 11 AS VARCHAR))"
+    return f""", tp AS (
+  SELECT o_orderkey AS row_id, {name('o_orderkey * 7919', 'o_orderkey')} AS heavy_seq,
+         CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 7 = 0 THEN '' ELSE {name('o_orderkey * 31', 'o_orderkey * 3')} END AS light_seq,
+         {name('o_custkey', 'o_custkey * 7')} AS antigen_seq, CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END AS label
+  FROM orders, (SELECT CAST(floor(max(vec_id) / 40) AS BIGINT) + 2 AS nk FROM embeddings) AS k),
+m AS (SELECT text, CAST(shape[1] AS INTEGER) AS n, list_sum(data) AS s FROM tokens)
+SELECT p.row_id, p.label,
+       CASE WHEN coalesce(p.light_seq, '') = '' THEN 'empty' WHEN l.text IS NULL THEN 'missing' ELSE 'hit' END AS light_status,
+       h.n AS heavy_n, a.n AS antigen_n, CASE WHEN coalesce(p.light_seq, '') = '' THEN 0 ELSE l.n END AS light_n,
+       {r6('h.s')} AS heavy_sum, {r6("CASE WHEN coalesce(p.light_seq, '') = '' THEN 0.0 ELSE l.s END")} AS light_sum, {r6('a.s')} AS antigen_sum
+FROM tp p JOIN m h ON h.text = p.heavy_seq JOIN m a ON a.text = p.antigen_seq LEFT JOIN m l ON l.text = NULLIF(p.light_seq, '')"""
+
+
 # ---------------------------------------------------------------- encoder job
 @sql("extract_embeddings", "seqs")
 def _():
@@ -807,6 +823,15 @@ def _():
     return "SELECT row_id, true AS mean_ok, true AS var_ok, true AS entropy_ok FROM strict"
 
 
+@sql("train_best_epoch")
+def _():
+    return "SELECT CAST(e AS INTEGER) AS epoch, true AS finite, true AS reloaded_ok, 1 AS n_chosen FROM range(1, 31) AS t(e)"
+
+
+# the same bounds, over networks instead of passes
+ORACLE["train_ensemble"] = ORACLE["mc_dropout_score"]
+
+
 @sql("train_forest", "strict")
 def _():
     return """SELECT row_id, label, true AS p_ok FROM (
@@ -849,6 +874,11 @@ def _():
     return _progress("forest", "['uncertainty']", "[0]", 96, 5)
 
 
+@sql("al_loop_ensemble", "strict")
+def _():
+    return _progress("ensemble", "['ensemble']", "[0]", 96, 1)
+
+
 @sql("al_loop_exhaust", "strict")
 def _():
     return _progress("forest", "['random']", "[0]", 2000, 1_000_000)

@@ -130,3 +130,17 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.flatten(F.transform("toks", lambda t: t["embedding"])).alias("data"),
                  F.array(F.size("toks").cast("bigint"), F.col("d").cast("bigint")).alias("shape"))
         .alias("embedding"))
+
+
+def token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """TOKEN_PAIRS: labelled triples of keys of TOKENS; some keys have no matrix, the light chain is absent as in PAIRS."""
+    groups = table(spark, sf_dir, "embeddings").select((F.floor(F.max("vec_id") / 40) + 2).cast("bigint")).scalar()
+    k = F.col("o_orderkey")
+
+    def name(group: Column, label: Column) -> Column:
+        return F.concat(F.lit("t"), (group % groups).cast("string"), F.lit("_"), (label % 11).cast("string"))
+
+    return table(spark, sf_dir, "orders").select(
+        k.alias("row_id"), name(k * 7919, k).alias("heavy_seq"),
+        F.when(k % 5 == 0, F.lit(None).cast("string")).when(k % 7 == 0, F.lit("")).otherwise(name(k * 31, k * 3)).alias("light_seq"),
+        name(F.col("o_custkey"), F.col("o_custkey") * 7).alias("antigen_seq"), F.when(F.col("o_orderstatus") == "F", 1).otherwise(0).alias("label"))

@@ -238,8 +238,8 @@ def test_gradient_job_matches_finite_differences(spark):
     rows = [(i, rng.normal(size=3).tolist(), int(rng.integers(0, 2))) for i in range(60)]
     df = spark.createDataFrame(rows, "row_id long, x array<double>, label int").repartition(3)
     w = M.init_mlp([3, 4, 1], seed=0)
-    bw = spark.sparkContext.broadcast(w)
-    g, loss, n = M._grad_job(df, bw, "x", "label", "row_id", 1.5, 0.0, 0, 1, w.flat().size)
+    (g, sums), = M._pass(df, [w], "x", "label", "row_id", 1.5, 0.0, [0], 1, False, None)
+    loss, n = sums["loss"], sums["n"]
     X = np.array([r[1] for r in rows])
     Y = np.array([r[2] for r in rows], dtype=float)
 
