@@ -96,3 +96,50 @@ def extract_embeddings(df: DataFrame, seq_col: str, encoder: Callable[[], Encode
             yield pdf
 
     return df.mapInPandas(run, schema)
+
+
+#: Characters that one encoder call takes, padding counted: rows of a call times its longest sequence.
+TOKEN_BUDGET = 1 << 16
+
+
+def packs(lengths: list[int], budget: int = TOKEN_BUDGET):
+    """(first, end) of runs whose number times longest length stays in the budget; a longer sequence comes alone."""
+    lo, longest = 0, 0
+    for i, n in enumerate(lengths):
+        longest = max(longest, n)
+        if i > lo and (i + 1 - lo) * longest > budget:
+            yield lo, i
+            lo, longest = i, n
+    if lo < len(lengths):
+        yield lo, len(lengths)
+
+
+def extract_once(df: DataFrame, seq_col: str, encoder: Callable[[], Encoder], out: str = "embedding", dtype=DoubleType(),
+                 budget: int = TOKEN_BUDGET, calls=None) -> DataFrame:
+    """``extract_embeddings`` (pooled) that encodes every distinct sequence once.
+
+    The distinct sequences are sorted by length within their partitions and handed to the encoder in packs of about equal
+    lengths under a token budget, so little of a call is padding; the vectors are joined back on the sequence. NULL has no
+    vector. ``calls`` is an accumulator that counts the sequences given to the encoder (again after a lost task).
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    np_type = np.float32 if isinstance(dtype, FloatType) else np.float64
+    schema = StructType([StructField("_seq", df.schema[seq_col].dataType), StructField(out, ArrayType(dtype))])
+    distinct = df.select(F.col(seq_col).alias("_seq")).where(F.col("_seq").isNotNull()).distinct().sortWithinPartitions(F.length("_seq"), "_seq")
+
+    def run(batches):
+        enc = encoder()
+        for batch in batches:
+            seqs = batch.column(0).to_pylist()
+            for lo, hi in packs([len(s) for s in seqs], budget):
+                vecs = [np.asarray(v, np_type) for v in enc(seqs[lo:hi])]
+                if calls is not None:
+                    calls.add(hi - lo)
+                ends = np.concatenate([[0], np.cumsum([len(v) for v in vecs])]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(vecs)))],
+                                                 names=["_seq", out])
+
+    coded = distinct.mapInArrow(run, schema)
+    return df.join(coded, df[seq_col] == coded["_seq"], "left").drop("_seq")

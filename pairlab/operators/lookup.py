@@ -86,6 +86,22 @@ def lookup_coverage(pairs: DataFrame, emb: DataFrame, key: str = "seq") -> DataF
     )
 
 
+def write_lookup(pairs: DataFrame, emb: DataFrame, dim: int, path: str, key: str = "seq", vec: str = "embedding") -> DataFrame:
+    """Write the lenient lookup and return its coverage counters, observed on the rows as they were written: the pairs are
+    scanned and joined once. The counters are those of ``lookup_coverage``."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    hit = {c: F.col(f"{c}_hit") for c in CHAINS}
+    any_hit = hit["heavy"] | hit["light"] | hit["antigen"]
+    every = lookup_lenient(pairs, emb, dim, key, vec, keep_any=False).observe(
+        seen, F.count(F.lit(1)).alias("n_rows"), F.count_if(any_hit).alias("kept"), F.count_if(~any_hit).alias("skipped"),
+        *[F.count_if(hit[c]).alias(f"{c}_hits") for c in CHAINS], F.count_if(hit["heavy"] & hit["antigen"]).alias("strict_kept"))
+    every.where(any_hit).write.parquet(path)
+    got = seen.get
+    return pairs.sparkSession.createDataFrame([tuple(got.values())], ", ".join(f"{k} long" for k in got))
+
+
 def composite_key(df: DataFrame) -> DataFrame:
     """The reference's concatenated string key heavy+light+antigen (NULL light as '')."""
     return df.withColumn("pair_key", F.concat(F.coalesce("heavy_seq", F.lit("")),

@@ -20,9 +20,11 @@ BUCKETS = 256
 
 def _distinct_scores(df: DataFrame, y: str, p: str, by: list[str]) -> DataFrame:
     yy = F.col(y).cast("long")
-    # a row without a score or label is not ranked; NaN is no score
-    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull() & ~F.isnan(p))
-    return df.groupBy(*by, F.col(p).alias("_s")).agg(F.sum(yy).alias("_pos"), F.sum(1 - yy).alias("_neg"))
+    df = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())  # a row without a score or label is not ranked
+    # NaN is no score either; left out behind the sums, as a filter on the score would compute a model's score twice
+    yy = F.when(F.isnan(p), 0).otherwise(yy), F.when(F.isnan(p), 0).otherwise(1 - yy)
+    d = df.groupBy(*by, F.col(p).alias("_s")).agg(F.sum(yy[0]).alias("_pos"), F.sum(yy[1]).alias("_neg"))
+    return d.where(F.col("_pos") + F.col("_neg") > 0)
 
 
 def running_counts(df: DataFrame, y: str = "y", p: str = "p", by: list[str] | tuple = (),

@@ -102,6 +102,12 @@ def q_lookup_coverage(spark, sf_dir):
     return LK.lookup_coverage(T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
 
 
+@register("lookup_coverage_observed")
+def q_lookup_coverage_observed(spark, sf_dir):
+    """Coverage counters observed while the lenient lookup is written."""
+    return LK.write_lookup(T.pairs(spark, sf_dir), T.emb(spark, sf_dir), _dim_int(spark, sf_dir), scratch(spark, "lookup"))
+
+
 @register("broadcast_lookup")
 def q_broadcast_lookup(spark, sf_dir):
     """Antigen-only lookup (the replicated-dimension side): hits per antigen name."""
@@ -642,6 +648,13 @@ def q_extract_embeddings(spark, sf_dir):
     return finish(e.select("row_id", F.length("seq").alias("n_chars"), *vec_stats("embedding", "emb")))
 
 
+@register("extract_once")
+def q_extract_once(spark, sf_dir):
+    """The encoder job over distinct sequences, in packs of like length under a token budget."""
+    e = EN.extract_once(T.seqs(spark, sf_dir), "seq", EN.get_encoder("composition", dim=64), "embedding")
+    return finish(e.select("row_id", F.length("seq").alias("n_chars"), *vec_stats("embedding", "emb")))
+
+
 @register("extract_tokens")
 def q_extract_tokens(spark, sf_dir):
     """Per-token layout: the flat values have as many elements as the shape says."""
@@ -674,6 +687,16 @@ def q_proximity_totals(spark, sf_dir):
     return GE.proximity_totals(T.leaves(spark, sf_dir))
 
 
+@register("separability")
+def q_separability(spark, sf_dir):
+    """Raw [heavy | antigen] space against the forest's: scatter and centroid silhouette beside the share of co-leaf
+    neighbours with the same label."""
+    raw = GE.separability(strict(spark, sf_dir).select("label", F.concat("heavy_emb", "antigen_emb").alias("x")), "x")
+    leaf = GE.neighbour_label_agreement(T.leaves(spark, sf_dir), T.pairs(spark, sf_dir)).agg(
+        (F.sum("same_label") / F.sum("neighbours")).alias("leaf_agreement"))
+    return finish(raw.withColumn("leaf_agreement", leaf.scalar()))
+
+
 @register("neighbour_label_agreement")
 def q_neighbour_label_agreement(spark, sf_dir):
     return finish(GE.neighbour_label_agreement(T.leaves(spark, sf_dir), T.pairs(spark, sf_dir)))
@@ -876,6 +899,17 @@ def q_project_2d(spark, sf_dir):
                  (F.abs(F.corr("a", "b")) < 1e-6).alias("uncorrelated"), (F.var_pop("a") >= F.var_pop("b")).alias("ordered"))
 
 
+@register("project_sketch")
+def q_project_sketch(spark, sf_dir):
+    """The plane of ``project_2d`` from a randomised sketch: centred, uncorrelated axes, the first with the larger variance."""
+    data = features(spark, sf_dir)
+    path = scratch(spark, "scaled")
+    SC.standard_scale_apply(data, SC.standard_scale_fit(data, "x"), "x", "xs").select("row_id", "xs").write.parquet(path)
+    p = GE.project_sketch(spark.read.parquet(path), "xs").select(F.col("xy")[0].alias("a"), F.col("xy")[1].alias("b"))
+    return p.agg(F.count("*").alias("n"), (F.abs(F.avg("a")) < 1e-6).alias("mean_a"), (F.abs(F.avg("b")) < 1e-6).alias("mean_b"),
+                 (F.abs(F.corr("a", "b")) < 1e-6).alias("uncorrelated"), (F.var_pop("a") >= F.var_pop("b")).alias("ordered"))
+
+
 # ---------------------------------------------------------------- loops
 from pairlab.config import EngineConfig  # noqa: E402
 
@@ -933,6 +967,20 @@ def q_experiment_grid(spark, sf_dir):
     return _progress(LP.experiment_grid(spark, features(spark, sf_dir), seeds=range(5), strategies=("random", "weighted"), rounds=1))
 
 
+@register("forest_roundtrip")
+def q_forest_roundtrip(spark, sf_dir):
+    """A forest of 200 trees on the balanced seed set, saved and read back: both give every row the same probability."""
+    data = features(spark, sf_dir)
+    seed = SM.balanced_seed(data.select("row_id", "label"), EngineConfig().seed_size, 0).where("selected").select("row_id")
+    model = M.train_forest(data.join(seed, "row_id", "left_semi"), "x", num_trees=200, seed=0)
+    path = scratch(spark, "forest")
+    WR.save_forest(model, path, trees=200)
+    again, facts = RD.load_forest(spark, path)
+    first = M.forest_predict(model, data.select("row_id", "x"), "x", keep_x=True).withColumnRenamed("p", "first")
+    both = M.forest_predict(again, first.select("row_id", "x", "first"), "x")
+    return both.select("row_id", (F.col("p") == F.col("first")).alias("same"), F.lit(facts["trees"]).alias("trees"))
+
+
 @register("model_roundtrip")
 def q_model_roundtrip(spark, sf_dir):
     """Save the pair-MLP weights, reload them, score with the reloaded copy."""

@@ -1,8 +1,8 @@
 """The acquire-train-evaluate loop, the warm campaign, and experiment grids.
 
-State lives in tables, not in driver memory: the labelled set is a (row_id, round) table
-written under the session's checkpoint folder every round, so lineage stays one round
-deep and a lost executor only recomputes the current round. The driver holds only the
+State lives in tables, not in driver memory: the labelled set is a (row_id, round) table under
+the session's checkpoint folder that every round adds one partition to, so lineage stays one round
+deep, a lost executor only recomputes the current round, and a killed run goes on behind its last round. The driver holds only the
 per-round metric rows (a handful of numbers) and the model weights.
 """
 
@@ -168,40 +168,79 @@ def acquire_badge(scored: DataFrame, x: str, b: int, seed: int = 42) -> DataFram
     return A.nearest_to_center(assigned, centers, x, "cluster").select("row_id")
 
 
+class LoopState:
+    """Tables of one run: ``split``, ``scaler``, and ``labelled`` and ``metrics`` with a partition for each round.
+
+    A round is added as a partition of its own, nothing is written twice; a part counts once its writer has put ``_SUCCESS``.
+    """
+
+    def __init__(self, spark: SparkSession, run: str):
+        self.spark, self.root = spark, state_path(spark, "loops", run)
+
+    def has(self, part: str) -> bool:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{part}/_SUCCESS")
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+    def once(self, part: str, make) -> DataFrame:
+        """The table ``part``, made and written if it is not there yet (a torn one is written anew)."""
+        if not self.has(part):
+            make().write.mode("overwrite").parquet(f"{self.root}/{part}")
+        return self.spark.read.parquet(f"{self.root}/{part}")
+
+    def labelled(self, upto: int) -> DataFrame:
+        """(row_id, round) of the rows labelled up to a round; only the partitions of these rounds are listed and read."""
+        return (self.spark.read.option("basePath", f"{self.root}/labelled").schema("row_id BIGINT, round INT")
+                .parquet(*[f"{self.root}/labelled/round={r}" for r in range(upto + 1)]))
+
+
+METRIC_SCHEMA = ("model STRING, strategy STRING, seed INT, batch_size INT, round INT, n_labeled BIGINT, pool_left BIGINT, "
+                 "accuracy DOUBLE, f1 DOUBLE, auprc DOUBLE, auroc DOUBLE")
+
+
 def run_al(spark: SparkSession, data: DataFrame, strategy: str, seed: int = 0, batch: int = 96,
            rounds: int | None = None, model: str = "forest", cfg: EngineConfig = DEFAULT,
-           forest_trees: int | None = None, epochs: int | None = None, x: str = "x", min_leaf: int = 1) -> DataFrame:
+           forest_trees: int | None = None, epochs: int | None = None, x: str = "x", min_leaf: int = 1,
+           run: str | None = None) -> DataFrame:
     """Stratified split -> scaler fitted on the pool -> balanced cold start -> rounds of (train, evaluate, acquire).
 
     ``rounds=None`` runs until the pool is exhausted; otherwise at most ``rounds`` batches are acquired
-    (rounds + 1 rows), and ``pool_left`` tells how many rows were never labelled.
+    (rounds + 1 rows), and ``pool_left`` tells how many rows were never labelled. A run that is given its name (``run``)
+    again with the same arguments goes on behind its last complete round and ends with the same table.
     """
-    run = f"run-{uuid.uuid4().hex}"
-    split = _save(SM.stratified_split(data.select("row_id", "label"), "label", cfg.test_fraction, seed), spark, run, "split")
+    run = run or f"run-{uuid.uuid4().hex}"
+    state = LoopState(spark, run)
+    split = state.once("split", lambda: SM.stratified_split(data.select("row_id", "label"), "label", cfg.test_fraction, seed))
     held = split.where("is_test").select("row_id")
     pool = data.join(held, "row_id", "left_anti")
     test = data.join(held, "row_id", "left_semi")
-    scaler = _save(SC.standard_scale_fit(pool, x), spark, run, "scaler")
-    seeded = SM.balanced_seed(split.where(~F.col("is_test")).select("row_id", "label"), cfg.seed_size, seed)
-    labelled = _save(seeded.where("selected").select("row_id", F.lit(0).alias("round")), spark, run, "labelled-0")
+    scaler = state.once("scaler", lambda: SC.standard_scale_fit(pool, x))
+    state.once("labelled/round=0", lambda: SM.balanced_seed(split.where(~F.col("is_test")).select("row_id", "label"), cfg.seed_size, seed)
+               .where("selected").select("row_id"))
     total = split.where(~F.col("is_test")).count()
     rows, r = [], 0
     while True:
-        train = pool.join(labelled.select("row_id"), "row_id", "left_semi")
-        learner = Learner(model, train, x, cfg, seed, r, scaler, forest_trees, min_leaf, epochs)
-        n_lab = labelled.count()
-        rows.append({"model": model, "strategy": strategy, "seed": seed, "batch_size": batch, "round": r,
-                     "n_labeled": n_lab, "pool_left": total - n_lab, **_evaluate(learner, test)})
-        if n_lab >= total or r == rounds:
+        labelled = state.labelled(r)
+        learner = None
+
+        def learned() -> Learner:
+            train = pool.join(labelled.select("row_id"), "row_id", "left_semi")
+            return Learner(model, train, x, cfg, seed, r, scaler, forest_trees, min_leaf, epochs)
+
+        if not state.has(f"metrics/round={r}"):
+            learner = learned()
+            n_lab = labelled.count()
+            row = {"model": model, "strategy": strategy, "seed": seed, "batch_size": batch, "round": r,
+                   "n_labeled": n_lab, "pool_left": total - n_lab, **_evaluate(learner, test)}
+            state.once(f"metrics/round={r}", lambda: spark.createDataFrame([row], METRIC_SCHEMA).coalesce(1))
+        rows.append(spark.read.schema(METRIC_SCHEMA).parquet(f"{state.root}/metrics/round={r}").first())
+        if rows[-1]["n_labeled"] >= total or r == rounds:
             break
-        unl = pool.join(labelled.select("row_id"), "row_id", "left_anti")
-        pick = acquire(strategy, unl, learner, batch, seed, r, cfg, run)
-        labelled = _save(labelled.unionByName(pick.select("row_id", F.lit(r + 1).alias("round"))),
-                         spark, run, f"labelled-{r + 1}")
+        if not state.has(f"labelled/round={r + 1}"):
+            unl = pool.join(labelled.select("row_id"), "row_id", "left_anti")
+            state.once(f"labelled/round={r + 1}", lambda: acquire(strategy, unl, learner or learned(), batch, seed, r, cfg, f"{run}-{uuid.uuid4().hex}")
+                       .select("row_id"))
         r += 1
-    return spark.createDataFrame(rows, schema="model STRING, strategy STRING, seed INT, batch_size INT, "
-                                              "round INT, n_labeled BIGINT, pool_left BIGINT, accuracy DOUBLE, "
-                                              "f1 DOUBLE, auprc DOUBLE, auroc DOUBLE")
+    return spark.createDataFrame(rows, METRIC_SCHEMA)
 
 
 def experiment_grid(spark: SparkSession, data: DataFrame, seeds, strategies, models=("forest",),

@@ -928,3 +928,32 @@ WHERE h.v IS NOT NULL OR l.v IS NOT NULL OR a.v IS NOT NULL"""
 @sql("extract_tokens", "seqs")
 def _():
     return "SELECT row_id, CAST(length(seq) AS INTEGER) AS n_chars, true AS shape_ok FROM seqs"
+
+
+# the same results by another way of running
+ORACLE["extract_once"] = ORACLE["extract_embeddings"]
+ORACLE["lookup_coverage_observed"] = ORACLE["lookup_coverage"]
+ORACLE["project_sketch"] = ORACLE["project_2d"]
+
+
+@sql("forest_roundtrip", "strict")
+def _():
+    return "SELECT row_id, true AS same, 200 AS trees FROM strict"
+
+
+@sql("separability", "strict", "leaves")
+def _():
+    return f""", x AS (SELECT row_id, label, list_concat(heavy_emb, antigen_emb) AS x FROM strict),
+u AS (SELECT row_id, label, unnest(x) AS v, unnest(range(len(x))) AS j FROM x),
+cj AS (SELECT label, j, avg(v) AS m, count(*) AS n, sum(v * v) AS sq FROM u GROUP BY label, j),
+g AS (SELECT j, sum(n * m) / sum(n) AS m FROM cj GROUP BY j),
+sc AS (SELECT sum(sq - n * m * m) AS within FROM cj), bt AS (SELECT sum(cj.n * (cj.m - g.m) * (cj.m - g.m)) AS between_ FROM cj JOIN g USING (j)),
+d AS (SELECT u.row_id, u.label, cj.label AS c, sqrt(sum((u.v - cj.m) * (u.v - cj.m))) AS d FROM u JOIN cj USING (j) GROUP BY u.row_id, u.label, cj.label),
+ab AS (SELECT row_id, min(d) FILTER (WHERE label = c) AS a, min(d) FILTER (WHERE label <> c) AS b FROM d GROUP BY row_id),
+sl AS (SELECT avg((b - a) / greatest(a, b)) AS silhouette FROM ab),
+lv AS (SELECT l.row_id, l.tree, l.leaf, p.label FROM leaves l JOIN pairs p USING (row_id)),
+lc AS (SELECT tree, leaf, label, count(*) AS n FROM lv GROUP BY tree, leaf, label),
+lt AS (SELECT tree, leaf, sum(n) AS n FROM lc GROUP BY tree, leaf),
+ag AS (SELECT sum(lc.n * (lc.n - 1)) / sum(lc.n * (lt.n - 1)) AS agreement FROM lc JOIN lt USING (tree, leaf))
+SELECT (SELECT count(*) FROM x) AS n, {r6('within')} AS within, {r6('between_')} AS "between", {r6('between_ / within')} AS ratio,
+       {r6('silhouette')} AS silhouette, {r6('agreement')} AS leaf_agreement FROM sc, bt, sl, ag"""
