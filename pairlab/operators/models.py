@@ -158,6 +158,75 @@ def mc_dropout_score(df: DataFrame, weights: MlpWeights, x: str, passes: int = 2
     return df.mapInPandas(run, schema).withColumn("entropy", binary_entropy("mean_p"))
 
 
+# ---------------------------------------------------------------- frozen batch normalisation
+@dataclass
+class BatchNorm:
+    """Normalisation of one hidden layer before its ReLU: scale and shift of every unit."""
+
+    gamma: np.ndarray
+    beta: np.ndarray
+    eps: float = 1e-5
+
+
+def _unit_sums(df: DataFrame, weights: MlpWeights, layer: int, x: str, centre: np.ndarray, power: int) -> tuple[int, np.ndarray]:
+    """Rows, and for every unit of a hidden layer the sum of (value before ReLU - centre) ** power: one job, summed in the
+    tasks first, so that a task sends one row for each unit."""
+    schema = StructType([StructField("unit", LongType()), StructField("n", LongType()), StructField("s", DoubleType())])
+    bw = df.sparkSession.sparkContext.broadcast((MlpWeights(weights.layers[:layer + 1]), centre))
+
+    def run(batches):
+        import pandas as pd
+        net, c = bw.value
+        W, b = net.layers[layer]
+        n, total = 0, np.zeros(len(c))
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            h = _matrix(pdf[x])
+            for V, a in net.layers[:layer]:
+                h = np.maximum(h @ V + a, 0.0)
+            n += len(h)
+            total += ((h @ W + b - c) ** power).sum(axis=0)
+        if n:
+            yield pd.DataFrame({"unit": np.arange(len(c)), "n": n, "s": total})
+
+    rows = df.select(x).mapInPandas(run, schema).groupBy("unit").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).collect()   # one row a unit
+    bw.unpersist()
+    out = np.zeros(len(centre))
+    for r in rows:
+        out[r["unit"]] = r["s"]
+    return (rows[0]["n"] if rows else 0), out
+
+
+def batch_moments(df: DataFrame, weights: MlpWeights, x: str, layer: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and population variance of every unit of a hidden layer before its ReLU, over all rows of ``df``; dropout off.
+    The variance is summed around the mean in a second job, so large means lose no digits. No rows: means 0, variances 1."""
+    units = len(weights.layers[layer][1])
+    n, total = _unit_sums(df, weights, layer, x, np.zeros(units), 1)
+    if n == 0:
+        return np.zeros(units), np.ones(units)
+    mean = total / n
+    return mean, _unit_sums(df, weights, layer, x, mean, 2)[1] / n
+
+
+def freeze_batchnorm(df: DataFrame, weights: MlpWeights, norms: dict[int, BatchNorm], x: str) -> MlpWeights:
+    """Batch normalisation of the hidden layers in ``norms``, frozen at the moments of ``df``, folded into the dense layers.
+
+    Layers are taken in order, so the moments of a later one see the earlier ones normalised. The result is a plain network:
+    ``mlp_score``, ``mc_dropout_score`` (whose dropout stays on) and the writers take it as it is, and a row's score does not
+    depend on the rows scored with it. A unit without variance scores ``beta``, but for rounding.
+    """
+    layers = list(weights.layers)
+    for layer in sorted(norms):
+        if not 0 <= layer < len(layers) - 1:
+            raise ValueError(f"layer {layer} is not a hidden layer")
+        mean, var = batch_moments(df, MlpWeights(layers), x, layer)
+        norm, (W, b) = norms[layer], layers[layer]
+        scale = norm.gamma / np.sqrt(var + norm.eps)
+        layers[layer] = (W * scale, (b - mean) * scale + norm.beta)
+    return MlpWeights(layers)
+
+
 # ---------------------------------------------------------------- data-parallel training
 CHUNK = 4096
 

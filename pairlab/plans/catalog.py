@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
@@ -767,6 +768,32 @@ def q_mlp_forward(spark, sf_dir):
     return finish(M.mlp_score(s, M.rule_weights([2 * d, 16, 1]), "x"))
 
 
+def _frozen(spark, sf_dir):
+    """Rows (row_id, x) and the pair MLP (16, 8 hidden units by rule) with both hidden layers normalised over them."""
+    d = _dim_int(spark, sf_dir)
+    s = strict(spark, sf_dir).select("row_id", F.concat("heavy_emb", "antigen_emb").alias("x"))
+    norms = {i: M.BatchNorm(1.0 + 0.05 * np.arange(n), 0.02 * np.arange(n) - 0.1) for i, n in enumerate((16, 8))}
+    return s, M.freeze_batchnorm(s, M.rule_weights([2 * d, 16, 8, 1]), norms, "x")
+
+
+@register("frozen_batchnorm_score")
+def q_frozen_batchnorm_score(spark, sf_dir):
+    """Pair MLP with batch normalisation before both ReLUs, frozen at the moments of all rows: deterministic scores."""
+    return finish(M.mlp_score(*_frozen(spark, sf_dir), "x"))
+
+
+@register("frozen_batchnorm_mc")
+def q_frozen_batchnorm_mc(spark, sf_dir):
+    """The same network with dropout on and normalisation frozen: a row's summary over 20 passes is the same whether it
+    is scored with all rows or with the few that share its hash."""
+    s, w = _frozen(spark, sf_dir)
+    alone = s.repartition(37, "row_id")
+    a = M.mc_dropout_score(s, w, "x").select("row_id", F.col("mean_p").alias("a"), F.col("var_p").alias("v"))
+    b = M.mc_dropout_score(alone, w, "x").select("row_id", F.col("mean_p").alias("b"), F.col("var_p").alias("u"))
+    return a.join(b, "row_id").select("row_id", ((F.abs(F.col("a") - F.col("b")) < 1e-9) & (F.abs(F.col("v") - F.col("u")) < 1e-9)).alias("same"),
+                                      F.col("a").between(0, 1).alias("in_range"), F.col("v").between(0, 0.25).alias("var_in_range"))
+
+
 def features(spark, sf_dir) -> DataFrame:
     return LP.interaction_table(spark, T.pairs(spark, sf_dir), T.emb(spark, sf_dir))
 

@@ -59,3 +59,37 @@ def test_ensemble_strategy(spark):
 def test_campaign_scores_with_the_checkpoint_of_the_best_epoch(spark):
     r = LP.run_campaign(spark, _toy(spark), "mc_dropout", 20, 100, 2, model="mlp", cfg=SMALL).collect()
     assert len(r) == 2 and all(1 <= x.best_epoch <= SMALL.epochs for x in r)
+
+
+def test_frozen_batchnorm_equals_the_whole_batch_and_no_other(spark):
+    df = _toy(spark, partitions=5)
+    rows = df.collect()
+    X, ids = np.array([r.x for r in rows]), [r.row_id for r in rows]
+    w = M.init_mlp([X.shape[1], 5, 4, 1], 2)
+    norms = {0: M.BatchNorm(np.linspace(0.5, 2, 5), np.linspace(-1, 1, 5)), 1: M.BatchNorm(np.ones(4), np.zeros(4), 1e-3)}
+    h = X
+    for i, (W, b) in enumerate(w.layers[:2]):
+        z = h @ W + b
+        h = np.maximum((z - z.mean(axis=0)) / np.sqrt(z.var(axis=0) + norms[i].eps) * norms[i].gamma + norms[i].beta, 0)
+    want = dict(zip(ids, (h @ w.layers[2][0] + w.layers[2][1])[:, 0]))
+    folded = M.freeze_batchnorm(df, w, norms, "x")
+    assert folded.shapes() == w.shapes()
+    got = {r.row_id: r.logit for r in M.mlp_score(df, folded, "x").collect()}
+    assert all(abs(got[i] - want[i]) < 1e-9 for i in ids)
+    few = {r.row_id: r.logit for r in M.mlp_score(df.where("row_id < 3"), folded, "x").collect()}   # fewer rows, same scores
+    assert few and all(abs(few[i] - got[i]) < 1e-9 for i in few)
+    other = M.freeze_batchnorm(df.repartition(11), w, norms, "x")
+    assert np.allclose(other.flat(), folded.flat(), atol=1e-9)
+
+
+def test_batch_moments_of_shifted_constant_and_no_rows(spark):
+    w = M.MlpWeights([(np.eye(2), np.array([1e9, 0.0])), (np.ones((2, 1)), np.zeros(1))])
+    df = spark.createDataFrame([([float(i % 2), 7.0],) for i in range(40)], "x array<double>")
+    mean, var = M.batch_moments(df, w, "x", 0)
+    assert np.allclose(mean, [1e9 + 0.5, 7]) and np.allclose(var, [0.25, 0])   # a naive sum of squares loses the 0.25
+    mean, var = M.batch_moments(df.limit(0), w, "x", 0)
+    assert (mean == 0).all() and (var == 1).all()
+    flat = M.freeze_batchnorm(df, w, {0: M.BatchNorm(np.ones(2), np.array([0.0, 3.0]))}, "x")
+    assert np.allclose((np.array([[0.0, 7.0]]) @ flat.layers[0][0] + flat.layers[0][1])[0, 1], 3.0)
+    with pytest.raises(ValueError):
+        M.freeze_batchnorm(df, w, {1: M.BatchNorm(np.ones(1), np.zeros(1))}, "x")
