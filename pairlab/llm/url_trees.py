@@ -1,11 +1,12 @@
 """URL filters: gradient-boosted trees on lexical features, in DataFrame and SQL functions only.
 
-Rules (host, path) decide the URLs they fit; the trees decide the rest. The labelled URLs are those that the
-rules decide, or a table (url, label) that the caller gives; the trees are fitted on at most ``SAMPLE`` of them,
-chosen by hash. Features: lengths, path depth, shares of digits, hyphens and other signs, entropy of host
-and path characters, parameters, scheme, and two suffix statistics: the smoothed share of blocked URLs and the
-number of labelled URLs under the host's last label and under its last two labels. The statistics of a suffix
-come from all labelled URLs, and a labelled URL's own label is left out of its own statistics.
+Rules (host, path) decide the URLs they fit; the trees decide the rest. The labelled URLs are the small table of
+``url_labels``, both of whose labels stand under each of its domains, or a table (url, label) that the caller gives; the trees are
+fitted on at most ``SAMPLE`` of them, chosen by hash. Features: lengths, path depth, shares of digits, hyphens and
+other signs, entropy of host and path characters, parameters, scheme, and two suffix statistics: the smoothed share of
+blocked URLs and the number of labelled URLs under the host's last label and under its last two labels. For a URL that is judged
+they come from all labelled URLs; the rows the trees are fitted on get them from the other of two folds, so that no
+label takes part in its own statistics.
 
 Defined cases. Null URL, or one without ``://``: host and path are empty, no rule fits, verdict of the trees on
 empty features. Fewer than 20 labelled URLs of either label: URLs without a rule are allowed. Null or repeated
@@ -16,10 +17,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.classification import GBTClassificationModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.llm import trees
+from pairlab.llm import trees, url_labels
 from pairlab.llm.scratch import Run
 
 #: Verdict, host and path of each rule.
@@ -86,24 +88,40 @@ def lexical(urls: DataFrame) -> DataFrame:
     return out.withColumns({"tld": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
 
 
+def labelled_urls(spark: SparkSession) -> DataFrame:
+    """url, label (1: block) of the table in ``url_labels``."""
+    rows = [F.struct(F.lit(u).alias("url"), F.lit(label).alias("label")) for label, urls in enumerate((url_labels.ALLOW, url_labels.BLOCK)) for u in urls]
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*rows)))
+
+
 def suffixes(labelled: DataFrame) -> DataFrame:
-    """Labelled and blocked URLs under each suffix: kind, suffix, n, blocked."""
+    """Labelled and blocked URLs under each suffix: fold, kind, suffix, n, blocked."""
     return reduce(DataFrame.unionByName, [
-        labelled.groupBy(F.lit(k).alias("kind"), F.col(k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
+        labelled.groupBy("fold", F.lit(k).alias("kind"), F.col(k).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
         for k in ("tld", "domain")])
 
 
-def with_suffixes(rows: DataFrame, stats: DataFrame, own: Column) -> DataFrame:
-    """Adds the suffix features; ``own`` is the row's own label where it is among the labelled, else null."""
-    total = stats.filter("kind = 'tld'").agg((F.sum("blocked") / F.sum("n")).alias("overall"))
-    rows = rows.withColumn("overall", F.lit(total.first()["overall"] or 0.0))
-    mine = own.isNotNull().cast("int")
+def with_suffixes(rows: DataFrame, stats: DataFrame) -> DataFrame:
+    """Adds the suffix features from the labelled URLs that ``stats`` counts."""
+    total = stats.filter("kind = 'tld'").agg((F.sum("blocked") / F.sum("n")).alias("overall")).first()
+    overall = F.lit(total["overall"] or 0.0)
     for k in ("tld", "domain"):
-        side = stats.filter(F.col("kind") == k).select(F.col("suffix").alias(k), F.col("n").alias("_n"), F.col("blocked").alias("_b"))
+        side = stats.filter(F.col("kind") == k).groupBy(F.col("suffix").alias(k)).agg(F.sum("n").alias("_n"), F.sum("blocked").alias("_b"))
         rows = rows.join(side, k, "left")
-        n, b = F.coalesce("_n", F.lit(0)) - mine, F.coalesce("_b", F.lit(0)) - F.coalesce(own, F.lit(0))
-        rows = rows.withColumns({f"{k}_share": (b + PRIOR * F.col("overall")) / (n + PRIOR), f"{k}_n": F.log1p(n.cast("double"))}).drop("_n", "_b")
-    return rows.drop("overall")
+        n, b = F.coalesce("_n", F.lit(0)), F.coalesce("_b", F.lit(0))
+        rows = rows.withColumns({f"{k}_share": (b + PRIOR * overall) / (n + PRIOR), f"{k}_n": F.log1p(n.cast("double"))}).drop("_n", "_b")
+    return rows
+
+
+def train(labelled: DataFrame, run: Run) -> tuple[GBTClassificationModel | None, DataFrame]:
+    """The trees (None with fewer than 20 URLs of either label) and the suffix counts, from (url, label)."""
+    known = lexical(parts(labelled.select(F.col("url"), F.col("label").cast("int").alias("label"))))
+    known = run.save(known.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "url"), F.lit(2))), "known")
+    stats = run.save(suffixes(known), "suffixes")
+    sample = trees.bounded(known, SAMPLE, "url")
+    folds = [with_suffixes(sample.filter(F.col("fold") == i), stats.filter(F.col("fold") != i)) for i in (0, 1)]
+    sample = folds[0].unionByName(folds[1]).coalesce(1)   # bounded by SAMPLE: short rows, not worth more tasks
+    return trees.fit(run.save(sample, "sample"), FEATURES, depth=3), stats
 
 
 def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
@@ -111,15 +129,9 @@ def judge(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     run = Run(pages.sparkSession, "urls")
     rows = parts(pages.select("page_id", "url")).withColumn("r", rule())
     rows = run.save(lexical(rows), "rows")
-    if labelled is None:
-        known = rows.filter("r IS NOT NULL").withColumn("label", (F.col("r.verdict") == "block").cast("int"))
-    else:
-        known = lexical(parts(labelled.select(F.col("url"), F.col("label").cast("int").alias("label"))))
-    stats = run.save(suffixes(known), "suffixes")
-    sample = run.save(with_suffixes(trees.bounded(known, SAMPLE, "url"), stats, F.col("label")), "sample")
-    model = trees.fit(sample, FEATURES)
+    model, stats = train(labelled_urls(pages.sparkSession) if labelled is None else labelled, run)
     ruled = rows.filter("r IS NOT NULL").withColumn("p", F.lit(None).cast("double"))
-    rest = with_suffixes(rows.filter("r IS NULL"), stats, F.lit(None).cast("int"))
+    rest = with_suffixes(rows.filter("r IS NULL"), stats)
     rest = trees.score(model, rest, FEATURES) if model else rest.withColumn("p", F.lit(0.0))
     cols = ["page_id", "host", "path", F.col("r.rule").alias("rule"),
             F.coalesce("r.verdict", F.when(F.col("p") >= 0.5, "block").otherwise("allow")).alias("verdict"), "p"]

@@ -4,9 +4,11 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import helpers as H
 from pairlab.llm import pii, secret_scan, url_trees
+from pairlab.llm.scratch import Run
 from pairlab.llm.html_blocks import main_text
 
 ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -163,6 +165,31 @@ def test_url_trees_learn_from_labels(spark):
     assert right >= 0.95 * len(got)
 
 
+def test_url_labels_mix_both_labels_in_each_domain():
+    from pairlab.llm import url_labels
+    domains = lambda urls: {".".join(re.split("[/?#]", u.partition("://")[2])[0].split(".")[-2:]) for u in urls}
+    assert domains(url_labels.ALLOW) == domains(url_labels.BLOCK)
+    assert not set(url_labels.ALLOW) & set(url_labels.BLOCK) and len(url_labels.ALLOW) == len(url_labels.BLOCK)
+
+
+def test_url_trees_held_out(spark):
+    """The trees of three quarters of the labelled table decide the rest; several lexical features decide."""
+    table = url_trees.labelled_urls(spark).withColumn("part", F.pmod(F.xxhash64("url"), F.lit(4))).cache()
+    right = n = 0
+    for k in range(4):
+        model, stats = url_trees.train(table.filter(F.col("part") != k), Run(spark, "urls"))
+        held = url_trees.with_suffixes(url_trees.lexical(url_trees.parts(table.filter(F.col("part") == k))), stats)
+        rows = url_trees.trees.score(model, held, url_trees.FEATURES).collect()
+        n += len(rows)
+        right += sum((r["p"] >= 0.5) == (r["label"] == 1) for r in rows)
+    print(right, n)
+    assert n == table.count() and right >= 0.9 * n, (right, n)
+    model, _ = url_trees.train(table, Run(spark, "urls"))
+    weight = dict(zip(url_trees.FEATURES, model.featureImportances.toArray()))
+    assert sum(w for f, w in weight.items() if f.startswith(("tld", "domain"))) < 0.2, weight
+    assert sum(w > 0.02 for w in weight.values()) >= 5, weight
+
+
 def test_entropy(spark):
     row = spark.createDataFrame([("abab", "", "a-b-")], "x string, y string, z string")
     row = row.select(*[url_trees.entropy(row[c]) for c in ("x", "y", "z")]).first()
