@@ -3,7 +3,8 @@
 A page becomes a sequence of flat text blocks: block-level tags end a block, inline tags and <br> do not. Each
 block is described by its word count and link density, those of the block before and after, and by where it stands: inside
 an article, inside elements that hold no main text by name or by class, id or role (menus, headers, footers,
-sidebars, notices, adverts, forms, reader comments), whether it is a heading or a list item. A decision tree (CART,
+sidebars, notices, adverts, forms, reader comments; a part of a longer name such as ``entry-header`` is a feature of its
+own), whether it is a heading or a list item. A decision tree (CART,
 Gini) trained on the small labelled table of ``html_labels`` keeps or drops each block. Parsing is a per-page
 helper; Spark spreads the pages.
 
@@ -32,38 +33,42 @@ SILENT = set("script style noscript template head title iframe object svg math c
              "audio video map".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BARE = set("nav footer aside form dialog menu".split())
-HINTS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion sidebar side menu nav navbar "
-            "navigation breadcrumb breadcrumbs cookie cookies consent notice notices alert gdpr popup modal overlay newsletter subscribe "
-            "signup login share sharing social related recommended comments comment commentlist respond disqus replies reply footer foot "
-            "header masthead toolbar widget pagination pager hidden".split())
+HINTS = set("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation "
+            "breadcrumb breadcrumbs cookie cookies consent gdpr popup newsletter subscribe social comments comment commentlist "
+            "respond disqus pagination pager".split())
+#: Name parts that hold no main text as a whole name only: "header", but not "entry-header".
+LOOSE = set("banner side notice notices alert modal overlay signup login share sharing related recommended replies reply footer "
+            "foot header masthead toolbar widget hidden".split())
+#: Tags of a single block of text: a name says little there inside an article.
+TEXT = set("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 ARTICLES = set("article main".split())
 HEADINGS = {f"h{i}" for i in range(1, 7)}
-FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "bare", "article", "heading", "item", "page_article"]
-DEPTH, LEAF = 6, 5
+FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "bare", "article", "heading", "item", "page_article", "weak"]
+DEPTH, LEAF = 9, 5
 _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*$")
 
 
 class Blocks(HTMLParser):
-    """Collects (text, words, linked words, bare, article, heading, item, marked) of every block."""
+    """Collects (text, words, linked words, bare, article, heading, item, marked, weak) of every block."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple] = []
-        self.open: list[tuple[str, bool, bool, bool, bool]] = []  # tag, silent, bare, article, marked
+        self.open: list[tuple[str, bool, bool, bool, bool, bool]] = []  # tag, silent, bare, article, marked, weak
         self.parts: list[str] = []
         self.linked = 0
         self.anchors = 0
 
-    def _state(self) -> tuple[bool, bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False, False)
+    def _state(self) -> tuple[bool, bool, bool, bool, bool]:
+        return self.open[-1][1:] if self.open else (False, False, False, False, False)
 
     def flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            _, bare, article, marked = self._state()
+            _, bare, article, marked, weak = self._state()
             tags = {t[0] for t in self.open}
-            self.blocks.append((text, len(text.split()), self.linked, bare, article, bool(tags & HEADINGS), "li" in tags, marked))
+            self.blocks.append((text, len(text.split()), self.linked, bare, article, bool(tags & HEADINGS), "li" in tags, marked, weak))
         self.parts, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
@@ -75,15 +80,22 @@ class Blocks(HTMLParser):
             self.parts.append(" ")
         if tag in VOID:
             return
-        silent, bare, article, marked = self._state()
+        silent, bare, article, marked, weak = self._state()
         named = dict(attrs)
-        names = set(re.split(r"[\s_-]+", f"{named.get('class') or ''} {named.get('id') or ''}".lower()))
+        names = f"{named.get('class') or ''} {named.get('id') or ''}".lower().split()
+        parts = {x for n in names for x in re.split("[_-]+", n)}
+        hinted = bool(parts & HINTS) or bool(set(names) & LOOSE)
+        loose = bool(parts & LOOSE)
+        if tag in ARTICLES or tag in ("body", "html"):
+            hinted = loose = False
+        elif article and tag in TEXT:
+            hinted, loose = False, hinted or loose
         header = tag == "header" and not article
         self.anchors += tag == "a"
         self.open.append((tag, silent or tag in SILENT,
-                          bare or header or tag in BARE or (tag not in ARTICLES and tag not in ("body", "html") and bool(names & HINTS))
+                          bare or header or hinted or tag in BARE
                           or (named.get("role") or "").lower() in ROLES or "hidden" in named or named.get("aria-hidden") == "true",
-                          article or tag in ARTICLES or named.get("role") in ("main", "article"), marked or "data-main" in named))
+                          article or tag in ARTICLES or named.get("role") in ("main", "article"), marked or "data-main" in named, weak or loose))
 
     def _end_open(self, tag: str) -> None:
         """An element of these kinds ends an open one of the same kind in the same container."""
@@ -142,6 +154,7 @@ def features(found: list[tuple]) -> np.ndarray:
     out[:, 6:10] = flags
     # whether the page has an article outside the bare elements at all
     out[:, 10] = (flags[:, 1] * (1 - flags[:, 0])).max(initial=0)
+    out[:, 11] = [b[8] for b in found]
     return out
 
 

@@ -1,7 +1,8 @@
-"""A small labelled table for the block classifier: pages whose blocks are marked by hand.
+"""A small labelled table for the block classifier: pages of the usual layouts, filled by rule.
 
-Every element with ``data-main`` holds main text; all other text is boilerplate. The pages show the
-usual layouts: with and without <article>, with hints in class names only, and with neither.
+Every element with ``data-main`` holds main text; all other text is boilerplate. The layouts are written by hand, sizes and
+words come from a seeded generator: with and without <article>, with hints in class names only, with neither, where
+word counts and link density of a block and its neighbours must decide, and with names such as ``entry-header`` inside an article.
 """
 
 import random
@@ -45,7 +46,30 @@ def pages() -> list[str]:
         teaser = f"<div><h3>{_text(1 + k % 10, k)}</h3><p>{_text(size(), k)}</p></div><p>{_text(1, k)}</p>"
         crumbs = f'<div><a href="/">{_text(1, k)}</a> <a href="/b">{_text(2, k)}</a></div>'
         head = f"<header><p>{_text(3, k)}</p><ul>{_links(3)}</ul></header>"
+        # short paragraphs and titles between long paragraphs, without article or telling names
+        long = lambda: 25 + draw.randrange(draw.choice((20, 60, 150)))
+        short = lambda: 1 + draw.randrange(12)
+        mixed = _main([n for _ in range(1 + k % 4) for n in (long(), short(), long())], k)
+        last = _main([short()], k + 5)
+        title = f"<h1 data-main>{_text(1 + k % 12, k)}</h1>"
+        under = f"<h2 data-main>{_text(1 + k % 6, k + 2)}</h2>"
+        bits = "".join(f"<div><h4>{_text(1 + (k + i) % 6, i)}</h4><p>{_text(1 + (k + 2 * i) % 9, i)}</p></div>" for i in range(3))
+        legal = f"<p>{_text(1 + k % 8, k)} <a href='/t'>{_text(1 + k % 3)}</a> <a href='/p'>{_text(2)}</a></p>"
+        entry = f"<div class='entry-header'><h1 data-main>{_text(1 + k % 9, k)}</h1><p data-main>{_text(short(), k)}</p></div>"
+        price = f"<p class='share-price' data-main>{_text(size(), k)}</p><p id='side-effects' data-main>{_text(size(), k + 3)}</p>"
+        related = f"<div class='{('related-posts', 'share-buttons')[k % 2]}'><ul>{_links(2 + k % 5, k)}</ul></div>"
+        anchors = f"<h1 data-main><a href='/x'>{_text(1 + k % 9, k)}</a></h1>"
+        sources = f"<p data-main><a href='/x'>{_text(short(), k)}</a> {_text(short(), k)}</p><ul data-main>{_links(1 + k % 6, k)}</ul>"
+        site = f"<div class='site-header'><p>{_text(1 + k % 7, k)}</p></div>"
         out += [
+            f"<html><body><ul>{_links(4 + k % 5, k)}</ul><div>{title}{_main([long()], k)}{mixed}{last}</div>{legal}</body></html>",
+            f"<html><body>{crumbs}<ul>{_links(5, k)}</ul><div>{_main([long()], k)}{under}{_main([long()], k + 1)}</div>{bits}{legal}</body></html>",
+            f"<html><body>{site}<ul>{_links(3 + k % 4, k)}</ul><div>{title}{mixed}{under}{mixed}{last}</div><ul>{_links(6, k)}</ul>{bits}</body></html>",
+            f"<html><body>{site}{nav}<article>{entry}{_main(sizes, k)}{price}{related}</article>{bits}{foot}</body></html>",
+            f"<html><body>{nav}<article>{anchors}{_main(sizes, k)}{sources}{related}</article>{bits}{legal}</body></html>",
+            f"<html><body>{title}{mixed}{under}{mixed}{last}</body></html>",
+            f"<html><body>{menu}<main>{anchors}{sources}{_main(sizes, k)}{related}{sources}</main><ul>{_links(3, k)}</ul></body></html>",
+            f"<html><body>{menu}<article>{title}{price}{_main(sizes, k)}{under}{related}{_main([size()], k)}</article>{site}{legal}</body></html>",
             f"<html><body>{nav}{ad}<article>{h1}{_main(sizes, k)}</article>{foot}</body></html>",
             f"<html><body>{crumbs}<article>{h1}{_main(sizes, k)}</article>{teaser}<ul>{_links(6, k)}</ul></body></html>",
             f"<html><body>{teaser}<main>{h1}{subhead}{_main(sizes, k)}{quote}</main>{crumbs}</body></html>",

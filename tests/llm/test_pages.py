@@ -37,6 +37,35 @@ def test_held_out_labelled_pages():
     assert wrong <= 0.01 * sum(len(y[i]) for i in held)
 
 
+NAV = "<ul><li><a href='/'>Home</a></li><li><a href='/news'>Latest news</a></li><li><a href='/about'>About us</a></li></ul>"
+LONG = ("The harbour was built in the last century when fishing boats still came in every morning and the market sold its catch before "
+        "noon, and many of the old sheds are now used by painters and small shops.")
+
+
+def test_pages_written_by_hand():
+    """Layouts that are not among the labelled ones: names inside an article, short paragraphs, no article at all."""
+    keep = html_blocks.main_text
+    page = f"<body><nav>{NAV}</nav><article><div class='entry-header'><h1>Old harbour</h1></div><p>{LONG}</p></article><footer>All rights reserved</footer></body>"
+    assert keep(page) == f"Old harbour\n\n{LONG}"
+    page = f"<body><main><h1>Markets</h1><p>{LONG}</p><p class='share-price'>Shares rose by two.</p><p>{LONG}</p><div class='ad'>Buy now</div></main></body>"
+    assert keep(page) == f"Markets\n\n{LONG}\n\nShares rose by two.\n\n{LONG}"
+    page = f"<body>{NAV}<div><h1>Old harbour</h1><p>{LONG}</p><p>It rained all day.</p><p>{LONG}</p><p>So it goes.</p></div><p>Terms <a href='/t'>and conditions</a> <a href='/p'>privacy</a></p></body>"
+    assert keep(page) == f"Old harbour\n\n{LONG}\n\nIt rained all day.\n\n{LONG}\n\nSo it goes."
+    page = f"<body>{NAV}<article><h1><a href='/a'>Old harbour</a></h1><p>{LONG}</p><p>See <a href='/b'>the new harbour</a></p><ul><li><a href='/c'>All harbours</a></li></ul></article></body>"
+    assert keep(page) == f"Old harbour\n\n{LONG}\n\nSee the new harbour\n\nAll harbours"
+    page = f"<body><article><p>{LONG}</p><p>{LONG}</p><div class='related-posts'>{NAV}</div><section class='comments'><p>{LONG}</p></section></article></body>"
+    assert keep(page) == f"{LONG}\n\n{LONG}"
+
+
+def used(tree):
+    return set() if len(tree) == 1 else {html_blocks.FEATURES[tree[0]]} | used(tree[2]) | used(tree[3])
+
+
+def test_the_tree_reads_counts_of_the_block_and_its_neighbours():
+    counts = {"words", "links", "words_before", "links_before", "words_after", "links_after"}
+    assert len(used(html_blocks.trained()) & counts) >= 4
+
+
 def test_defined_cases(spark):
     rows = [(1, None, None, "n"), (None, "u", "", "n"), (2, "u", "<p>", "n"), (3, "v", "<article><p>Hello there.</p></article>", "n"),
             (3, "v", "<article><p>Hello there.</p></article>", "n"), (4, "w", "<article>" + "<p>word word.</p>" * 20_000 + "</article>", "n")]
