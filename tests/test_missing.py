@@ -88,6 +88,15 @@ def test_forest_comes_back_from_disk(spark, tmp_path):
     assert a == b
 
 
+def test_forest_predicts_in_a_session_that_has_observed(spark):
+    from pyspark.sql import Observation
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    model = M.train_forest(_toy(spark), "x", num_trees=2)
+    assert M.forest_predict(model, _toy(spark), "x").count() == len(M.forest_predict(model, _toy(spark), "x").collect()) == 400
+
+
 def test_stopped_loop_goes_on_behind_its_last_round(spark, monkeypatch):
     data = _toy(spark)
     whole = LP.run_al(spark, data, "hybrid", batch=40, rounds=2, forest_trees=3, run="whole").collect()
