@@ -81,6 +81,37 @@ def test_lookup_strategy_does_not_change_the_result(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
+def test_rows_without_a_light_chain_and_hot_antigens_are_spread(spark):
+    """Shuffled lookups: no task gets most of the rows, and a hot antigen's partition is one that adaptive skew handling may split."""
+    from pairlab.operators.joins import lookup_join
+    pairs = spark.range(20_000).select(F.col("id").alias("row_id"), F.concat(F.lit("k"), (F.col("id") % 3).cast("string")).alias("heavy_seq"), F.lit(None).cast("string").alias("light_seq"))
+    emb = _emb(spark)
+    confs = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in confs}
+    try:
+        for k, v in confs.items():
+            spark.conf.set(k, v)
+        side = LK._side(LK.one_per_key(emb, "seq", "embedding"), "light", "seq", "embedding")
+        got = lookup_join(pairs, side, "light_seq", "_light_k", "left")
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 10_000 and got.where("light_emb IS NULL").count() == 20_000
+        side = LK._side(LK.one_per_key(emb, "seq", "embedding"), "heavy", "seq", "embedding")
+        plan = lookup_join(pairs, side, "heavy_seq", "_heavy_k", "inner")._jdf.queryExecution().executedPlan().toString().splitlines()
+        sorts = [i for i, line in enumerate(plan) if "Sort [" in line and "_name" in line]
+        assert len(sorts) == 2 and all("Exchange" in plan[i + 1] for i in sorts)
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_lookup_widens_stored_floats_behind_the_joins(spark):
+    emb = _emb(spark).withColumn("embedding", F.col("embedding").cast("array<float>"))
+    strict = LK.lookup_strict(_pairs(spark), emb)
+    assert dict(strict.dtypes)["heavy_emb"] == "array<double>" and sorted(map(str, strict.collect())) == sorted(map(str, LK.lookup_strict(_pairs(spark), _emb(spark)).collect()))
+    lenient = LK.lookup_lenient(_pairs(spark), emb, 2)
+    assert dict(lenient.dtypes)["h"] == "array<double>" and sorted(map(str, lenient.collect())) == sorted(map(str, LK.lookup_lenient(_pairs(spark), _emb(spark), 2).collect()))
+
+
 def test_duplicate_sequences_do_not_fan_out(spark):
     emb = spark.createDataFrame([("H", [1.0, 0.0], "f1", 0), ("H", [2.0, 0.0], "f1", 7), ("H", [9.0, 9.0], "f0", 9), ("G", [0.0, 1.0], "f1", 1)],
                                 "seq string, embedding array<double>, _file string, _pos long")
