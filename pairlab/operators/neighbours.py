@@ -40,6 +40,8 @@ CELL = 2_000
 MAX_CENTRES = 4_096
 TRIAL = 256
 QUERY_BLOCK = 4_096
+#: Cosines that a task of ``knn_exact`` holds at once, about.
+SCORES = 1 << 20
 DIGITS = 12
 
 
@@ -78,10 +80,26 @@ def _top(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.nd
     return row[keep], col[keep]
 
 
+def _search(ids: np.ndarray, q: np.ndarray, batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, neighbour, cosine) of the k best rows of each batch for every query, about ``SCORES`` cosines at a time."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mine, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
+        step = max(1, SCORES // len(mine))
+        for lo in range(0, len(ids), step):
+            who = ids[lo:lo + step]
+            scores = np.round(q[lo:lo + step] @ x.T, DIGITS)
+            scores[who[:, None] == mine[None, :]] = -np.inf
+            row, col = _top(scores, mine, k)
+            yield pa.RecordBatch.from_arrays([pa.array(who[row]), pa.array(mine[col]), pa.array(scores[row, col])], names=["id", "neighbour", "cosine"])
+
+
 def knn_exact(queries: DataFrame, base: DataFrame, vec: str, k: int = 30, id_col: str = "row_id") -> DataFrame:
     """(id, rank, neighbour, cosine) of the k rows of ``base`` nearest to every row of ``queries``, itself left out.
 
-    Queries go out in blocks of ``QUERY_BLOCK`` rows; every block scans ``base`` once.
+    Queries go out in blocks of ``QUERY_BLOCK`` rows; every block scans ``base`` once. A task compares as many of them with a batch
+    at once as make about ``SCORES`` cosines.
     """
     spark = base.sparkSession
     path = state_path(spark, "knn", f"queries-{np.random.default_rng().integers(1 << 62):x}")
@@ -94,15 +112,7 @@ def knn_exact(queries: DataFrame, base: DataFrame, vec: str, k: int = 30, id_col
         shared = spark.sparkContext.broadcast((rows.column("id").to_numpy(), _matrix(rows.column("unit").combine_chunks())))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                mine, x = batch.column(0).to_numpy(), _matrix(batch.column(1))
-                scores = np.round(q @ x.T, DIGITS)
-                scores[ids[:, None] == mine[None, :]] = -np.inf
-                row, col = _top(scores, mine, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(mine[col]), pa.array(scores[row, col])], names=["id", "neighbour", "cosine"])
+            return _search(*shared.value, batches, k)
 
         part = stored.mapInArrow(search, "id long, neighbour long, cosine double")
         out = part if out is None else out.unionByName(part)

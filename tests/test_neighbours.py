@@ -95,3 +95,16 @@ def test_plan_has_no_cross_join(spark, points):
         plan = t._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "WindowGroupLimit" in N.knn_exact(df, df, "v", 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_exact_search_holds_few_cosines_at_once(monkeypatch):
+    import pyarrow as pa
+    rng, sizes, real = np.random.default_rng(5), [], N._top
+    q, x = rng.normal(size=(2_000, 4)), rng.normal(size=(3_000, 4))
+    monkeypatch.setattr(N, "_top", lambda scores, ids, k: (sizes.append(scores.size), real(scores, ids, k))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(3_000)), pa.array(list(x))], names=["id", "unit"])
+    got = pa.Table.from_batches(list(N._search(np.arange(2_000), q, iter([batch]), 3)))
+    assert max(sizes) <= N.SCORES < 2_000 * 3_000
+    s = np.round(q @ x.T, N.DIGITS)
+    s[np.arange(2_000), np.arange(2_000)] = -np.inf
+    assert np.array_equal(got["neighbour"].to_numpy().reshape(2_000, 3), np.argsort(-s, axis=1, kind="stable")[:, :3])
