@@ -354,3 +354,66 @@ def test_queries_train_at_the_studies_sizes(monkeypatch):
     assert caught(catalog.LP, "run_campaign", "al_campaign").get("forest_trees") in (None, 200)
     assert caught(catalog.LP, "experiment_grid", "experiment_grid").get("forest_trees") in (None, 200)
     assert caught(catalog.M, "train_mlp", "mc_dropout_score")["epochs"] == 30
+
+
+def test_division_by_cuts_is_the_join_with_the_test_ids_and_shuffles_no_wide_row(spark):
+    rows = [(None if i == 7 else i % 190, i % 2 if i < 190 else 1 - i % 2 if i < 195 else i % 2, [float(i)] * 4) for i in range(300)]
+    for table in (rows[:190], rows[:190] * 2, rows):  # unique ids, repeated rows, ids with two labels
+        data = spark.createDataFrame(table, "row_id long, label int, x array<double>")
+        for split, by, first in ((SM.stratified_split(data.select("row_id", "label"), "label", 0.2, 3), ["label"], True),
+                                 (SM.shuffle_split(data.select("row_id"), 0.2, 3), [], False)):
+            split = spark.createDataFrame(split.collect(), split.schema)
+            rest, test = SM.divide(data, split, 3, by, first)
+            held = split.where("is_test").select("row_id")
+            assert sorted(map(str, rest.collect())) == sorted(map(str, data.join(held, "row_id", "left_anti").collect()))
+            assert sorted(map(str, test.collect())) == sorted(map(str, data.join(held, "row_id", "left_semi").collect()))
+            if table is not rows:
+                assert "hashpartitioning" not in rest._jdf.queryExecution().executedPlan().toString()
+
+
+def test_loop_writes_its_training_rows_and_scans_the_pool_once_a_fit(spark, tmp_path, monkeypatch):
+    from pairlab.plans import loop as LP
+    seen = []
+    real = M.train_mlp
+
+    def fit(train, *a, **k):
+        seen.append(train.inputFiles())
+        return real(train, *a, **k)
+
+    monkeypatch.setattr(M, "train_mlp", fit)
+    LP.run_al(spark, _toy(spark), "uncertainty", batch=20, rounds=1, model="mlp", cfg=EngineConfig(hidden=8, epochs=2, mc_passes=2))
+    assert len(seen) == 2 and all(files and all("/train/" in f for f in files) for files in seen)
+
+
+def test_scaling_runs_its_fit_once(spark):
+    from pairlab.operators import scaling as SC
+    data = _toy(spark)
+    out = SC.standard_scale_apply(data, SC.standard_scale_fit(data, "x"), "x")
+    assert out._jdf.queryExecution().analyzed().toString().count("scalar-subquery") == 1
+    x = np.array([r.x for r in data.collect()])
+    got = np.array([r.x_scaled for r in out.collect()])
+    assert np.allclose(np.sort(got, axis=0), np.sort((x - x.mean(0)) / x.std(0), axis=0))
+
+
+def test_frozen_rows_are_looked_up_once(spark):
+    from conftest import SF_SMALL
+    from pairlab.plans import catalog
+    rows, _ = catalog._frozen(spark, SF_SMALL)
+    assert "Join" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_uncertain_rows_are_chosen_before_wide_rows_are_joined(spark):
+    from pairlab.plans import catalog
+    rng = np.random.default_rng(8)
+    rows = [(None if i == 5 else i // 2, [1.0, float(c)]) for i, c in enumerate(rng.uniform(-1, 1, 300))]
+    data = spark.createDataFrame(rows, "row_id long, x array<double>")
+    c = data.select("row_id", S.binary_entropy((F.lit(1.0) + F.element_at("x", -1)) / 2.0).alias("entropy"))
+    want = A.top_by_score(data.join(c, "row_id"), "entropy", 40).select("entropy").collect()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = catalog._scored(data, 40)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert A.top_by_score(got, "entropy", 40).select("entropy").collect() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
