@@ -4,8 +4,9 @@ Generators with high recall propose spans, which may overlap: the base matches o
 size inside longer runs, national and international phone shapes, dotted quads inside longer ones, and spelled-out
 mail addresses. Boosted trees see the format (length, digits, groups, separators, checksum, octets) and the
 context (neighbouring characters, cue words before) of each candidate. They learn from candidates whose kind a
-validator can decide, a sample of at most ``SAMPLE`` rows chosen by hash; a second part of the sample
-calibrates a threshold for each kind: the least probability from which on the share of valid candidates is ``PRECISION``.
+validator can decide, from all of three quarters of the texts, chosen by hash; all candidates of the others
+calibrate a threshold for each kind: the least probability from which on the share of valid candidates is ``PRECISION``.
+Candidates alike in features and label are one row that weighs as much as there are.
 Base spans always stay; a further candidate is selected if its probability reaches its kind's threshold and it
 overlaps no base span and no better candidate.
 
@@ -48,7 +49,6 @@ CUES = {"cue_phone": "tel|phone|call|mobil|fax|handy|appel", "cue_card": "card|v
         "cue_mail": "mail|contact|kontakt|write|correo", "cue_ip": r"\bip\b|host|server|addr|ping"}
 FEATURES = ["kind", "length", "digits", "groups", "longest", "spaces", "dots", "hyphens", "brackets", "plus", "letters", "luhn",
             "octets", "before_word", "after_word", "before_sign", "after_sign", *CUES]
-SAMPLE = 30_000
 PRECISION = 0.98
 NEAR = 24
 KEYS = ["doc_id", "_text_hash"]
@@ -144,8 +144,8 @@ def _label() -> Column:
 
 
 def thresholds(scored: DataFrame) -> dict[int, float]:
-    """For each kind the least hundredth of p from which on the share of label 1 is PRECISION or more."""
-    bins = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()
+    """For each kind the least hundredth of p from which on the share of label 1 is PRECISION or more, over rows that stand ``times`` each."""
+    bins = scored.groupBy("kind", F.floor(F.col("p") * 100).alias("bin")).agg(F.sum("times").alias("n"), F.sum(F.col("label") * F.col("times")).alias("good")).collect()
     out = {}
     for k in range(len(KINDS)):
         n = good = 0
@@ -175,12 +175,12 @@ def detect(docs: DataFrame) -> DataFrame:
     rows = run.save(described(found), "described")
     out = found.select(*KEYS, reduce(F.concat, [base_spans(k) for k in range(len(KINDS))]).alias("base"))
     none = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    sample = trees.bounded(rows, SAMPLE, *KEYS, "start", "end")
     part = F.pmod(F.xxhash64(F.lit("fold"), *KEYS), F.lit(4))
-    model = trees.fit(sample.filter(part > 0), FEATURES)
+    alike = run.save(rows.groupBy(*FEATURES, "label", (part == 0).alias("calibrates")).agg(F.count("*").alias("times")), "alike")
+    model = trees.fit(alike.filter("NOT calibrates"), FEATURES, times="times")
     if model is None:
         return out.select("doc_id", "base", none.alias("more"))
-    limits = thresholds(trees.score(model, sample.filter(part == 0), FEATURES))
+    limits = thresholds(trees.score(model, alike.filter("calibrates"), FEATURES))
     limit = reduce(lambda a, k: F.when(F.col("kind") == k, limits[k]).otherwise(a), limits, F.lit(2.0))
     picked = trees.score(model, rows.filter("NOT own AND NOT hit"), FEATURES).filter(F.col("p") >= limit)
     # chains of overlapping candidates

@@ -1,4 +1,4 @@
-"""Gradient-boosted trees on a bounded labelled sample, fitted by Spark and applied as a DataFrame."""
+"""Gradient-boosted trees on labelled rows, fitted by Spark and applied as a DataFrame."""
 
 from __future__ import annotations
 
@@ -23,13 +23,13 @@ def assembled(rows: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=features, outputCol="_features").transform(rows)
 
 
-def fit(sample: DataFrame, features: list[str], rounds: int = 20, depth: int = 4) -> GBTClassificationModel | None:
-    """A model, or None where the sample has fewer than 20 rows of either label."""
-    n = {r[LABEL]: r["n"] for r in sample.groupBy(LABEL).agg(F.count("*").alias("n")).collect()}
+def fit(sample: DataFrame, features: list[str], rounds: int = 20, depth: int = 4, times: str | None = None) -> GBTClassificationModel | None:
+    """A model, or None where the sample has fewer than 20 rows of either label. ``times`` says how often each row stands."""
+    n = {r[LABEL]: r["n"] for r in sample.groupBy(LABEL).agg((F.sum(times) if times else F.count("*")).alias("n")).collect()}
     if min(n.get(0, 0), n.get(1, 0)) < 20:
         return None
     gbt = GBTClassifier(featuresCol="_features", labelCol=LABEL, maxIter=rounds, maxDepth=depth, maxBins=32,
-                        stepSize=0.2, seed=7, checkpointInterval=-1, cacheNodeIds=False)
+                        stepSize=0.2, seed=7, checkpointInterval=-1, cacheNodeIds=False, weightCol=times)
     return gbt.fit(assembled(sample.withColumn(LABEL, F.col(LABEL).cast("double")), features))
 
 

@@ -220,3 +220,31 @@ def test_very_many_matches(spark):
     assert got[1]["n_email"] == 1
     text = " ".join(f"{i:032x}" for i in range(n))
     assert secret_scan.report(secret_scan.scan(frame(spark, [text]))).first()["base_sha256"] == H.sha(H.joined(secrets(text)))
+
+
+def test_pii_trees_and_thresholds_see_every_candidate(spark, monkeypatch):
+    """33,000 candidates: all of them are learned from or calibrate, alike ones as one row that weighs as much."""
+    seen = {}
+    fit, thresholds = pii.trees.fit, pii.thresholds
+
+    def fitted(sample, *a, **k):
+        seen["learned"] = sample.agg({"times": "sum"}).first()[0]
+        return fit(sample, *a, **k)
+
+    def calibrated(scored):
+        seen["calibrated"] = scored.agg({"times": "sum"}).first()[0]
+        return thresholds(scored)
+
+    monkeypatch.setattr(pii.trees, "fit", fitted)
+    monkeypatch.setattr(pii, "thresholds", calibrated)
+    texts = [" ".join(f"call +49 30 {i:06d}{j:02d}" if j % 2 else f"a{i}x{j}@mail.example.org" if j % 4 else f"9.{i % 400}.{j}.{300 + j}" for j in range(11)) for i in range(3_000)]
+    docs = frame(spark, texts)
+    total = pii.described(pii.find(docs)).count()
+    pii.detect(docs)
+    assert total >= 33_000 and seen["learned"] + seen["calibrated"] == total and seen["calibrated"] > 0
+
+
+def test_pii_thresholds_weigh_by_how_often_a_row_stands(spark):
+    rows = [(1, 0.905, 1, 98), (1, 0.905, 0, 2), (1, 0.805, 0, 1), (0, 0.5, 1, 1)]
+    got = pii.thresholds(spark.createDataFrame(rows, "kind int, p double, label int, times long"))
+    assert got == {0: 0.5, 1: 0.9}
