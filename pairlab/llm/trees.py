@@ -29,7 +29,9 @@ def fit(sample: DataFrame, features: list[str], rounds: int = 20, depth: int = 4
     if min(n.get(0, 0), n.get(1, 0)) < 20:
         return None
     gbt = GBTClassifier(featuresCol="_features", labelCol=LABEL, maxIter=rounds, maxDepth=depth, maxBins=32,
-                        stepSize=0.2, seed=7, checkpointInterval=-1, cacheNodeIds=False, weightCol=times)
+                        stepSize=0.2, seed=7, checkpointInterval=-1, cacheNodeIds=False)
+    if times:   # weightCol=None would set the column to null
+        gbt.setWeightCol(times)
     return gbt.fit(assembled(sample.withColumn(LABEL, F.col(LABEL).cast("double")), features))
 
 

@@ -248,3 +248,9 @@ def test_pii_thresholds_weigh_by_how_often_a_row_stands(spark):
     rows = [(1, 0.905, 1, 98), (1, 0.905, 0, 2), (1, 0.805, 0, 1), (0, 0.5, 1, 1)]
     got = pii.thresholds(spark.createDataFrame(rows, "kind int, p double, label int, times long"))
     assert got == {0: 0.5, 1: 0.9}
+
+
+def test_trees_fit_without_weights(spark):
+    rows = spark.range(200).select(F.col("id").cast("double").alias("a"), (F.col("id") >= 100).cast("int").alias("label"))
+    model = url_trees.trees.fit(rows, ["a"], rounds=2, depth=2)
+    assert all((r["p"] >= 0.5) == (r["a"] >= 100) for r in url_trees.trees.score(model, rows, ["a"]).collect())
