@@ -93,3 +93,22 @@ def test_batch_moments_of_shifted_constant_and_no_rows(spark):
     assert np.allclose((np.array([[0.0, 7.0]]) @ flat.layers[0][0] + flat.layers[0][1])[0, 1], 3.0)
     with pytest.raises(ValueError):
         M.freeze_batchnorm(df, w, {1: M.BatchNorm(np.ones(1), np.zeros(1))}, "x")
+
+
+def test_blocks_reuse_their_arrays_and_masks_keep_their_draws():
+    rng = np.random.default_rng(5)
+    w, x, y, ids = M.init_mlp([7, 300, 5, 1], 2), rng.normal(size=(2 * M.BLOCK, 7)), rng.integers(0, 2, 2 * M.BLOCK) * 1.0, rng.integers(-9, 1 << 40, 2 * M.BLOCK)
+    args = (np.ones(len(x)), 1.5, 0.3, 4, 2)
+    whole, loss = M._gradient(w, x, y, ids, *args)
+    room, total, losses = {}, 0.0, 0.0
+    for part in M._blocks(len(x)):
+        g, one = M._gradient(w, x[part], y[part], ids[part], args[0][part], *args[1:], room)
+        held, total, losses = dict(room), total + g, losses + one
+    assert np.allclose(total, whole) and losses == pytest.approx(loss)
+    M._gradient(w, x[:9], y[:9], ids[:9], args[0][:9], *args[1:], room)
+    assert all(room[k] is held[k] for k in held) and set(held) == set(room)
+    with np.errstate(over="ignore"):
+        key = np.uint64(4 * 1_000_003 + 2 * 7_919)
+        h = M._mix(M._mix((ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15)) ^ key) + np.arange(300, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
+    plain = (h >> np.uint64(11)).astype(np.float64) / float(1 << 53) >= 0.3
+    assert (M.keep_mask(ids, 300, 4, 2, 0, 0.3) == plain).all()
