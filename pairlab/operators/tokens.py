@@ -13,8 +13,8 @@ from pairlab.functions import vectors as V
 
 
 def decode_tokens(df: DataFrame, dim: int | None = None, data: str = "data", shape: str = "shape",
-                  out: str = "tokens") -> DataFrame:
-    """Flat floats -> L x D. D comes from ``shape[1]`` when present, else ``dim``.
+                  out: str = "tokens", wide: bool = True) -> DataFrame:
+    """Flat floats -> L x D. D comes from ``shape[1]`` when present, else ``dim``. Without ``wide`` floats stay floats.
 
     A length that is not a multiple of D fails the task (as a reshape would).
     """
@@ -25,7 +25,8 @@ def decode_tokens(df: DataFrame, dim: int | None = None, data: str = "data", sha
         F.raise_error(F.concat(F.lit("embedding length not a multiple of the width: "), n.cast("string"))))
     ntok = checked.cast("int")
     toks = F.transform(F.sequence(F.lit(0), ntok - 1), lambda i: F.slice(F.col(data), i * d + 1, d))
-    return df.withColumn(out, F.when(ntok > 0, toks).otherwise(F.array().cast("array<array<double>>")))
+    kind = "array<array<double>>" if wide else f"array<{df.schema[data].dataType.simpleString()}>"
+    return df.withColumn(out, F.when(ntok > 0, toks).otherwise(F.array().cast(kind)))
 
 
 def _sum_tokens(tokens: Column, dim: Column) -> Column:

@@ -5,6 +5,7 @@ import re
 import pytest
 
 from pairlab.operators import token_lookup as TL
+from pairlab.operators import tokens as TK
 
 PAIRS = "row_id long, heavy_seq string, light_seq string, antigen_seq string, label int, chain string"
 
@@ -51,3 +52,38 @@ def test_matrices_pass_one_exchange(spark, store):
         assert "BroadcastExchange" not in plan
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(10 * 1024 * 1024))
+
+
+def test_matrices_of_hot_sequences_pass_no_exchange(spark, store):
+    """Sequences asked for often are broadcast together while they fit, and the others find their matrices as before."""
+    rows = [(i, f"s{i % 40}", "s7" if i % 3 else None, f"s{i % 5}", 1, "x") for i in range(400)] + [(900 + i, f"s{i}", "none", "s1", 0, "x") for i in range(3)]
+    df = spark.createDataFrame(rows, PAIRS)
+    kept = df.selectExpr("row_id", "explode(array(heavy_seq, light_seq, antigen_seq)) AS seq").where("seq IS NOT NULL")
+    assert TL._hot(spark, kept, store).count() == 40
+    out = TL.lookup_tokens(df, store)
+    out.write.format("noop").mode("overwrite").save()
+    by = {r.row_id: r for r in out.collect()}
+    want = {r.row_id: r for r in TL.lookup_tokens(df, store, hot=False).collect()}
+    assert by == want and len(by) == 403
+
+
+def test_stored_floats_come_back_as_doubles(spark):
+    flat = spark.createDataFrame([("a", [1.5, 2.5, 3.5, 4.5], [2, 2]), ("b", [], [0, 2])], "text string, data array<float>, shape array<long>")
+    store = TL.store_tokens(TK.decode_tokens(flat, wide=False), "text", buckets=2)
+    assert store.schema["tokens"].dataType.simpleString() == "array<array<float>>"
+    df = spark.createDataFrame([(1, "a", "b", "a", 1, "x"), (2, "a", None, "b", 0, "x")], PAIRS)
+    for hot in (True, False):
+        got = TL.lookup_tokens(df, store, hot=hot)
+        assert got.schema["light_tokens"].dataType.simpleString() == "array<array<double>>"
+        assert [(r.heavy_tokens, r.light_tokens, r.light_status) for r in got.orderBy("row_id").collect()] == [
+            ([[1.5, 2.5], [3.5, 4.5]], [], "hit"), ([[1.5, 2.5], [3.5, 4.5]], [], "empty")]
+
+
+def test_few_hot_sequences_fit(spark, store, monkeypatch):
+    """The most requested ones are taken first; the rest is fetched by the exchange."""
+    df = spark.createDataFrame([(i, f"s{i % 40}", "s7", "s5", 1, "x") for i in range(200)], PAIRS)
+    want = sorted(TL.lookup_tokens(df, store, hot=False).collect())
+    monkeypatch.setattr(TL, "HOT_BYTES", 1000)
+    asked = df.selectExpr("row_id", "explode(array(heavy_seq, light_seq, antigen_seq)) AS seq")
+    assert {r.seq for r in TL._hot(spark, asked, store).collect()} == {"s5", "s7"}
+    assert sorted(TL.lookup_tokens(df, store).collect()) == want
