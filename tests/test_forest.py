@@ -106,3 +106,5 @@ def test_odd_rows(spark):
     assert M.forest_predict(M.train_forest(twice, "x", num_trees=3), twice, "x").where("p BETWEEN 0 AND 1").count() == 120
     with pytest.raises(ValueError):
         M.train_forest(odd.where("row_id < 0"), "x", num_trees=2)
+    with pytest.raises(Exception, match="null elements"):
+        M.train_forest(odd.withColumn("x", F.transform("x", lambda v: F.when(v < 0, v))), "x", num_trees=2)
