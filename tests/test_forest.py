@@ -108,3 +108,28 @@ def test_odd_rows(spark):
         M.train_forest(odd.where("row_id < 0"), "x", num_trees=2)
     with pytest.raises(Exception, match="null elements"):
         M.train_forest(odd.withColumn("x", F.transform("x", lambda v: F.when(v < 0, v))), "x", num_trees=2)
+
+
+def test_a_forest_left_in_a_table_scores_as_one_held(spark, monkeypatch, tmp_path):
+    """Blocks of rows meet groups of trees; upper splits, leaves above and trees without a draw included."""
+    x, y = rows_of(seed=8)
+    df = frame(spark, x, y, 4).withColumn("tag", F.concat(F.lit("t"), "row_id"))
+    for rows, cells in ((df, 1 << 21), (df, 3 * 40), (df.where("row_id < 2"), 1 << 21)):
+        monkeypatch.setattr(FR, "CELLS", cells)
+        held = M.train_forest(rows, "x", num_trees=9, max_depth=6, seed=2)
+        for name, value in (("HELD", 0), ("GROUP", 3000), ("CHUNK", 900), ("BLOCK_ROWS", 50)):
+            monkeypatch.setattr(FR, name, value)
+        spread = M.train_forest(rows, "x", num_trees=9, max_depth=6, seed=2)
+        assert isinstance(spread, FR.SpreadForest) and isinstance(held, FR.Forest) and (cells > 999 or spread.plan.top)
+        assert rows is not df or 1 < len(spread.groups) < 9 and sorted(sum(spread.groups, [])) == list(range(9))
+        a, b = ({r.row_id: r for r in M.forest_predict(m, df, "x", leaves=True, keep_x=True).collect()} for m in (held, spread))
+        assert a.keys() == b.keys() and len(b) == 600
+        assert all(a[i][:4] == b[i][:4] and a[i].p == pytest.approx(b[i].p, abs=1e-12) for i in a)
+        for t in range(9):   # the same rows meet in a leaf
+            assert len({(a[i].leaves[t], b[i].leaves[t]) for i in a}) == len({a[i].leaves[t] for i in a}) == len({b[i].leaves[t] for i in b})
+        assert M.forest_predict(spread, df, "x").columns == ["row_id", "label", "tag", "p"]
+        assert M.forest_predict(spread, df.where("row_id < 0"), "x", leaves=True).count() == 0
+        WR.save_forest(spread, f"{tmp_path}/{cells}", trees=9)
+        again, _ = RD.load_forest(spark, f"{tmp_path}/{cells}")
+        assert {r.row_id: r.p for r in M.forest_predict(again, df, "x").collect()} == {r.row_id: r.p for r in M.forest_predict(held, df, "x").collect()}
+        monkeypatch.undo()
