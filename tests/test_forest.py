@@ -133,3 +133,20 @@ def test_a_forest_left_in_a_table_scores_as_one_held(spark, monkeypatch, tmp_pat
         again, _ = RD.load_forest(spark, f"{tmp_path}/{cells}")
         assert {r.row_id: r.p for r in M.forest_predict(again, df, "x").collect()} == {r.row_id: r.p for r in M.forest_predict(held, df, "x").collect()}
         monkeypatch.undo()
+
+
+def test_forest_leaf_proximity_is_that_of_all_pairs(spark, monkeypatch):
+    from pairlab.operators import geometry as GE
+    from pairlab.plans import catalog
+    x, y = rows_of(70, seed=6)
+    df, caught = frame(spark, x, y), []
+    pred = M.forest_predict(M.train_forest(df, "x", num_trees=300, min_leaf=2, seed=42), df, "x", leaves=True).collect()
+    leaf = np.array([r.leaves for r in pred])
+    pairs = (leaf[:, None, :] == leaf[None, :, :]).mean(axis=2)
+    want = {r.row_id: (pairs[i].sum() - 1) / 69 for i, r in enumerate(pred)}
+    real = GE.leaf_proximity
+    monkeypatch.setattr(GE, "leaf_proximity", lambda leaves: caught.append(real(leaves)) or caught[-1])
+    monkeypatch.setattr(catalog, "features", lambda spark, sf_dir: df)
+    got = catalog.QUERIES["forest_leaf_proximity"](spark, "").collect()
+    assert len(got) == 70 and all(r.n_leaves == r.n_trees == 300 and r.leaf_ok and r.proximity_ok for r in got)
+    assert {r.row_id: r.mean_proximity for r in caught[0].collect()} == pytest.approx(want) and max(want.values()) > 0
