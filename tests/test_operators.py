@@ -417,3 +417,21 @@ def test_uncertain_rows_are_chosen_before_wide_rows_are_joined(spark):
         assert A.top_by_score(got, "entropy", 40).select("entropy").collect() == want
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_quotas_shuffle_no_row_beyond_the_divided_bucket(spark):
+    """Against the plain way, with null and repeated ids and groups; the rows themselves meet the cuts in a broadcast."""
+    rows = [(None if i % 50 == 7 else i % 900, None if i % 97 == 0 else i % 3) for i in range(1200)]
+    df = spark.createDataFrame(rows, "row_id long, label int").repartition(5)
+    for by, quota in ((["label"], lambda n: F.round(n * 0.3)), ([], lambda n: F.floor(n * 0.8)), (["label"], lambda n: n), (["label"], lambda n: F.lit(0))):
+        d = df.withColumn("_h", F.md5(F.concat_ws(":", F.lit("5"), F.col("row_id").cast("string"))))
+        got = SM.quota_select(d, "_h", quota, by)
+        want = {}
+        for r in d.collect():
+            want.setdefault(r.label if by else 0, []).append((r._h, -1 if r.row_id is None else r.row_id))
+        n = {k: int(spark.range(1).select(quota(F.lit(len(v)))).first()[0]) for k, v in want.items() if k is not None}
+        want = sorted(x for k, v in want.items() if k is not None for x in sorted(v)[:n[k]])
+        assert sorted((r._h, -1 if r.row_id is None else r.row_id) for r in got.where("selected").collect()) == want
+        assert got.count() == (df.where("label IS NOT NULL").count() if by else 1200)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Broadcast" in plan
