@@ -435,3 +435,15 @@ def test_quotas_shuffle_no_row_beyond_the_divided_bucket(spark):
         assert got.count() == (df.where("label IS NOT NULL").count() if by else 1200)
         plan = got._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Broadcast" in plan
+
+
+def test_marked_rows_are_those_of_the_join_and_wide_rows_are_not_shuffled(spark):
+    rows = [(None if i == 7 else i, i % 2, [float(i)] * 4) for i in range(190)]
+    for table in (rows, rows + rows[:60]):  # unique ids, repeated ones
+        data = spark.createDataFrame(table, "row_id long, label int, x array<double>")
+        split = SM.shuffle_split(data.select("row_id"), 0.2, 3)
+        split = spark.createDataFrame(split.collect(), split.schema)
+        got = SM.mark(data, split, 3, "val")
+        want = data.join(split.select("row_id", F.col("is_test").alias("val")), "row_id").select(got.columns)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("val").count() >= 36
+        assert table is not rows or "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
