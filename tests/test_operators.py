@@ -447,3 +447,13 @@ def test_marked_rows_are_those_of_the_join_and_wide_rows_are_not_shuffled(spark)
         want = data.join(split.select("row_id", F.col("is_test").alias("val")), "row_id").select(got.columns)
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.where("val").count() >= 36
         assert table is not rows or "hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_fixed_horizon_is_that_of_the_study(monkeypatch):
+    from pairlab.plans import catalog, oracle
+    caught = {}
+    monkeypatch.setattr(catalog, "features", lambda spark, sf_dir: None)
+    monkeypatch.setattr(catalog, "_progress", lambda r: r)
+    monkeypatch.setattr(catalog.LP, "run_al", lambda *args, **kw: caught.update(kw))
+    catalog.QUERIES["al_loop_fixed"](None, "")
+    assert caught["rounds"] == 25 and caught["batch"] == 96 and "range(0, 25 + 1)" in oracle.ORACLE["al_loop_fixed"]
